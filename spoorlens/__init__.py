@@ -9,3 +9,10 @@ Sub-packages
 * ``streaming``  incremental counterparts
 * ``llm``        training-data operators; optional, imported by nothing here
 """
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions sent to Python workers travel with the task, so executors need no copy of this package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
