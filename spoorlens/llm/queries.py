@@ -8,3 +8,73 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; ``sql`` is its DuckDB counterpart."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+#: SQL for the label form, as spoorlens.functions.labels has it.
+def label_sql(c: str, fill: str = "'unknown'") -> str:
+    return f"coalesce(regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), {fill})"
+
+
+def base_sql(c: str) -> str:
+    return f"nullif(nullif(split_part({label_sql(c, 'NULL')}, '_sub', 1), 'unknown'), '')"
+
+
+# ---------------------------------------------------------------- problem 4
+_LINKS = f"""
+  links AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (
+    SELECT {base_sql('trail_a_id')} AS a, {base_sql('trail_b_id')} AS b FROM master_pairs
+    WHERE lower(regexp_replace(same_individual, '^\\s+|\\s+$', '', 'g')) = 'true') WHERE a <> b),
+  two AS (SELECT u AS x, v AS y FROM links UNION ALL SELECT v, u FROM links),
+  reach AS (SELECT x, x AS y FROM two UNION SELECT r.x, t.y FROM reach r JOIN two t ON r.y = t.x),
+  groups AS (SELECT x AS trail_id, min(y) AS group_id FROM reach GROUP BY x)"""
+
+
+@query("p4_found", f"WITH RECURSIVE {_LINKS} SELECT trail_id, group_id FROM groups")
+def p4_found(spark, d):
+    from .groups import trail_groups
+
+    return trail_groups(table(spark, d, "master_pairs"))
+
+
+@query("p4_group_sizes", f"WITH RECURSIVE {_LINKS} SELECT n_trails, count(*) AS n_groups FROM (SELECT count(*) AS n_trails FROM groups GROUP BY group_id) GROUP BY n_trails")
+def p4_group_sizes(spark, d):
+    from .groups import group_sizes, trail_groups
+
+    return group_sizes(trail_groups(table(spark, d, "master_pairs")))
+
+
+# ---------------------------------------------------------------- problem 6
+@query(
+    "p6_found",
+    f"""SELECT species, individual_id FROM (
+      SELECT {label_sql('species')} AS species, {label_sql('individual_id')} AS individual_id, fold FROM footprints WHERE {label_sql('__split__')} = 'train')
+    WHERE species NOT IN ('unknown', '') AND individual_id NOT IN ('unknown', '')
+    GROUP BY species, individual_id HAVING count(DISTINCT fold) > 1""",
+)
+def p6_found(spark, d):
+    from .family_split import broken_animals
+
+    return broken_animals(table(spark, d, "footprints"))
+
+
+@query("p6_assign")
+def p6_assign(spark, d):
+    from .family_split import animal, assign_splits
+
+    return assign_splits(table(spark, d, "footprints"), table(spark, d, "split_targets"), {"animal": animal()})
