@@ -78,3 +78,18 @@ def p6_assign(spark, d):
     from .family_split import animal, assign_splits
 
     return assign_splits(table(spark, d, "footprints"), table(spark, d, "split_targets"), {"animal": animal()})
+
+
+# ---------------------------------------------------------------- problem 1
+@query("p1_found")
+def p1_found(spark, d):
+    from .density import cluster_pairs, trail_clusters
+
+    return cluster_pairs(trail_clusters(table(spark, d, "master_pairs"))[0])
+
+
+@query("p1_clusters")
+def p1_clusters(spark, d):
+    from .density import describe_clusters, trail_clusters
+
+    return describe_clusters(*trail_clusters(table(spark, d, "master_pairs")))
