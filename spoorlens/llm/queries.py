@@ -93,3 +93,43 @@ def p1_clusters(spark, d):
     from .density import describe_clusters, trail_clusters
 
     return describe_clusters(*trail_clusters(table(spark, d, "master_pairs")))
+
+
+# ---------------------------------------------------------------- problem 2
+@query("p2_found")
+def p2_found(spark, d):
+    from pyspark.sql import functions as F
+
+    from .fingerprint import cross_split_pairs
+
+    pairs = cross_split_pairs(table(spark, d, "footprints"))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_lo"), F.greatest("train_id", "eval_id").alias("id_hi")).filter("id_lo < id_hi")
+
+
+@query("p2_counts")
+def p2_counts(spark, d):
+    from .fingerprint import cross_split_pairs, overlap_counts
+
+    return overlap_counts(cross_split_pairs(table(spark, d, "footprints")))
+
+
+# ---------------------------------------------------------------- problem 5
+_TOP5 = f"""
+  ok AS (SELECT {label_sql('species')} AS species, {label_sql('model_key')} AS model_key, pipeline_id, mean_cv_balanced_accuracy AS score, record_id
+         FROM best_models WHERE mean_cv_balanced_accuracy BETWEEN 0 AND 1 AND NOT isnan(mean_cv_balanced_accuracy)),
+  one AS (SELECT species, model_key, score, min(record_id) AS record_id FROM ok GROUP BY species, model_key, pipeline_id, score),
+  best AS (SELECT *, row_number() OVER (PARTITION BY species, model_key ORDER BY score DESC, record_id) AS rank_no FROM one)"""
+
+
+@query("p5_found", f"WITH {_TOP5} SELECT record_id, rank_no FROM best WHERE rank_no <= 5")
+def p5_found(spark, d):
+    from .topn import best_models
+
+    return best_models(table(spark, d, "best_models"))[0].select("record_id", "rank_no")
+
+
+@query("p5_top", f"WITH {_TOP5} SELECT species, model_key, rank_no, record_id, score FROM best WHERE rank_no <= 5")
+def p5_top(spark, d):
+    from .topn import best_models
+
+    return best_models(table(spark, d, "best_models"))[0].select("species", "model_key", "rank_no", "record_id", "score")
