@@ -133,3 +133,19 @@ def p5_top(spark, d):
     from .topn import best_models
 
     return best_models(table(spark, d, "best_models"))[0].select("species", "model_key", "rank_no", "record_id", "score")
+
+
+# ---------------------------------------------------------------- problem 7
+@query("p7_found")
+def p7_found(spark, d):
+    from .leakage import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p7_report")
+def p7_report(spark, d):
+    from .leakage import leak_report, leaked_items
+
+    items = table(spark, d, "eval_items")
+    return leak_report(leaked_items(table(spark, d, "documents"), items), items)
