@@ -149,3 +149,21 @@ def p7_report(spark, d):
 
     items = table(spark, d, "eval_items")
     return leak_report(leaked_items(table(spark, d, "documents"), items), items)
+
+
+# ---------------------------------------------------------------- problem 9
+@query("p9_found")
+def p9_found(spark, d):
+    from .spam import spam_pages
+
+    return spam_pages(table(spark, d, "documents"))
+
+
+@query("p9_kinds")
+def p9_kinds(spark, d):
+    from pyspark.sql import functions as F
+
+    from .spam import SHARE, judged_pages
+
+    pages = judged_pages(table(spark, d, "documents")).filter(F.col("spam_share") > SHARE)
+    return pages.groupBy("kind").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("spam_share"), 6).alias("mean_share"))
