@@ -24,3 +24,6 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+from . import drift_queries  # noqa: E402, F401
