@@ -167,3 +167,18 @@ def p9_kinds(spark, d):
 
     pages = judged_pages(table(spark, d, "documents")).filter(F.col("spam_share") > SHARE)
     return pages.groupBy("kind").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("spam_share"), 6).alias("mean_share"))
+
+
+# ---------------------------------------------------------------- problem 8
+@query("p8_allocation")
+def p8_allocation(spark, d):
+    from .mixing import mixture
+
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    from .mixing import mixture
+
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
