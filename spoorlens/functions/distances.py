@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 METRICS = ("euclidean", "manhattan", "cosine", "chebyshev", "canberra", "braycurtis")
-_NAN = F.lit(float("nan"))
 
 
 def _sum(terms: Column) -> Column:
@@ -35,7 +34,7 @@ def chebyshev(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, _NAN).otherwise(1 - dot(a, b) / norm)
+    return F.when(norm == 0, F.lit(float("nan"))).otherwise(1 - dot(a, b) / norm)
 
 
 def canberra(a: Column, b: Column) -> Column:
@@ -44,7 +43,7 @@ def canberra(a: Column, b: Column) -> Column:
 
 def braycurtis(a: Column, b: Column) -> Column:
     whole = _sum(F.zip_with(a, b, lambda x, y: F.abs(x + y)))
-    return F.when(whole == 0, _NAN).otherwise(manhattan(a, b) / whole)
+    return F.when(whole == 0, F.lit(float("nan"))).otherwise(manhattan(a, b) / whole)
 
 
 def distance(metric: str, a: str | Column, b: str | Column) -> Column:
