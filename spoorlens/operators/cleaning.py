@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import label_form
-from ..functions.numbers import decimal_comma, measurement
+from ..functions.labels import base_trail, label_form
+from ..functions.numbers import decimal_comma, finite, measurement
 from ..functions.texts import standard_sex
 
 #: Name prefixes of feature columns, and the roles of the other columns.
@@ -152,3 +152,28 @@ def footprint_table(df: DataFrame) -> DataFrame:
     )
 
 
+
+
+DISTANCES = ("euclidean", "manhattan", "cosine", "chebyshev", "canberra", "braycurtis")
+
+
+def pair_table(df: DataFrame) -> DataFrame:
+    """Clean pair rows: base trails a and b, ``same`` 1 / 0 / null, distances that could be had, else null."""
+    flag = label_form("same_individual")
+    d = lambda m: F.when(finite(f"dist_{m}") >= 0, finite(f"dist_{m}")).alias(m)
+    return df.select(
+        "comparison_id", base_trail("trail_a_id").alias("a"), base_trail("trail_b_id").alias("b"), label_form("trail_a_id").alias("trail_a_id"), label_form("trail_b_id").alias("trail_b_id"),
+        "pipeline", "origin", "tag", "fold", "min_observations", "max_observations", F.when(flag == "true", 1).when(flag == "false", 0).alias("same"), *[d(m) for m in DISTANCES],
+    )
+
+
+def display_labels(df: DataFrame, individual: str = "individual_id", trail: str = "trail", position: str = "id") -> DataFrame:
+    """(individual, trail, display_individual, display_trail): anonymous labels numbered in order of first position.
+
+    Individuals are ``Ind_1``..; their trails ``Ind_1_trail_orig_1``..; null names have no label.
+    """
+    ind = df.filter(F.col(individual).isNotNull()).groupBy(individual).agg(F.min(position).alias("_p"))
+    ind = running_id(ind, ["_p", individual], "_i", 1).select(individual, F.concat(F.lit("Ind_"), "_i").alias("display_individual"))
+    tr = df.filter(F.col(individual).isNotNull() & F.col(trail).isNotNull()).groupBy(individual, trail).agg(F.min(position).alias("_p"))
+    n = F.row_number().over(Window.partitionBy(individual).orderBy("_p", trail))
+    return tr.withColumn("_j", n).join(ind, individual).select(individual, trail, "display_individual", F.concat("display_individual", F.lit("_trail_orig_"), "_j").alias("display_trail"))
