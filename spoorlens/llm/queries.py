@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.sqltext import base_sql, label_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,15 +28,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-#: SQL for the label form, as spoorlens.functions.labels has it.
-def label_sql(c: str, fill: str = "'unknown'") -> str:
-    return f"coalesce(regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), {fill})"
-
-
-def base_sql(c: str) -> str:
-    return f"nullif(nullif(split_part({label_sql(c, 'NULL')}, '_sub', 1), 'unknown'), '')"
-
-
 # ---------------------------------------------------------------- problem 4
 _LINKS = f"""
   links AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (
