@@ -206,8 +206,8 @@ def rank_mutual_information(df: DataFrame, features: Sequence[str], group: str,
     b = long.join(F.broadcast(ends), "feature").withColumn("b", F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)), F.lit(0)))
     n = b.groupBy("feature", group, "b").agg(F.count(F.lit(1)).alias("n"))
     w = lambda *k: Window.partitionBy("feature", *k)
-    n = n.withColumns({"N": F.sum("n").over(w()), "g": F.sum("n").over(w(group)), "m": F.sum("n").over(w("b"))})
-    mi = F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("g") * F.col("m"))))
+    n = n.withColumns({"whole": F.sum("n").over(w()), "g": F.sum("n").over(w(group)), "m": F.sum("n").over(w("b"))})
+    mi = F.sum(F.col("n") / F.col("whole") * F.log(F.col("n") * F.col("whole") / (F.col("g") * F.col("m"))))
     return _ranked(n.groupBy("feature").agg(mi.alias("score")), features)
 
 
