@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +20,30 @@ def _fixed_signs(axes: np.ndarray) -> np.ndarray:
 
 
 def moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, s, q): count, sums and upper triangle of products of the features over complete rows."""
-    f = [F.col(c).cast("double") for c in features]
-    d = df.select(*keys, *[c.alias(f"f{k}") for k, c in enumerate(f)]).na.drop(subset=[f"f{k}" for k in range(len(f))])
-    n = len(f)
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f"f{k}") for k in range(n)]).alias("s"), F.array(*[F.sum(F.col(f"f{i}") * F.col(f"f{j}")) for i in range(n) for j in range(i, n)]).alias("q"))
+    """(keys, n, s, q): count, sums and upper triangle of products of the features over complete rows.
+
+    Each task adds up its own rows by matrix products; the partial sums, one array a task and key, are
+    then added place by place.
+    """
+    keys, p = list(keys), len(features)
+    d = df.select(*keys, F.array(*[F.col(c).cast("double") for c in features]).alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    types = dict(d.dtypes)
+    upper = np.triu_indices(p)
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for k, part in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                x = np.array(part["_v"].tolist(), float)
+                add = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[upper]])
+                k = k if isinstance(k, tuple) else (k,)
+                sums[k] = sums[k] + add if k in sums else add
+        yield pd.DataFrame([(*k, v.tolist()) for k, v in sums.items()], columns=[*keys, "_m"])
+
+    parts = d.mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["_m array<double>"]))
+    whole = parts.select(*keys, F.posexplode("_m").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
+    rows = whole.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_m"))
+    return rows.select(*keys, F.col("_m")[0].cast("long").alias("n"), F.slice("_m", 2, p).alias("s"), F.slice("_m", p + 2, len(upper[0])).alias("q")).filter("n > 0")
 
 
 def _square(q: Sequence[float], p: int) -> np.ndarray:

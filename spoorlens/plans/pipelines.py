@@ -18,6 +18,7 @@ from ..operators.evaluation import classification_scores, concordance, confusion
 from ..operators.pairs import trail_pairs, trail_table
 from ..operators.population import counts_at, cutoff_range, merge_heights, square_distances
 from ..operators.splits import sequential_holdouts
+from ..sources.stages import Stages
 
 
 @dataclass(frozen=True)
@@ -66,8 +67,7 @@ def project_pairs(pairs: DataFrame, points: DataFrame, features: Sequence[str],
     features, keys, p = list(features), list(keys), len(features)
     pts = points.select(*keys, trail, F.col(key).cast("string").alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
     own = pts.groupBy(*keys, trail).agg(F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("rows"))
-    split = pts.select(*keys, *[F.col("_v")[k].alias(f"f{k}") for k in range(p)])
-    total = R.moments(split, [f"f{k}" for k in range(p)], keys)
+    total = R.moments(points, features, keys)
     side = lambda c, s: own.select(*keys, F.col(trail).alias(c), F.col("rows").alias(f"rows_{s}"))
     joined = pairs.join(side("trail_a_id", "a"), [*keys, "trail_a_id"]).join(side("trail_b_id", "b"), [*keys, "trail_b_id"])
     joined = joined.join(F.broadcast(total), keys) if keys else joined.crossJoin(F.broadcast(total))  # a row a key
@@ -166,15 +166,17 @@ def sequential_holdout(df: DataFrame, features: Sequence[str], sizes: Sequence[i
     per = points.select(*key, "trail").distinct()
     trails = trail_table(df).join(per.withColumnRenamed("trail", "trail_id"), "trail_id")
     pairs = trail_pairs(trails, key)
-    flat = prepared(points, features, df, config)
-    res = overlap_predictions(project_pairs(pairs, flat, features, config, keys=key), p)
-    res = res.withColumn("true_same", F.col("same_individual").cast("int"))
+    stages = Stages(df.sparkSession, "holdout")
+    flat = stages.write(prepared(points, features, df, config), "points")
+    projected = stages.write(project_pairs(stages.write(pairs, "pairs"), flat, features, config, keys=key), "projected")
+    res = stages.write(overlap_predictions(projected, p).withColumn("true_same", F.col("same_individual").cast("int")), "decided")
     conf = confusion(res, "true_same", "pred_same", key)
     link = merge_heights(square_distances(res, key, "trail_a_id", "trail_b_id", "dist_euclidean"), key)
     truth = points.groupBy(*key).agg(F.countDistinct("individual_id").alias("true_count"))
     cut = link.join(truth, key).filter("true_count <= n").withColumn("c", cutoff_range(F.col("heights"), F.col("n"), F.col("true_count")))
     mid = cut.agg(F.percentile("c.cutoff", F.lit(0.5)).alias("global_cutoff"))  # one row
     est = counts_at(cut.crossJoin(mid), F.col("global_cutoff")).withColumn("erd", relative_difference("pred_count", "true_count"))
+    conf, est = stages.write(conf, "confusion"), stages.write(est.drop("heights"), "estimates")
     table = conf.join(est.select(*key, "true_count", "pred_count", "erd", F.col("c.cutoff").alias("cutoff"), F.col("c.low").alias("low"), F.col("c.high").alias("high"), "global_cutoff"), key)
     summary = table.agg(F.avg("bcr").alias("bcr"), F.avg("erd").alias("erd"), F.avg("cutoff").alias("mean_cutoff"), F.percentile("cutoff", F.lit(0.5)).alias("median_cutoff"), F.avg("low").alias("mean_low"), F.avg("high").alias("mean_high"), concordance("pred_count", "true_count").alias("ccc"))
     return table, summary

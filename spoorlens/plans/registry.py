@@ -26,4 +26,4 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-from . import drift_queries, relational_queries, statistics_queries  # noqa: E402, F401
+from . import drift_queries, pipeline_queries, relational_queries, statistics_queries  # noqa: E402, F401
