@@ -120,9 +120,10 @@ def representatives(records: DataFrame) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """(a, b): representatives of train and eval that share a block and lie within the Hamming radius.
 
-    Level 1 joins all of both sides.  Pairs that lack four or more measurements between them are found
-    on level 2, for which one of them lacks two and the other one at least; pairs that lack six or more
-    on level 3, for which one lacks three at least.
+    Level 1 joins all of both sides and finds pairs that lack up to three measurements between them.
+    Level 2 finds those that lack up to five: one of them lacks two or three and the other at least one,
+    or one lacks four or more.  Level 3 finds the rest: one lacks three or more and the other at least
+    one, or one lacks six or more.
     """
     train, eval_ = reps.filter("role = 'train'"), reps.filter("role = 'eval'")
 
@@ -133,7 +134,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         return hit.select(F.col(f"{a}.rep").alias("a"), F.col(f"{b}.rep").alias("b"))
 
     found = [met(eval_, train, 1, True)]
-    for level, least, most, other in ((2, 2, 99, 1), (3, 3, 5, 1), (3, 6, 99, 0)):
+    for level, least, most, other in ((2, 2, 3, 1), (2, 4, 99, 0), (3, 3, 5, 1), (3, 6, 99, 0)):
         sparse = f"miss between {least} and {most}"
         found.append(met(eval_.filter(sparse), train.filter(f"miss >= {other}"), level, True))
         found.append(met(train.filter(sparse), eval_.filter(f"miss >= {other}"), level, False))
