@@ -193,6 +193,8 @@ def fold_predictions(df: DataFrame, features: Sequence[str], target: str, fold:
     A fold's scaler, ranking and model are fitted on the others.  Models: lda_svd (also lda), logistic,
     forest, gbt.
     """
+    stages = Stages(df.sparkSession, "folds")
+    df = stages.write(df, "rows")
     folds = [r[0] for r in df.select(fold).filter(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]  # a row a fold
     out = None
     for f in [*folds, None]:
@@ -204,7 +206,7 @@ def fold_predictions(df: DataFrame, features: Sequence[str], target: str, fold:
 
 
 def _fit_predict(fit: DataFrame, use: DataFrame, features: Sequence[str], target: str, rank: str | None, k: int, model: str) -> DataFrame:
-    fill = P.fit_median(fit, features)
+    fill = P.fit_mean(fit, features)
     fit, use = P.apply_fill(fit, fill), P.apply_fill(use.withColumns({f"_keep_{c}": F.col(c) for c in features}), fill)
     scale = P.fit_standard(fit, features)
     fit, use = P.apply_scale(fit, scale), P.apply_scale(use, scale)
