@@ -159,7 +159,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     able = [caps[k] * prior[k] / shares[k] for k in range(len(sources)) if prior[k] > 0]
     total = min(able) if able else 0.0
     rate = _replayed(fit_rates(classes, shares, available, total))
-    rates = stages.write(classes.select("q", "source", rate.alias("rate")), "rates")
+    # a sure posterior is the same class as a label
+    rates = stages.write(classes.select("q", "source", rate.alias("rate")).groupBy("q", "source").agg(F.max("rate").alias("rate")), "rates")
     hard_rate = rates.filter(F.array_max("q") == 1.0).groupBy("source").agg(F.max("rate").alias("rate"))
     soft_rows = soft.join(rates, ["q", "source"])
     labelled = own.join(F.broadcast(hard_rate), "source").select("doc_id", "source", "tokens", "rate")  # a row a target
