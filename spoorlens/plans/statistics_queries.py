@@ -321,7 +321,7 @@ def sp02(spark, d):
     return S.group_split(table(spark, d, "customer"), "c_nationkey", order=F.reverse(F.col("c_nationkey").cast("string"))).select("c_custkey", "split")
 
 
-@query("sp03_folds", f"WITH {FP}, {OWN} SELECT individual_id, sex, ((row_number() OVER (PARTITION BY sex ORDER BY reverse(individual_id), individual_id) - 1) % 5)::INT AS fold FROM own")
+@query("sp03_folds", f"WITH {FP}, {OWN} SELECT individual_id, sex, ((row_number() OVER (PARTITION BY sex ORDER BY reverse(individual_id), individual_id) - 1) % (SELECT least(5, min(n)) FROM (SELECT count(*) AS n FROM own GROUP BY sex)))::INT AS fold FROM own")
 def sp03(spark, d):
     return S.stratified_folds(S.individuals(fp(spark, d)), order=_len("individual_id"))
 
