@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import base_trail, label_form
+from ..functions.labels import base_trail
 from ..functions.numbers import finite
 from ..sources.stages import Stages
 
@@ -38,18 +38,19 @@ def compared(pairs: DataFrame, a: str = "trail_a_id", b: str = "trail_b_id", dis
     """(lo, hi, pipeline, run, d): pair rows of two different trails with a distance; others are dropped."""
     d = finite(dist)
     x, y = base_trail(a), base_trail(b)
-    rows = pairs.select(x.alias("a"), y.alias("b"), label_form("pipeline").alias("pipeline"), F.col("comparison_id").alias("run"), F.when(d >= 0, d).alias("d"))
+    rows = pairs.select(x.alias("a"), y.alias("b"), F.coalesce("pipeline", F.lit("unknown")).alias("pipeline"), F.col("comparison_id").alias("run"), F.when(d >= 0, d).alias("d"))
     rows = rows.filter("a is not null and b is not null and d is not null and a <> b")
     return rows.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "pipeline", "run", "d")
 
 
-def near_limits(rows: DataFrame) -> DataFrame:
-    """(pipeline, near_limit): the middle of the widest gap between near and far distances.
+def near_limits(pairs: DataFrame, dist: str = "dist_euclidean") -> DataFrame:
+    """(pipeline, near_limit): the middle of the widest gap between near and far distances of a pipeline.
 
     Zero distances are near and take no part.  A pipeline without a gap of ratio 1.2 that leaves two
     percent of its distances on each side has no row: nothing it measures counts as near or far.
     """
-    bins = rows.filter("d > 0").groupBy("pipeline", F.floor(F.log("d") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
+    rows = pairs.select(F.coalesce("pipeline", F.lit("unknown")).alias("pipeline"), finite(dist).alias("d")).filter("d > 0")
+    bins = rows.groupBy("pipeline", F.floor(F.log("d") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
     up = Window.partitionBy("pipeline").orderBy("bin")
     every = Window.partitionBy("pipeline")
     gaps = bins.select("pipeline", "most", F.lead("least").over(up).alias("next"), (F.sum("n").over(up) / F.sum("n").over(every)).alias("below"))
@@ -142,7 +143,7 @@ def trail_clusters(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     stages = Stages(pairs.sparkSession, "density")
     rows = compared(pairs)
-    results = stages.write(pair_results(rows, stages.write(near_limits(rows), "limits")), "pairs")
+    results = stages.write(pair_results(rows, stages.write(near_limits(pairs), "limits")), "pairs")
     supported = stages.write(agreement(results, stages), "supported")
     label = stages.write(follow(denser_pointers(supported), stages), "labels")
     both = results.join(label.select(F.col("node").alias("lo"), F.col("peak").alias("k1")), "lo").join(label.select(F.col("node").alias("hi"), F.col("peak").alias("k2")), "hi").filter("k1 = k2")
