@@ -277,3 +277,53 @@ def st02(spark, d):
 @query("st03_pair_counts", f"WITH p AS (SELECT {base_sql('trail_a_id')} AS a, {base_sql('trail_b_id')} AS b, coalesce(lower(trim(same_individual)) = 'true', false) AS s FROM master_pairs) SELECT least(a, b) AS trail_lo, greatest(a, b) AS trail_hi, count(*) AS n_runs, count(*) FILTER (s) AS n_same FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL")
 def st03(spark, d):
     return pair_counts(table(spark, d, "master_pairs"))
+
+
+# ------------------------------------------------------------------ more pipelines
+@query("pl02_fold_pairs")
+def pl02(spark, d):
+    f = flat_emb(spark, d).withColumn("fold", F.substring("individual_id", 2, 2).cast("int") % 3)
+    out = PL.cross_validated_pairs(f, DIMS[:16], PL.PairConfig(k_features=6))
+    return out.select("trail_a_id", "trail_b_id", "fold", "same_individual", r6(F.col("dist_euclidean"), "dist_euclidean"))
+
+
+@query("pl04_baseline_pairs")
+def pl04(spark, d):
+    f = flat_emb(spark, d)
+    own = F.col("individual_id").isin("l0", "l1", "l2")
+    out = PL.baseline_pairs(f.filter(~own), f.filter(own), DIMS[:16], PL.PairConfig(k_features=6))
+    return out.select("trail_a_id", "trail_b_id", "origin", "same_individual", r6(F.col("dist_euclidean"), "dist_euclidean"))
+
+
+@query("pl05_embedding_pairs")
+def pl05(spark, d):
+    f = flat_emb(spark, d)
+    own = F.col("individual_id").isin("l0", "l1", "l2")
+    _, out = PL.embedding_pairs(f.filter(~own), f.filter(own), DIMS[:16])
+    return out.select("trail_a_id", "trail_b_id", "same_individual", "pred_same", r6(F.col("proba"), "proba"))
+
+
+@query("pl07_experiments")
+def pl07(spark, d):
+    f = flat_emb(spark, d).withColumn("fold", F.substring("individual_id", 2, 2).cast("int") % 2)
+    out = PL.experiments(f, DIMS[:12], [PL.PairConfig(k_features=4), PL.PairConfig(k_features=4, reducer="pca", selection="variance")])
+    return out.select("k_features", "selection", "reducer", "fold", "tp", "fn", "fp", "tn", r6(F.col("bcr"), "bcr"))
+
+
+@query("pl16_feature_shape")
+def pl16(spark, d):
+    out = PL.feature_shape(known_sex(spark, d), MEASURES)
+    return out.select("feature", "individual_id", "sex", r6(F.col("mean"), "mean"))
+
+
+@query("pl20_distance_weights")
+def pl20(spark, d):
+    m = mp(spark, d).filter("pipeline = 'rcv_lda'")
+    return PL.distance_weights(m, ["euclidean", "manhattan", "chebyshev", "canberra"], "same")
+
+
+@query("ml20_feature_pipeline")
+def ml20(spark, d):
+    f = known_sex(spark, d)
+    p = PL.FeaturePipeline(MEASURES, "sex", impute="median", outliers="clip_98", scale="standard", select="univariate", reduce="none", classify="lda_svd").fit(f)
+    return p.apply(f).select("id", "sex", "pred_sex")

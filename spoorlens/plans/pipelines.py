@@ -55,22 +55,26 @@ def prepared(df: DataFrame, features: Sequence[str], fit_on: DataFrame, config:
     return df
 
 
-def project_pairs(pairs: DataFrame, points: DataFrame, features: Sequence[str], config: PairConfig = PairConfig(), trail: str = "trail", key: str = "id", keys: Sequence[str] = ()) -> DataFrame:
+def project_pairs(pairs: DataFrame, points: DataFrame, features: Sequence[str], config: PairConfig = PairConfig(), trail: str = "trail", key: str = "id", keys: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
     """Each pair in its own projection: groups A, B and the rest, features selected for them, then LDA or PCA.
 
     Returns the pair with centres and coordinates of both trails, the selected features and the six
     distances of the centres.  The rest of a pair enters through sums: totals of all points less those of
     the two trails, so no task holds more than the rows of two trails and matrices of the features.
     Pairs whose rest has fewer than two rows, or a trail of theirs no complete row, are left out.
-    Selection is forward (on the moments), variance or none.
+    Selection is forward (on the moments), variance or none.  ``totals`` replaces the sums over all points
+    by sums of each pair.
     """
     features, keys, p = list(features), list(keys), len(features)
     pts = points.select(*keys, trail, F.col(key).cast("string").alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
     own = pts.groupBy(*keys, trail).agg(F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("rows"))
-    total = R.moments(points, features, keys)
+    total = R.moments(points, features, keys) if totals is None else None
     side = lambda c, s: own.select(*keys, F.col(trail).alias(c), F.col("rows").alias(f"rows_{s}"))
     joined = pairs.join(side("trail_a_id", "a"), [*keys, "trail_a_id"]).join(side("trail_b_id", "b"), [*keys, "trail_b_id"])
-    joined = joined.join(F.broadcast(total), keys) if keys else joined.crossJoin(F.broadcast(total))  # a row a key
+    if totals is not None:
+        joined = joined.join(totals.select("trail_a_id", "trail_b_id", "n", "s", "q"), ["trail_a_id", "trail_b_id"])
+    else:
+        joined = joined.join(F.broadcast(total), keys) if keys else joined.crossJoin(F.broadcast(total))  # a row a key
     types = dict(joined.dtypes)
     carry = [c for c in joined.columns if c not in ("rows_a", "rows_b", "n", "s", "q")]
     k_f, k_c, reducer, selection = config.k_features, config.n_components, config.reducer, config.selection
@@ -266,3 +270,157 @@ def distance_benchmark(pairs: DataFrame, distances: Sequence[str], truth: str, k
 def search_score(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, separation): the score by which pair configurations are compared."""
     return results.groupBy(*keys).agg(separation(F.col("same_individual").cast("int"), "dist_euclidean").alias("separation"))
+
+
+def cross_validated_pairs(df: DataFrame, features: Sequence[str], config: PairConfig = PairConfig(), fold: str = "fold") -> DataFrame:
+    """Projected pairs of each fold's trails, parameters fitted on that fold's points; the fold is a key, not a loop."""
+    stages = Stages(df.sparkSession, "cv")
+    points = df.filter(F.col(fold).isNotNull())
+    pairs = trail_pairs(trail_table(points, fold=fold), ["fold"]).drop("fold").withColumn(fold, F.col("fold_a"))
+    keep = ["trail_a_id", "trail_b_id", "ind_a", "ind_b", "same_individual", fold]
+    flat = stages.write(prepared(points, features, points, config), "points")
+    return project_pairs(stages.write(pairs.select(*keep), "pairs"), flat, features, config, keys=[fold]).withColumn("origin", F.lit("cv"))
+
+
+def baseline_pairs(train: DataFrame, other: DataFrame, features: Sequence[str], config: PairConfig = PairConfig(), origin: str = "test") -> DataFrame:
+    """Projected pairs of another split's trails, all train rows being the rest of each pair."""
+    stages = Stages(train.sparkSession, "baseline")
+    rest = train.withColumns({"trail": F.lit("_rest"), "_of": F.lit("train")})
+    both = prepared(other.withColumn("_of", F.lit(origin)).unionByName(rest, allowMissingColumns=True), features, train, config)
+    flat = stages.write(both, "points")
+    pairs = trail_pairs(trail_table(other)).select("trail_a_id", "trail_b_id", "ind_a", "ind_b", "same_individual")
+    return _project_against(stages.write(pairs, "pairs"), flat.filter(F.col("_of") == origin), flat.filter(F.col("_of") == "train"), features, config).withColumn("origin", F.lit(origin))
+
+
+def _project_against(pairs: DataFrame, points: DataFrame, rest: DataFrame, features: Sequence[str], config: PairConfig) -> DataFrame:
+    """``project_pairs`` with a rest of its own: the moments of A, B and the rest are added for each pair."""
+    total = R.moments(rest, features)
+    own = R.moments(points, features, ["trail"])
+    side = lambda c, s: own.select(F.col("trail").alias(c), *[F.col(x).alias(f"{x}{s}") for x in ("n", "s", "q")])
+    j = pairs.join(side("trail_a_id", "a"), "trail_a_id").join(side("trail_b_id", "b"), "trail_b_id").crossJoin(F.broadcast(total))  # one row
+    add = lambda x: F.zip_with(F.zip_with(x, f"{x}a", lambda u, v: u + v), f"{x}b", lambda u, v: u + v)
+    whole = j.select(*pairs.columns, (F.col("n") + F.col("na") + F.col("nb")).alias("n"), add("s").alias("s"), add("q").alias("q"))
+    return project_pairs(pairs, points, features, config, totals=whole)
+
+
+def embedding_pairs(train: DataFrame, use: DataFrame, features: Sequence[str], individual: str = "individual_id", k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Pairs of trails by the distances of their centroids in a supervised embedding, and a logistic decision.
+
+    The embedding is an LDA of individuals and the decision is fitted on the train pairs; returned are
+    the train pairs (resubstitution) and those of ``use`` (held out), with ``pred_same`` and ``proba``.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.pairs import centroid_distances, centroids
+
+    stages = Stages(train.sparkSession, "embedding")
+    model = R.fit_lda(train, features, individual, k)
+    axes = [f"LDA{i + 1}" for i in range(model["axes"].shape[1])]
+    asm = VectorAssembler(inputCols=[f"dist_{m}" for m in METRICS], outputCol="_x", handleInvalid="skip")
+
+    def pairs_of(df: DataFrame, name: str) -> DataFrame:
+        p = R.project(df, model).withColumn("vec", F.array(*axes)).filter(F.col(axes[0]).isNotNull())
+        c = centroids(p, ["trail"])
+        out = centroid_distances(trail_pairs(trail_table(df)).select("trail_a_id", "trail_b_id", "same_individual"), c, "trail")
+        return stages.write(asm.transform(out.fillna(0.0, [f"dist_{m}" for m in METRICS])).withColumn("_y", F.col("same_individual").cast("double")), name)
+
+    a, b = pairs_of(train, "train"), pairs_of(use, "use")
+    fit = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=200).fit(a.filter("_y is not null"))
+    from pyspark.ml.functions import vector_to_array
+
+    done = lambda d: fit.transform(d).withColumns({"proba": vector_to_array("probability")[1], "pred_same": F.col("prediction").cast("int")}).drop("_x", "_y", "rawPrediction", "probability", "prediction")
+    return done(a), done(b)
+
+
+def experiments(df: DataFrame, features: Sequence[str], configs: Sequence[PairConfig], fold: str = "fold", p: float = 0.95) -> DataFrame:
+    """(k_features, selection, reducer, fold, confusion, rates): cross-validated decisions of each configuration."""
+    out = None
+    for c in configs:
+        stages = Stages(df.sparkSession, "experiment")
+        res = overlap_predictions(stages.write(cross_validated_pairs(df, features, c, fold), "pairs"), p).withColumn("true_same", F.col("same_individual").cast("int"))
+        part = confusion(res, "true_same", "pred_same", [fold]).select(F.lit(c.k_features).alias("k_features"), F.lit(c.selection).alias("selection"), F.lit(c.reducer).alias("reducer"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: The options of each step of a feature pipeline, in the order of the steps.
+STEPS = {"impute": (None, "mean", "median"), "outliers": (None, "clip", "zscore", *P.CLIP_PRESETS), "scale": (None, "standard", "robust"), "select": (None, "none", "variance", "univariate", "forest"), "reduce": (None, "none", "pca", "lda"), "classify": (None, "lda", "lda_svd")}
+
+
+class FeaturePipeline:
+    """Ordered fit / apply stages: impute, outliers, scale, select, reduce, classify; unknown options are an error."""
+
+    def __init__(self, features: Sequence[str], target: str, k: int = 8, n_components: int = 2, **options):
+        for step, o in options.items():
+            if step not in STEPS:
+                raise ValueError(f"step {step!r} is none of {', '.join(STEPS)}")
+            if o not in STEPS[step]:
+                raise ValueError(f"{step}: {o!r} is none of {STEPS[step]}")
+        self.features, self.target, self.k, self.n, self.options = list(features), target, k, n_components, options
+        self.done: list = []
+
+    def fit(self, df: DataFrame) -> FeaturePipeline:
+        self.done, cols, o = [], self.features, self.options
+
+        def add(f):
+            nonlocal df
+            self.done.append(f)
+            df = f(df)
+
+        if o.get("impute"):
+            fill = (P.fit_mean if o["impute"] == "mean" else P.fit_median)(df, cols)
+            add(lambda d: P.apply_fill(d, fill))
+        if o.get("outliers"):
+            lim = P.fit_outliers(df, cols, o["outliers"])
+            add(lambda d: P.apply_clip(d, lim))
+        if o.get("scale"):
+            sc = (P.fit_standard if o["scale"] == "standard" else P.fit_robust)(df, cols)
+            add(lambda d: P.apply_scale(d, sc))
+        if o.get("select") not in (None, "none"):
+            rank = {"variance": P.rank_variance, "univariate": lambda d, f: P.rank_univariate(d, f, self.target), "forest": lambda d, f: P.rank_forest(d, f, self.target)}[o["select"]](df, cols)
+            cols = [r["feature"] for r in rank.orderBy("rank_no").limit(self.k).collect()]  # a row a feature
+        if o.get("reduce") not in (None, "none"):
+            red = R.fit_reducer(df, cols, o["reduce"], self.target, self.n)
+            add(lambda d: R.project(d, red))
+            cols = [f"{red['prefix']}{i + 1}" for i in range(red["axes"].shape[1])]
+        if o.get("classify"):
+            clf = R.fit_lda(df, cols, self.target)
+            add(lambda d: R.lda_predict(d, clf, f"pred_{self.target}"))
+        self.selected = cols
+        return self
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for f in self.done:
+            df = f(df)
+        return df
+
+
+def feature_shape(df: DataFrame, features: Sequence[str], group: str = "sex", individual: str = "individual_id") -> DataFrame:
+    """(feature, individual, group, mean): means of the feature that the groups explain best, one row an individual."""
+    best = P.rank_univariate(df, features, group).orderBy("rank_no").first()["feature"]
+    return df.filter(F.col(best).isNotNull()).groupBy(individual, group).agg(F.avg(best).alias("mean")).withColumn("feature", F.lit(best))
+
+
+def distance_weights(pairs: DataFrame, distances: Sequence[str], truth: str, model: str = "logistic") -> DataFrame:
+    """(distance, weight, rank_no): logistic coefficients by size, or importances of boosted trees, of a decision on distances."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    d = pairs.filter(F.col(truth).isNotNull()).na.drop(subset=list(distances))
+    d = P.apply_scale(d, P.fit_standard(d, distances))
+    d = VectorAssembler(inputCols=list(distances), outputCol="_x").transform(d).withColumn("_y", F.col(truth).cast("double"))
+    if model == "logistic":
+        w = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=200).fit(d).coefficients.toArray()
+    else:
+        w = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=20, seed=99).fit(d).featureImportances.toArray()
+    rows = sorted(zip(distances, map(float, w)), key=lambda x: -abs(x[1]))
+    return pairs.sparkSession.createDataFrame([(c, x, k) for k, (c, x) in enumerate(rows, 1)], "distance string, weight double, rank_no int")
+
+
+def write_splits(df: DataFrame, path: str, by_origin: dict | None = None, dataset: str = "species") -> None:
+    """Split each data set and write it, one folder a data set and split; by data origin where ``by_origin`` says how."""
+    from ..operators.splits import origin_split, stratified_split
+
+    out = origin_split(df.drop("split"), **by_origin) if by_origin else stratified_split(df.drop("split"))
+    out.write.mode("overwrite").option("compression", "gzip").partitionBy(dataset, "split").parquet(path)

@@ -288,3 +288,80 @@ def test_streams(spark, tmp_path):
         s = spark.readStream.schema("k int, s string").parquet(src)
         incremental.append_new(s, out, ["k"], f"{tmp_path}/ck{n}").awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+# ------------------------------------------------------------------ pipelines
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4):
+        for t in range(2):
+            for _ in range(5):
+                v = rng.normal(0, 1, 4) + 6 * np.eye(4)[i]
+                rows.append((len(rows), f"i{i}", f"i{i}_t{t}", "fm"[i % 2], i % 2, *map(float, v)))
+    return spark.createDataFrame(rows, "id long, individual_id string, trail string, sex string, fold int, a double, b double, c double, d double")
+
+
+def test_projected_pairs_part_individuals(spark):
+    from spoorlens.plans import pipelines as PL
+
+    df, cols = vectors(spark), ["a", "b", "c", "d"]
+    pairs = PR.trail_pairs(PR.trail_table(df)).select("trail_a_id", "trail_b_id", "same_individual")
+    out = PL.overlap_predictions(PL.project_pairs(pairs, df, cols, PL.PairConfig(k_features=3)))
+    rows = out.collect()
+    assert len(rows) == 28 and all(len(r["selected_features"]) == 3 and len(r["coords_a"]) == 5 for r in rows)
+    mean = lambda same: np.mean([r["dist_euclidean"] for r in rows if r["same_individual"] is same])
+    assert mean(False) > 2 * mean(True)
+    got = E.confusion(out.withColumn("t", F.col("same_individual").cast("int")), "t", "pred_same").first()
+    assert got["bcr"] > 0.9
+    # a pair's rest needs two rows
+    few = df.filter("trail in ('i0_t0', 'i1_t0')")
+    assert PL.project_pairs(pairs.filter("trail_a_id = 'i0_t0' and trail_b_id = 'i1_t0'"), few, cols).collect() == []
+    with pytest.raises(ValueError):
+        PL.project_pairs(pairs, df, cols, PL.PairConfig(reducer="umap"))
+
+
+def test_forward_selection_on_moments_agrees_with_rows(spark):
+    from spoorlens.plans.pipelines import _forward_moments
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (60, 5))
+    g = np.repeat([0, 1, 2], 20)
+    x[:, 2] += 3 * g
+    x[:, 4] -= g
+    x -= x.mean(axis=0)
+    within = sum((x[g == k] - x[g == k].mean(axis=0)).T @ (x[g == k] - x[g == k].mean(axis=0)) for k in range(3))
+    a = [i for i, _ in _forward_moments(within, x.T @ x, 60, 3, 3)]
+    b = [i for i, _ in P.forward_order(x, g, 3)]
+    assert a == b
+
+
+def test_classification_pipelines(spark):
+    from spoorlens.plans import pipelines as PL
+
+    df, cols = vectors(spark), ["a", "b", "c", "d"]
+    f = df.withColumn("fold", F.col("id").cast("int") % 2)
+    pred = PL.fold_predictions(f, cols, "sex")
+    assert pred.count() == 40 and PL.classification_report(pred, "sex").first()["accuracy"] > 0.8
+    pipe = PL.FeaturePipeline(cols, "sex", k=3, impute="mean", outliers="clip", scale="standard", select="variance", reduce="pca", classify="lda")
+    assert "pred_sex" in pipe.fit(df).apply(df).columns
+    with pytest.raises(ValueError):
+        PL.FeaturePipeline(cols, "sex", scale="odd")
+    with pytest.raises(ValueError):
+        PL.FeaturePipeline(cols, "sex", odd="scale")
+
+
+def test_sequential_holdout(spark):
+    from spoorlens.plans import pipelines as PL
+
+    table, summary = PL.sequential_holdout(vectors(spark), ["a", "b", "c", "d"], (2, 3), 2, PL.PairConfig(k_features=3))
+    rows = table.collect()
+    assert len(rows) == 4 and all(0 <= r["bcr"] <= 1 and r["true_count"] == r["n_val"] for r in rows)
+    assert summary.first()["erd"] is not None
+
+
+def test_forest_imputation(spark):
+    df = spark.createDataFrame([(k, float(k % 10), None if k % 13 == 0 else 2.0 * (k % 10)) for k in range(120)], "id long, x double, y double")
+    out = P.iterative_impute(df, ["x", "y"], "id", trees=5, rounds=2)
+    err = out.filter("id % 13 = 0").agg(F.max(F.abs(F.col("y") - 2 * F.col("x")))).first()[0]
+    assert out.columns == df.columns and out.filter("y is null").count() == 0 and err < 4
