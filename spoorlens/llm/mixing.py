@@ -28,7 +28,7 @@ from ..sources.stages import Stages
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Buckets that words are hashed into, hash buckets of the running sums, steps a unit of posterior has.
 WORDS, BUCKETS, GRID = 4096, 1024, 20
-ROUNDS, RATE = 40, 0.7
+ROUNDS, RATE = 40, 1.0
 
 
 def _counter(path: str):
@@ -103,7 +103,7 @@ def fit_rates(classes: DataFrame, shares: np.ndarray, available: np.ndarray, tot
         sums = classes.agg(*[F.sum(r * F.col("tokens") * F.col("q")[k]).alias(f"t{k}") for k in range(len(shares))]).first()
         reached = np.array([x or 0.0 for x in sums])
         residual = np.where(available > 0, (reached - goal) / np.maximum(available, 1), 0.0)
-        if np.abs(reached - goal)[available > 0].max(initial=0.0) <= 1e-9 * max(total, 1):
+        if np.abs(reached - goal)[available > 0].max(initial=0.0) <= 1e-6 * max(total, 1):
             break
         history.append([float(x) for x in residual])
     return history
