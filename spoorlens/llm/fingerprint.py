@@ -68,32 +68,27 @@ def _blocks(level: int, n: int) -> list[tuple[int, ...]]:
 
 def _keys(rows: DataFrame, level: int, probe: bool) -> DataFrame:
     """(block, word) rows: of a record's own cells, or of all cells within the tolerance if ``probe``."""
-    n, out = len(MEASURES), []
-    for k, block in enumerate(_blocks(level, n)):
-        words = [[]]
+    # the expression is long, so it is parsed from text
+    out = []
+    for k, block in enumerate(_blocks(level, len(MEASURES))):
+        words = [""]
         for i in block:
-            log = F.log(F.col("m")[i])
-            ends = [_code(log - _REACH * 1.0000001), _code(log + _REACH * 1.0000001)] if probe else [_code(log)]
-            words = [w + [e] for w in words for e in ends]
-        out += [F.struct(F.lit(k).alias("block"), _word(w).alias("word")) for w in words]
-    keys = F.array_distinct(F.filter(F.array(*out), lambda s: s["word"].isNotNull()))
+            ends = [f"lo[{i}]", f"hi[{i}]"] if probe else [f"code[{i}]"]
+            words = [f"(shiftleft({w}, {BITS}) | {e})" if w else e for w in words for e in ends]
+        out += [f"named_struct('block', {k}, 'word', {w})" for w in words]
+    keys = F.expr(f"array_distinct(filter(array({', '.join(out)}), s -> s.word is not null))")
     return rows.select("rep", "held", "print", F.explode(keys).alias("key")).select("rep", "held", "print", "key.block", "key.word")
 
 
-def _masks(held: Column, k: int) -> Column:
-    """Bits of word ``k`` whose measurements are held: of the bit set ``held``, three bits."""
-    one = (1 << BITS) - 1
-    table = [sum(one << (BITS * (BLOCK - 1 - j)) for j in range(BLOCK) if x >> j & 1) for x in range(1 << BLOCK)]
-    return F.array(*[F.lit(x) for x in table])[F.shiftright(held, BLOCK * k).bitwiseAND(F.lit((1 << BLOCK) - 1))]
-
-
 def _within(a: str, b: str) -> Column:
     """Whether the codes of two records differ in at most one bit for each measurement both hold."""
-    ha, hb = F.col(f"{a}.held"), F.col(f"{b}.held")
-    both = ha.bitwiseAND(hb)
+    one = (1 << BITS) - 1
+    # bits of a word whose measurements are held, for each set of three
+    masks = f"array({', '.join(f'{sum(one << (BITS * (BLOCK - 1 - j)) for j in range(BLOCK) if x >> j & 1)}L' for x in range(1 << BLOCK))})"
+    both = f"({a}.held & {b}.held)"
     words = -(-len(MEASURES) // BLOCK)
-    d = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.print")[k].bitwiseXOR(F.col(f"{b}.print")[k]).bitwiseAND(_masks(both, k))) for k in range(words)])
-    return (both != 0) & (d <= F.bit_count(both))
+    differ = " + ".join(f"bit_count(({a}.print[{k}] ^ {b}.print[{k}]) & {masks}[shiftright({both}, {BLOCK * k}) & {(1 << BLOCK) - 1}])" for k in range(words))
+    return F.expr(f"{both} <> 0 and {differ} <= bit_count({both})")
 
 
 def footprint_records(footprints: DataFrame) -> DataFrame:
@@ -105,14 +100,22 @@ def footprint_records(footprints: DataFrame) -> DataFrame:
     return rows.filter("role is not null and id is not null").filter(F.exists("m", lambda v: v.isNotNull()))
 
 
+def _shifted(by: float):
+    return lambda log: _code(log + by)
+
+
 def representatives(records: DataFrame) -> DataFrame:
     """One row for each distinct (role, names, measurements): exact copies are compared once.
 
-    ``rep`` is a 128-bit hash of these; ``print`` the fingerprint words; ``held`` the bit set of held
+    ``rep`` is a 128-bit hash of these; ``code`` has the codes of the measurements, ``lo`` and ``hi`` those
+    of the ends of the tolerance; ``print`` the fingerprint words; ``held`` the bit set of held
     measurements; ``miss`` how many are missing.
     """
     one = records.groupBy("role", "rep").agg(*[F.any_value(c).alias(c) for c in ("ind", "trail", "m")])
-    words = [_word([F.coalesce(_code(F.log(F.col("m")[i])), F.lit(0)) for i in b]) for b in _blocks(1, len(MEASURES))]
+    shift = {"code": 0.0, "lo": -_REACH * 1.0000001, "hi": _REACH * 1.0000001}
+    logs = F.transform("m", lambda v: F.log(v))
+    one = one.withColumns({c: F.transform(logs, _shifted(s)) for c, s in shift.items()})
+    words = [_word([F.coalesce(F.col("code")[i], F.lit(0)) for i in b]) for b in _blocks(1, len(MEASURES))]
     held = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col("m")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(MEASURES))])
     return one.withColumns({"print": F.array(*words), "held": held}).withColumn("miss", len(MEASURES) - F.bit_count("held"))
 
