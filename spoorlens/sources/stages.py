@@ -13,7 +13,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -49,6 +50,16 @@ class Stages:
         out._stage_path = at
         return out
 
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``write``, and the number of rows as the writing tasks counted them.
+
+        A task that runs again after an executor is lost may be counted twice: the number tells zero from
+        some and steers loops, but is no result.
+        """
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a stage that nothing will read again."""
         at = getattr(df, "_stage_path", None)
