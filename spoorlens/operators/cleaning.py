@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.labels import base_trail, label_form
 from ..functions.numbers import decimal_comma, finite, measurement
 from ..functions.texts import standard_sex
+from ..sources.stages import Stages
 
 #: Name prefixes of feature columns, and the roles of the other columns.
 FEATURE_PREFIXES = ("v", "area", "dist", "ang", "t")
@@ -114,20 +115,35 @@ def known_trails(df: DataFrame, column: str = "trail") -> DataFrame:
     return df.filter(F.col(column).isNotNull() & (F.lower(F.trim(column)) != "unknown"))
 
 
-def running_id(df: DataFrame, order: Sequence[str], name: str = "id", start: int = 0) -> DataFrame:
-    """Contiguous numbers in the given order.
+def running_id(df: DataFrame, order: Sequence[str | Column], name: str = "id", start: int = 0) -> DataFrame:
+    """Contiguous numbers in the given order, which should have no ties.
 
     Rows are numbered within ranges of the order and the ranges' offsets added, so no task sorts all.
+    The ranges are written before they are counted, as their bounds come from a sample.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    keys = {f"_o{k}": (F.col(c) if isinstance(c, str) else c) for k, c in enumerate(order)}
+    ranged = df.withColumns(keys).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*keys))).drop(*keys)
+    ranged = Stages(spark, "ranges").write(ranged, "rows")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") + (start - 1)).drop("_part", "_row", "_before")
 
 
+def ranked_within(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rank: str = "_k", size: str = "_n") -> DataFrame:
+    """``df`` with each row's place (from 1) among the rows of equal ``by``, and how many these are; ``by`` isn't null.
+
+    The places come from one running number over all, so a key that holds a third of the rows is no one
+    task's work.
+    """
+    d = running_id(df, [*by, *order], "_all", 1)
+    first = d.groupBy(*by).agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias(size))
+    joined = d.join(first, list(by)) if by else d.crossJoin(F.broadcast(first))  # one row
+    return joined.withColumn(rank, F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
+
+
 def report_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(n_rows, n_columns, n_null, n_inf): size of a table and its NaN or null and infinite numbers."""
     null = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in columns]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distances import METRICS, all_distances, distance
 from ..functions.labels import known
+from .cleaning import running_id
 
 
 def trail_table(df: DataFrame, trail: str = "trail", individual: str = "individual_id", sex: str = "sex", fold: str = "fold", substrate: str | None = None, key: str = "id", position: str = "id") -> DataFrame:
@@ -107,7 +108,7 @@ def gathered(lists: DataFrame, points: DataFrame, list_key: str, samples: str, k
 
 def resolved_ids(wanted: DataFrame, base: DataFrame, ref: str, key: str) -> DataFrame:
     """``wanted`` with ``resolved``: the id itself if known, else the id at that position (from 0); an error for neither."""
-    ids = base.select(F.col(key).cast("string").alias("_id"), (F.row_number().over(Window.orderBy(key)) - 1).cast("string").alias("_pos"))
+    ids = running_id(base.select(key), [key], "_pos").select(F.col(key).cast("string").alias("_id"), F.col("_pos").cast("string").alias("_pos"))
     a = wanted.join(ids.select(F.col("_id").alias(ref), F.col("_id").alias("_hit")), ref, "left")
     b = a.join(ids.select(F.col("_pos").alias(ref), F.col("_id").alias("_at")), ref, "left")
     return b.withColumn("resolved", F.coalesce("_hit", "_at", F.raise_error(F.concat(F.lit("no such id or position: "), F.col(ref))))).drop("_hit", "_at")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import known
+from .cleaning import ranked_within
 
 SEED, TEST_SIZE, FOLDS = 99, 0.2, 5
 
@@ -37,8 +38,7 @@ def stratified_split(df: DataFrame, individual: str = "individual_id", sex: str
     Rows of individuals without a valid sex, and of unknown ones, are inference.
     """
     own = individuals(df, individual, sex, position)
-    w = Window.partitionBy(sex)
-    ranked = own.withColumns({"_k": F.row_number().over(w.orderBy(*_order(individual, order, seed))), "_n": F.count(F.lit(1)).over(w)})
+    ranked = ranked_within(own, [sex], _order(individual, order, seed))
     split = ranked.select(individual, F.when(F.col("_k") <= F.ceil(F.col("_n") * test_size), "test").otherwise("train").alias("split"))
     return df.join(split, individual, "left").fillna("inference", ["split"])
 
@@ -46,10 +46,8 @@ def stratified_split(df: DataFrame, individual: str = "individual_id", sex: str
 def group_split(df: DataFrame, group: str, test_size: float = TEST_SIZE, seed: int = SEED, order: Column | None = None) -> DataFrame:
     """``df`` with ``split``: the first ``floor(n * (1 - test_size))`` groups in random order are train."""
     own = df.select(group).filter(F.col(group).isNotNull()).distinct()
-    place = F.percent_rank().over(Window.orderBy(*_order(group, order, seed)))
-    n = own.count()
-    keep = int(n * (1 - test_size) + 1e-9)
-    split = own.withColumn("_k", place * max(n - 1, 1)).select(group, F.when(F.col("_k") < keep - 0.5, "train").otherwise("test").alias("split"))
+    ranked = ranked_within(own, [], _order(group, order, seed))
+    split = ranked.select(group, F.when(F.col("_k") <= F.floor(F.col("_n") * (1 - test_size) + 1e-9), "train").otherwise("test").alias("split"))
     return df.join(split, group, "left")
 
 
@@ -63,8 +61,8 @@ def stratified_folds(df: DataFrame, group: str = "individual_id", stratum: str =
     k = min(n_folds, least)
     if k < 2:
         raise ValueError(f"folds need two groups of each stratum; the smallest has {least}")
-    w = Window.partitionBy(stratum).orderBy(*_order(group, order, seed))
-    return own.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    ranked = ranked_within(own, [stratum], _order(group, order, seed))
+    return ranked.select(group, stratum, ((F.col("_k") - 1) % k).cast("int").alias("fold"))
 
 
 def fold_balance(df: DataFrame, fold: str = "fold", target: str = "sex", classes: Sequence = ("f", "m")) -> DataFrame:
@@ -131,15 +129,16 @@ def sequential_holdouts(df: DataFrame, sizes: Sequence[int], iterations: int, in
     grid = [(i, s, max(2, min(s, n - 1))) for i in range(iterations) for s in sizes]
     draws = ids.select(individual, F.explode(F.array(*[F.struct(F.lit(i).alias("iteration"), F.lit(s).alias("n_val"), F.lit(k).alias("_k")) for i, s, k in grid])).alias("g")).select(individual, "g.*")
     rnd = order if order is not None else F.xxhash64(F.lit(seed), "iteration", "n_val", individual)
+    # the rank is bounded, so Spark limits each draw in each task before it shuffles
     w = Window.partitionBy("iteration", "n_val").orderBy(rnd, individual)
-    return draws.withColumn("_r", F.row_number().over(w)).filter("_r <= _k").select("iteration", "n_val", individual)
+    return draws.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(k for _, _, k in grid)).filter("_r <= _k").select("iteration", "n_val", individual)
 
 
 def chunk_trails(df: DataFrame, size: int, individual: str = "individual_id", key: str = "id", seed: int = SEED, order: Column | None = None) -> DataFrame:
     """``df`` with ``new_trail``: each individual's rows in random order cut into trails of ``size``; the short rest is null."""
-    w = Window.partitionBy(individual)
-    k = F.row_number().over(w.orderBy(*_order(key, order, seed)))
-    d = df.withColumns({"_k": k, "_n": F.count(F.lit(1)).over(w)})
+    d = ranked_within(df.filter(F.col(individual).isNotNull()), [individual], _order(key, order, seed))
+    lost = df.filter(F.col(individual).isNull()).withColumns({"_n": F.lit(0).cast("long"), "_k": F.lit(1).cast("long")})
+    d = d.unionByName(lost)
     number = F.floor((F.col("_k") - 1) / size) + 1
     return d.withColumn("new_trail", F.when(number * size <= F.col("_n"), F.concat_ws("_", individual, F.lit(size), number))).drop("_k", "_n")
 
@@ -172,11 +171,8 @@ def triplets(df: DataFrame, individual: str, key: str, per_anchor: int = 1, seed
     the row of equal number on the next individual's ring.  Individuals with one row give no anchor.
     """
     rows = df.filter(F.col(individual).isNotNull()).select(F.col(individual).alias("g"), F.col(key).alias("k"))
-    w = Window.partitionBy("g")
-    rows = rows.withColumns({"r": F.row_number().over(w.orderBy(seeded("k", seed=seed), "k")) - 1, "n": F.count(F.lit(1)).over(w)})
-    groups = rows.groupBy("g").agg(F.first("n").alias("n"))
-    ring = Window.orderBy(seeded("g", seed=seed), "g")
-    groups = groups.withColumn("o", F.row_number().over(ring) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    rows = ranked_within(rows, ["g"], [seeded("k", seed=seed), "k"], "r", "n").withColumn("r", F.col("r") - 1)
+    groups = ranked_within(rows.groupBy("g").agg(F.any_value("n").alias("n")), [], [seeded("g", seed=seed), "g"], "o", "m").withColumn("o", F.col("o") - 1)
     nxt = groups.select(((F.col("o") - 1 + F.col("m")) % F.col("m")).alias("o"), F.col("g").alias("g2"), F.col("n").alias("n2"))
     out = rows.filter("n > 1").crossJoin(F.broadcast(rows.sparkSession.range(1, per_anchor + 1).withColumnRenamed("id", "t")))
     pos = rows.select("g", F.col("r").alias("pr"), F.col("k").alias("positive"))
@@ -192,7 +188,7 @@ def random_pairs(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame
     m = rows.count()
     if m < 2:
         return rows.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
-    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy(seeded("k", seed=seed), "k")) - 1)
+    numbered = ranked_within(rows, [], [seeded("k", seed=seed), "k"], "i", "m").select("k", (F.col("i") - 1).alias("i"))
     d = df.sparkSession.range(n).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).alias("i"), (1 + F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(m - 1))).alias("s"))
     d = d.withColumn("j", (F.col("i") + F.col("s")) % m)
     return d.join(numbered.withColumnRenamed("k", "a"), "i").join(numbered.select(F.col("k").alias("b"), F.col("i").alias("j")), "j").select("a", "b")
