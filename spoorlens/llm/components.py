@@ -87,8 +87,8 @@ def contracted_groups(pairs: DataFrame, a: str, b: str, stages: Stages, max_roun
     When fewer than ``least_share`` of the edges would go, the core is solved with alternating stars.
     Labels then return in reverse order of removal.
     """
-    edges = stages.write(undirected(pairs, a, b), "edges")
-    left, removed = edges.count(), []
+    edges, left = stages.write_counted(undirected(pairs, a, b), "edges")
+    removed = []
     first = edges
     for _ in range(max_rounds):
         if not left:
@@ -98,21 +98,20 @@ def contracted_groups(pairs: DataFrame, a: str, b: str, stages: Stages, max_roun
         links = low.select("x", "p", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
         rival = low.select(F.col("x").alias("y"), F.col("p").alias("q"))
         waits = links.join(rival, "y").filter("q < p or (q = p and y < x)").select("x").distinct()
-        gone = stages.write(low.join(waits, "x", "left_anti").select("x", "lo", "hi"), "gone")
-        n = gone.count()
+        gone, n = stages.write_counted(low.join(waits, "x", "left_anti").select("x", "lo", "hi"), "gone")
         if n == 0:
             break
         ends = gone.select("x")
         rest = edges.join(ends.withColumnRenamed("x", "u"), "u", "left_anti").join(ends.withColumnRenamed("x", "v"), "v", "left_anti")
         bridges = gone.filter("lo < hi").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        new = stages.write(rest.select("u", "v").unionByName(bridges).distinct(), "edges")
+        before = left
+        new, left = stages.write_counted(rest.select("u", "v").unionByName(bridges).distinct(), "edges")
         stages.drop(low)
         if edges is not first:
             stages.drop(edges)
         removed.append(gone)
-        share, edges = n / left, new
-        left = edges.count()
-        if share < least_share:
+        edges = new
+        if n / before < least_share:
             break
     label = star_components(edges, stages) if left else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     # a vertex taken out takes the label of the neighbour it points to, or that neighbour itself if it stayed alone
