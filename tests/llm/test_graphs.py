@@ -96,7 +96,9 @@ def test_assignment_keeps_families_whole(spark):
     assert out.count() == len(rows)
     assert out.groupBy("family").agg(F.countDistinct("split_name").alias("n")).filter("n > 1").count() == 0
     n = {r[0]: r[1] for r in out.groupBy("split_name").count().collect()}
-    assert set(n) <= {"train", "test", "validation"} and n["train"] / len(rows) > 0.3
+    # one animal holds a third of the rows, and the shares are met all the same
+    for name, share in (("train", 0.6), ("test", 0.25), ("validation", 0.15)):
+        assert abs(n[name] / len(rows) - share) < 0.02
     even = spark.createDataFrame([r for r in rows if r[2] != "hot"], FOOT)
     n = {r[0]: r[1] for r in assign_splits(even, targets, {"animal": animal()}).groupBy("split_name").count().collect()}
     total = sum(n.values())
