@@ -273,9 +273,10 @@ def _first_names(pdf: pd.DataFrame) -> pd.DataFrame:
 def unified(files: DataFrame, lines: DataFrame, key: str = KEY) -> DataFrame:
     """(feed_id, record, file_id, fields): one row for each record of each feed, its fields in a map.
 
-    Fields bear the name they had first in their feed and canonical values; a record that several files
-    repeat is taken from the latest of them.  Records without a number are rows of their own, named
-    by file and row.
+    Fields bear the name they had first in their feed and canonical values.  Where several rows hold a
+    record, each field has the value of the latest of them in which it isn't missing, and ``file_id`` is
+    the latest file with the record.  Records without a number are rows of their own, named by file and
+    row.
     """
     stages = Stages(files.sparkSession, "unified")
     cells = stages.write(typed(parsed_cells(files, lines)), "cells")
@@ -284,7 +285,13 @@ def unified(files: DataFrame, lines: DataFrame, key: str = KEY) -> DataFrame:
     columns = cells.select("feed_id", "file_id", "name").distinct().join(version.select("file_id", "place"), "file_id")
     columns = columns.join(changes.filter("change_kind = 'renamed'").select("file_id", F.col("new_name").alias("name"), "old_name"), ["file_id", "name"], "left")
     names = stages.write(columns.groupBy("feed_id").applyInPandas(_first_names, "file_id long, name string, field string"), "names")
-    rows = cells.filter("text is not null").join(names, ["file_id", "name"]).groupBy("feed_id", "file_id", "row_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
-    rows = rows.withColumn("record", F.coalesce(F.try_element_at("fields", F.lit(key)), F.concat_ws(":", F.lit("row"), "file_id", "row_no")))
-    latest = rows.join(version.select("file_id", "place"), "file_id").groupBy("feed_id", "record").agg(F.max_by(F.struct("file_id", "fields"), F.struct("place", "row_no")).alias("r"))
-    return latest.select("feed_id", "record", "r.file_id", "r.fields")
+    held = F.collect_list(F.struct("field", "value")).alias("held")
+    number = F.min(F.when(F.col("field") == key, F.col("value")))
+    rows = cells.filter("text is not null").join(names, ["file_id", "name"]).groupBy("feed_id", "file_id", "row_no").agg(held, number.alias("number"))
+    rows = rows.withColumn("record", F.coalesce("number", F.concat_ws(":", F.lit("row"), "file_id", "row_no"))).join(version.select("file_id", "place"), "file_id")
+    # field by field: the latest value that isn't missing
+    each = rows.select("feed_id", "record", F.struct("place", "row_no", "file_id").alias("at"), F.inline("held"))
+    known = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("at", "value")))
+    merged = each.groupBy("feed_id", "record", "field").agg(known.alias("value"), F.max("at").alias("at"))
+    out = merged.groupBy("feed_id", "record").agg(F.max("at").alias("at"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    return out.select("feed_id", "record", "at.file_id", "fields")

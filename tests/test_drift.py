@@ -69,6 +69,18 @@ def test_unified_keeps_first_names_and_latest_rows(spark):
     assert all(set(x["fields"]) == {"print_no", "dist1"} for x in rows.values())
 
 
+def test_unified_keeps_values_that_only_an_earlier_row_has(spark):
+    a = numbered(["print_no;dist1;note;flag"] + [f"{k};{k},5;n{k};true" for k in range(1, 9)])
+    # the later file lacks ``note``; print 5 has no ``dist1`` there, that of print 6 is missing, that of 7 differs
+    b = [(1, '{"print_no": 5, "flag": false}'), (2, '{"print_no": 6, "dist1": "n/a", "flag": true}'), (3, '{"print_no": 7, "dist1": 9.25, "flag": true}'), (4, '{"print_no": 9, "dist1": null, "flag": "-"}')]
+    f, r = feed(spark, [(1, 1, "delimited", ";", 1), (2, 1, "jsonl", None, 2)], {1: a, 2: b})
+    rows = {x["record"]: (x["file_id"], x["fields"]) for x in D.unified(f, r).collect()}
+    assert rows["5.0"] == (2, {"print_no": "5.0", "dist1": "5.5", "note": "n5", "flag": "false"})
+    assert rows["6.0"] == (2, {"print_no": "6.0", "dist1": "6.5", "note": "n6", "flag": "true"})
+    assert rows["7.0"] == (2, {"print_no": "7.0", "dist1": "9.25", "note": "n7", "flag": "true"})
+    assert rows["9.0"] == (2, {"print_no": "9.0", "flag": None})
+
+
 def test_assignment_is_the_best():
     rnd = random.Random(1)
     for _ in range(60):
