@@ -11,6 +11,7 @@ against all texts.  Texts are never shuffled, cut or collected.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -90,32 +91,45 @@ class _Items:
         return out
 
 
-def _runs(item: list[int], text: list[int]) -> list[tuple[int, int, int]]:
-    """(text start, item start, length) of the longest runs of two or more equal tokens."""
+def _runs(item: list[int], item_word: list[int], text: list[int], text_word: list[int]) -> list[tuple[int, int, int]]:
+    """(text start, item start, length) of the runs of equal tokens that a passage can be chained of.
+
+    A passage always has a run of two or more tokens.  A single equal token counts only near one of
+    these: from there a passage passes at most ``most`` errors and as many single tokens between them.
+    """
     where = defaultdict(list)
     for i, t in enumerate(item):
         where[t].append(i)
-    runs, last = [], {}
-    for j, t in enumerate(text):
+    runs, single, last = [], [], {}
+    for j, t in enumerate([*text, 0]):
         now = {}
         if t:
             for i in where.get(t, ()):
                 now[i + 1] = last.get(i, 0) + 1
         for i, n in last.items():
-            if n > 1 and now.get(i + 1, 0) != n + 1:
-                runs.append((j - n, i - n, n))
+            if now.get(i + 1, 0) != n + 1:
+                (runs if n > 1 else single).append((j - n, i - n, n))
         last = now
-    runs += [(len(text) - n, i - n, n) for i, n in last.items() if n > 1]
+    most = len(set(item_word)) // PER_ERROR
+    reach, at, near = 2 * most + 1, [text_word[j] for j, _, _ in single], set()
+    for j, i, n in runs:
+        for y, x in ((text_word[j], item_word[i]), (text_word[j + n - 1], item_word[i + n - 1])):
+            for k in range(bisect_left(at, y - reach), bisect_right(at, y + reach)):
+                d = item_word[single[k][1]] - x
+                if -reach <= d <= reach and -reach <= d - at[k] + y <= reach:
+                    near.add(k)
+    runs += [single[k] for k in near]
     return sorted(runs)
 
 
 def longest_passage(item: list[int], item_word: list[int], text: list[int], text_word: list[int]) -> int:
     """Words of the longest stretch of the item in the text with at most one error in ``PER_ERROR`` words; 0 if none.
 
-    An error is a word replaced, dropped or added.  Runs are chained in the order of both; a chain's
-    state is, for each number of errors, the earliest word it began with.
+    An error is a word replaced, dropped or added.  A stretch begins and ends with equal words.  Runs
+    are chained in the order of both; a chain's state is, for each number of errors, the earliest word
+    it began with.
     """
-    runs = _runs(item, text)
+    runs = _runs(item, item_word, text, text_word)
     most = len(set(item_word)) // PER_ERROR
     best, ends = 0, []
     for j, i, n in runs:

@@ -1,5 +1,6 @@
 """Problems 7, 8 and 9 on small texts."""
 
+import itertools
 import os
 import random
 
@@ -107,6 +108,21 @@ def test_passages_against_edit_distance():
             assert mine >= 12
 
 
+def stretch(n, wrong):
+    """Words found of a passage of n words in which the words numbered in ``wrong`` are replaced."""
+    text = [0] * 4 + [900 + k if k in wrong else k for k in range(1, n + 1)] + [0] * 4
+    return longest_passage(list(range(1, n + 1)), list(range(n)), text, list(range(len(text))))
+
+
+def test_words_between_errors_count():
+    assert [stretch(12, {k}) for k in range(2, 12)] == [12] * 10
+    assert {stretch(16, set(p)) for p in itertools.combinations(range(2, 16), 2)} == {16}
+    assert stretch(16, {5, 7, 9}) < 16  # three errors are too many
+    assert stretch(40, {12, 14, 16, 18, 20}) == 40
+    # a replaced word at an edge isn't part of the stretch
+    assert stretch(12, {1}) == stretch(12, {12}) == 11
+
+
 # ------------------------------------------------------------------ problem 9
 PROSE = "Stride length averaged 28.9 cm over 16 steps on fresh snow, so both readers agreed. We kept photo R-21, since the gravel edge had preserved the second toe below the spruce row. A lone observer logged 9 casts from the bank, all taken with a levelled frame."
 SAME = "The otter print beside the other otter print is shallow, and the otter left it at the ford. " * 12
