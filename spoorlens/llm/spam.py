@@ -5,7 +5,8 @@ words it has, of what size its cells are between separators, whether it is links
 whether it begins with a capital and ends as a sentence.  Pieces of one shape are grouped, so a page is
 a handful of groups with a share of its characters each.  Shapes that are no sentences by themselves
 (links, hash tags, product cells) count as they are; shapes of words count where they are made of the
-page's few repeated words.  A page is flagged if such groups hold more than half of its characters.
+few repeated words of the lines around them or, with next to no function words, of words that the page
+repeats.  A page is flagged if such groups hold more than half of its characters.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ SHARE = 0.5
 BOUND, LOOSE_BOUND = 0.36, 0.6
 #: Words up to which a piece is short.
 SHORT = 7
+#: Content words of a window; a word is frequent by its share of the window, so that a page's length
+#: doesn't raise the count it needs.
+WINDOW = 600
+#: Share of function words under which a piece is bare, and the count on the page from which any of
+#: its words is a repeated one, however many keywords there are.
+BARE, REPEATS = 0.2, 3
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _ANCHOR = re.compile(r"<a\s[^<>]*>(.*?)</a>|\[([^\[\]]*)\]\(([^()\s]*)\)", re.I | re.S)
@@ -122,6 +129,22 @@ def pieces(text: str) -> list[_Piece]:
     return out
 
 
+def _windows(parts: list[_Piece]) -> list[list[_Piece]]:
+    """Pieces in order, in windows of ``WINDOW`` content words or little more; a short rest goes to the last one."""
+    out: list[list[_Piece]] = [[]]
+    n = 0
+    for p in parts:
+        if n >= WINDOW:
+            out.append([])
+            n = 0
+        out[-1].append(p)
+        n += len(p.words)
+    if len(out) > 1 and n * 2 < WINDOW:
+        rest = out.pop()
+        out[-1] += rest
+    return out
+
+
 def spam_share(text: str | None) -> tuple[float, int, str]:
     """Share of a text's characters in non-sentence groups, how many such groups, and the largest one's kind."""
     if not text or not text.strip():
@@ -130,20 +153,24 @@ def spam_share(text: str | None) -> tuple[float, int, str]:
     total = sum(p.size for p in parts)
     if not total:
         return 0.0, 0, ""
-    count = Counter(w for p in parts for w in p.words)
-    n = sum(count.values())
-    hot = {w for w, c in count.items() if c >= max(3, 0.015 * n)}
-    warm = {w for w, c in count.items() if c >= max(2, 0.01 * n)}
+    page = Counter(w for p in parts for w in p.words)
+    often = {w for w, c in page.items() if c >= REPEATS}
     groups: dict[tuple, int] = defaultdict(int)
-    for p in parts:
-        kind = p.shape[0]
-        if kind in ("links", "tags", "product"):
-            groups[p.shape] += p.size
-        elif kind != "figures" and p.words:
-            sentence = kind in ("words", "list") and p.shape[2] and p.shape[3] and len(p.words) / (1 - p.bound) > SHORT
-            few = hot if len(p.words) > SHORT else warm
-            if p.bound < (BOUND if sentence else LOOSE_BOUND) and sum(w in few for w in p.words) >= 0.7 * len(p.words):
-                groups["repeated", *p.shape[1:]] += p.size
+    for window in _windows(parts):
+        count = Counter(w for p in window for w in p.words)
+        n = sum(count.values())
+        hot = {w for w, c in count.items() if c >= max(3, 0.015 * n)}
+        warm = {w for w, c in count.items() if c >= max(2, 0.01 * n)}
+        for p in window:
+            kind = p.shape[0]
+            if kind in ("links", "tags", "product"):
+                groups[p.shape] += p.size
+            elif kind != "figures" and p.words:
+                sentence = kind in ("words", "list") and p.shape[2] and p.shape[3] and len(p.words) / (1 - p.bound) > SHORT
+                few = hot if len(p.words) > SHORT else warm
+                repeated = sum(w in few or (p.bound < BARE and w in often) for w in p.words)
+                if p.bound < (BOUND if sentence else LOOSE_BOUND) and repeated >= 0.7 * len(p.words):
+                    groups["repeated", *p.shape[1:]] += p.size
     if not groups:
         return 0.0, 0, ""
     return sum(groups.values()) / total, len(groups), max(groups, key=groups.get)[0]

@@ -142,6 +142,23 @@ def test_spam(text, spam):
     assert (spam_share(text)[0] > 0.5) is spam
 
 
+def keyword_lines(n, times, width, tail=""):
+    """Lines of n keywords, each used so many times, in a seeded order."""
+    words = [f"kw{chr(97 + k % 26)}{chr(97 + k // 26)}{tail}" for k in range(n)] * times
+    random.Random(5).shuffle(words)
+    return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+
+def test_length_and_many_keywords_hide_no_spam():
+    for n, times in ((40, 10), (80, 3), (120, 50), (300, 100)):
+        assert all(spam_share(keyword_lines(n, times, width))[0] > 0.9 for width in (5, 14)), n
+    # pages with keywords of their own, joined, and with less than half as much prose
+    joined = "\n".join(keyword_lines(12, 12, 14, tail) for tail in ("a", "b", "c", "d", "e", "f", "g", "h"))
+    assert spam_share(joined)[0] > 0.9
+    assert spam_share(f"{joined}\n" + f"{PROSE}\n" * 12)[0] > 0.5
+    assert spam_share(f"{PROSE} {SAME}\n" * 40)[0] == 0
+
+
 def test_spam_pages(spark):
     rows = [(1, KEYS, "s"), (1, KEYS, "s"), (2, PROSE, "s"), (3, None, "s"), (4, "", "s"), (5, WALL * 300, "s"), (None, KEYS, "s")]
     assert sorted(r[0] for r in spam_pages(docs(spark, rows)).collect()) == [1, 5]
