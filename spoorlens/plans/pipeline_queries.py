@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -228,11 +230,18 @@ def pl12(spark, d):
     return out.select("tp", "fn", "fp", "tn", *[r6(F.col(c), c) for c in ("accuracy", "balanced_accuracy", "f1", "balanced", "pct_right")])
 
 
+def by_pipeline(pairs, fit):
+    """``fit`` of each pipeline's pairs by themselves, as each measures on a scale of its own; with the column ``pipeline``."""
+    pairs = pairs.withColumn("pipeline", F.coalesce("pipeline", F.lit("unknown")))
+    names = sorted(r[0] for r in pairs.select("pipeline").distinct().collect())
+    parts = [fit(pairs.filter(F.col("pipeline") == n)).withColumn("pipeline", F.lit(n)) for n in names]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("pl14_distance_benchmark")
 def pl14(spark, d):
-    m = mp(spark, d).filter("pipeline = 'rcv_lda'")
-    out = PL.distance_benchmark(m, ["euclidean", "manhattan", "chebyshev", "canberra"], "same", ["tag"], 0.98)
-    return out.select("tag", "tp", "fn", "fp", "tn", r6(F.col("bcr"), "bcr"))
+    out = by_pipeline(mp(spark, d), lambda m: PL.distance_benchmark(m, ["euclidean", "manhattan", "chebyshev", "canberra"], "same", ["tag"], 0.98))
+    return out.select("pipeline", "tag", "tp", "fn", "fp", "tn", r6(F.col("bcr"), "bcr"))
 
 
 @query("pl15_best_of", f"""WITH b AS (SELECT {label_sql('species')} AS species, {label_sql('model_key')} AS model_key, record_id, mean_cv_f1 AS f1 FROM best_models WHERE NOT isnan(mean_cv_f1)),
@@ -283,7 +292,7 @@ def st03(spark, d):
 @query("pl02_fold_pairs")
 def pl02(spark, d):
     f = flat_emb(spark, d).withColumn("fold", F.substring("individual_id", 2, 2).cast("int") % 3)
-    out = PL.cross_validated_pairs(f, DIMS[:16], PL.PairConfig(k_features=6))
+    out = PL.cross_validated_pairs(f, DIMS, PL.PairConfig(k_features=6))
     return out.select("trail_a_id", "trail_b_id", "fold", "same_individual", r6(F.col("dist_euclidean"), "dist_euclidean"))
 
 
@@ -291,7 +300,7 @@ def pl02(spark, d):
 def pl04(spark, d):
     f = flat_emb(spark, d)
     own = F.col("individual_id").isin("l0", "l1", "l2")
-    out = PL.baseline_pairs(f.filter(~own), f.filter(own), DIMS[:16], PL.PairConfig(k_features=6))
+    out = PL.baseline_pairs(f.filter(~own), f.filter(own), DIMS, PL.PairConfig(k_features=6))
     return out.select("trail_a_id", "trail_b_id", "origin", "same_individual", r6(F.col("dist_euclidean"), "dist_euclidean"))
 
 
@@ -299,14 +308,14 @@ def pl04(spark, d):
 def pl05(spark, d):
     f = flat_emb(spark, d)
     own = F.col("individual_id").isin("l0", "l1", "l2")
-    _, out = PL.embedding_pairs(f.filter(~own), f.filter(own), DIMS[:16])
+    _, out = PL.embedding_pairs(f.filter(~own), f.filter(own), DIMS)
     return out.select("trail_a_id", "trail_b_id", "same_individual", "pred_same", r6(F.col("proba"), "proba"))
 
 
 @query("pl07_experiments")
 def pl07(spark, d):
     f = flat_emb(spark, d).withColumn("fold", F.substring("individual_id", 2, 2).cast("int") % 2)
-    out = PL.experiments(f, DIMS[:12], [PL.PairConfig(k_features=4), PL.PairConfig(k_features=4, reducer="pca", selection="variance")])
+    out = PL.experiments(f, DIMS, [PL.PairConfig(k_features=4), PL.PairConfig(k_features=4, reducer="pca", selection="variance")])
     return out.select("k_features", "selection", "reducer", "fold", "tp", "fn", "fp", "tn", r6(F.col("bcr"), "bcr"))
 
 
@@ -318,8 +327,7 @@ def pl16(spark, d):
 
 @query("pl20_distance_weights")
 def pl20(spark, d):
-    m = mp(spark, d).filter("pipeline = 'rcv_lda'")
-    return PL.distance_weights(m, ["euclidean", "manhattan", "chebyshev", "canberra"], "same")
+    return by_pipeline(mp(spark, d), lambda m: PL.distance_weights(m, ["euclidean", "manhattan", "chebyshev", "canberra"], "same"))
 
 
 @query("ml20_feature_pipeline")

@@ -195,6 +195,17 @@ def ag14(spark, d):
     return c.join(u, "origin").select("origin", *[r6(F.col(x), x) for x in ("accuracy", "precision", "recall", "f1", "auc")])
 
 
+@query(
+    "ag14_auc_by_pipeline",
+    f"""WITH {DEC}, n AS (SELECT pipeline, origin, -euclidean AS s, count(*) FILTER (t = 1) AS pos, count(*) FILTER (t = 0) AS neg FROM dec GROUP BY ALL),
+    w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY pipeline, origin ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM n)
+    SELECT pipeline, origin, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM w GROUP BY pipeline, origin""",
+)
+def ag14_auc(spark, d):
+    u = E.roc_auc(decisions(spark, d).withColumn("s", -F.col("euclidean")), "t", "s", ["pipeline", "origin"])
+    return u.select("pipeline", "origin", r6(F.col("auc"), "auc"))
+
+
 @query("ag14_log_loss", f"WITH {DEC}, q AS (SELECT origin, t, exp(-euclidean / 2) AS p FROM dec) SELECT origin, round(-avg(CASE WHEN t = 1 THEN ln(greatest(least(p, 1 - 1e-15), 1e-15)) ELSE ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)) END), 6) AS log_loss FROM q GROUP BY origin")
 def ag14_log_loss(spark, d):
     return decisions(spark, d).groupBy("origin").agg(r6(E.log_loss("t", F.exp(-F.col("euclidean") / 2)), "log_loss"))
