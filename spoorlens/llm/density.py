@@ -80,9 +80,10 @@ def agreement(pairs: DataFrame, stages: Stages) -> DataFrame:
 
     Candidates are near pairs and pairs with a shared near neighbour.  ``c`` counts the trails both
     are near to, ``f`` those one is near to and the other far from; a far result of the pair itself
-    counts as one of ``f``.  Supported: a near pair with c + 1 >= f whose shared trails are at least
-    half of the other near neighbours of either one; another pair with c > f that shares more than
-    half of the near neighbours of both, so that few comparisons between two sets don't join them.
+    counts as one of ``f``.  Supported: a near pair with c + 1 >= f that shares at least half as many
+    trails, less one, as the near pairs of either one do on average; another pair with c > f that
+    shares more than half as many as those of both, so that few comparisons between two sets don't
+    join them.  Missing comparisons lower that average, too, so they are no votes against a pair.
     """
     near = stages.write(_both(pairs.filter("near")), "near")
     far = pairs.filter("not near").select("lo", "hi")
@@ -98,11 +99,13 @@ def agreement(pairs: DataFrame, stages: Stages) -> DataFrame:
     split = third.join(far.select(F.col("lo").alias("p"), F.col("hi").alias("q")), ["p", "q"]).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("f"))
     own = cand.filter("direct = 0").select("lo", "hi").join(far, ["lo", "hi"]).select("lo", "hi", F.lit(1).cast("long").alias("f"))
     against = split.unionByName(own).groupBy("lo", "hi").agg(F.sum("f").alias("f"))
-    degree = near.groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
+    # shared near neighbours that an end's near pairs have on average: all of them where every pair is compared
+    ends = cand.filter("direct = 1").select(F.explode(F.array("lo", "hi")).alias("x"), "c")
+    usual = ends.groupBy("x").agg(F.avg("c").alias("usual"))
     judged = cand.join(against, ["lo", "hi"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
     for end in ("lo", "hi"):
-        judged = judged.join(degree.withColumnsRenamed({"x": end, "deg": f"deg_{end}"}), end)
-    judged = judged.filter("(direct = 1 and c + 1 >= f and 2 * c >= least(deg_lo, deg_hi) - 1) or (c > f and 2 * c > greatest(deg_lo, deg_hi))")
+        judged = judged.join(usual.withColumnsRenamed({"x": end, "usual": f"usual_{end}"}), end)
+    judged = judged.filter("(direct = 1 and c + 1 >= f and 2 * c >= least(usual_lo, usual_hi) - 1) or (c > f and 2 * c > greatest(usual_lo, usual_hi))")
     return judged.select("lo", "hi", (F.col("direct") == 1).alias("near"), ((F.col("c") + F.col("direct")) / (F.col("c") + F.col("f") + F.col("direct"))).alias("score"))
 
 

@@ -57,6 +57,21 @@ def test_clusters_are_the_planted_ones(spark, seed):
     assert (text.rank_no <= 3).all() and (text.near_share > 0.5).all()
 
 
+def test_missing_comparisons_are_no_votes(spark):
+    rnd = random.Random(4)
+    near = [(f"s{a:02d}", f"s{b:02d}") for a in range(20) for b in range(a) if rnd.random() < 0.4]
+    near += [("k1", "k2"), ("k2", "k3"), ("k3", "k4")]
+    # two whole sets, one near pair and few far ones between them
+    near += [(f"{p}{a}", f"{p}{b}") for p in "pq" for a in range(8) for b in range(a)] + [("p0", "q0")]
+    far = [(f"p{k}", f"q{(k + 3) % 8}") for k in range(8)]
+    rows = [(k, a, b, "x", 0.5 if k < len(near) else 4.0, None, None, None) for k, (a, b) in enumerate(near + far)]
+    clusters = {}
+    for r in trail_clusters(spark.createDataFrame(rows, PAIRS))[0].collect():
+        clusters.setdefault(r["cluster"], set()).add(r["trail"])
+    want = [{f"s{k:02d}" for k in range(20)}, {"k1", "k2", "k3", "k4"}, {f"p{k}" for k in range(8)}, {f"q{k}" for k in range(8)}]
+    assert sorted(map(sorted, clusters.values())) == sorted(map(sorted, want))
+
+
 def test_no_pairs_no_clusters(spark):
     empty = spark.createDataFrame([], PAIRS)
     assert cluster_pairs(trail_clusters(empty)[0]).collect() == []
