@@ -6,7 +6,7 @@ import random
 import pandas as pd
 import pytest
 
-from spoorlens.llm.density import cluster_pairs, describe_clusters, follow, trail_clusters
+from spoorlens.llm.density import cluster_pairs, describe_clusters, follow, near_limits, trail_clusters
 from spoorlens.llm.fingerprint import MEASURES, TOLERANCE, _near_names, _squeezed, cross_split_pairs, overlap_counts
 from spoorlens.llm.topn import best_models
 from spoorlens.sources.stages import Stages
@@ -72,6 +72,29 @@ def test_missing_comparisons_are_no_votes(spark):
     assert sorted(map(sorted, clusters.values())) == sorted(map(sorted, want))
 
 
+@pytest.mark.parametrize("clusters", [1, 20, 60, 250])
+def test_near_share_may_be_any(spark, clusters):
+    """Clusters of two, every pair compared: the near share falls as one by twice their number."""
+    rnd = random.Random(clusters)
+    names = [f"t{k:03d}" for k in range(2 * clusters + 1)]
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[:k]]
+    near = {(names[2 * k + 1], names[2 * k]) for k in range(clusters)}
+    rows = [(k, a, b, "x", rnd.uniform(0.3, 0.8) if (a, b) in near else rnd.uniform(1.6, 6.0), None, None, None) for k, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")]), PAIRS)
+    members = trail_clusters(df)[0].collect()
+    assert {r["trail"] for r in members} == set(names[:-1])
+    assert all(r["density"] == 1 and (r["delta"] < 1) == (r["trail"] != r["cluster"]) for r in members)
+
+
+def test_a_pipeline_of_one_range_is_named(spark):
+    rows = [(k, f"a{k}", f"b{k}", "x", 1.0 + k / 1000, None, None, None) for k in range(30)] + [(100 + k, f"a{k}", f"c{k}", "y", [0.1, 3.0][k % 2], None, None, None) for k in range(30)]
+    with pytest.warns(UserWarning, match="pipeline x"):
+        members = trail_clusters(spark.createDataFrame(rows, PAIRS))[0]
+    assert members.count() == 30
+    limits = {r["pipeline"]: r for r in near_limits(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert limits["x"]["near_limit"] is None and limits["x"]["n"] == 30 and limits["y"]["n_near"] == 15
+
+
 def test_no_pairs_no_clusters(spark):
     empty = spark.createDataFrame([], PAIRS)
     assert cluster_pairs(trail_clusters(empty)[0]).collect() == []
