@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,8 @@ from ..functions.labels import known, label_form
 from ..sources.stages import Stages
 from .components import star_components, undirected
 
-BUCKETS = 4096
-#: Share of all rows from which a family is placed by itself.
-LARGE = 0.005
+#: Hash buckets of the running sums, and steps of the line on which splits begin and end.
+BUCKETS, STEPS = 4096, 4096
 
 
 def entity(kind: str, *labels: Column) -> Column:
@@ -31,6 +31,15 @@ def animal(species: str = "species", individual: str = "individual_id") -> Colum
     return entity("animal", known(label_form(species)), known(label_form(individual)))
 
 
+def animal_kinds(species: str = "species", individual: str = "individual_id") -> dict[str, Column]:
+    """The entities of a footprint row: its animal, and the names as they are written there.
+
+    All spellings of an animal are linked to it, and through it to each other; trails link nothing.
+    """
+    known_animal = animal(species, individual)
+    return {"animal": known_animal, "written": F.when(known_animal.isNotNull(), entity("written", F.col(species), F.col(individual)))}
+
+
 def entity_families(df: DataFrame, entities: dict[str, Column], stages: Stages) -> DataFrame:
     """(entity, family) for each entity of ``df``: family is the smallest entity linked to it.
 
@@ -41,8 +50,6 @@ def entity_families(df: DataFrame, entities: dict[str, Column], stages: Stages)
     combos = df.select(*[c.alias(n) for n, c in entities.items()]).distinct()
     combos = stages.write(combos.select(F.array_compact(F.array(*names)).alias("all")).filter("size(all) > 0"), "combos")
     nodes = combos.select(F.explode("all").alias("entity")).distinct()
-    if len(names) == 1:
-        return nodes.withColumn("family", F.col("entity"))
     edges = stages.write(undirected(combos.select(F.col("all")[0].alias("a"), F.explode("all").alias("b")), "a", "b"), "edges")
     roots = star_components(edges, stages).withColumnsRenamed({"node": "entity", "root": "family"})
     return nodes.join(roots, "entity", "left").select("entity", F.coalesce("family", "entity").alias("family"))
@@ -57,56 +64,84 @@ def with_family(df: DataFrame, entities: dict[str, Column], families: DataFrame,
     return hit.unionByName(lone)
 
 
+def split_ranges(weights: np.ndarray, shares: dict[str, float]) -> list[tuple[str, int, int]]:
+    """(split, first, end): the steps of a circle of ``STEPS`` that each split has; one that runs past the end has two rows.
+
+    ``weights`` has the rows whose family lies in each step.  All splits keep their length on the circle;
+    of all places where the first may begin, the one is taken at which the largest miss of a share is the
+    smallest (of equal ones the first), so that no border falls into a large family that could be spared.
+    """
+    names = [s for s in sorted(shares) if shares[s] > 0]
+    n, total = len(weights), max(weights.sum(), 1)
+    ends = np.rint(np.cumsum([shares[s] for s in names]) / sum(shares[s] for s in names) * n).astype(int)
+    run = np.concatenate([[0], np.cumsum(np.concatenate([weights, weights]))])
+    starts = np.arange(n)
+    miss, lo = np.zeros(n), 0
+    for s, hi in zip(names, ends):
+        got = (run[starts + hi] - run[starts + lo]) / total
+        miss = np.maximum(miss, np.abs(got - shares[s] / sum(shares[x] for x in names)))
+        lo = hi
+    start, out, lo = int(miss.argmin()), [], 0
+    for s, hi in zip(names, ends):
+        a, b = start + lo, start + hi
+        out += [(s, x - w, y - w) for w in (0, n) if (x := max(a, w)) < (y := min(b, w + n))]
+        lo = hi
+    return out
+
+
 def assign_splits(df: DataFrame, targets: DataFrame, entities: dict[str, Column], row_key: str = "id", seed: int = 99) -> DataFrame:
     """(row key, family, split_name): every record with its split, a family never broken.
 
-    Families of more than ``LARGE`` of all rows, of which there are at most 1 / LARGE, go first and by
-    size, each to the split that lacks most.  The hash of any other family is its place on a line; the
-    line is cut where the rows before a place reach what the splits still lack, so the shares of rows are
-    met to within about one small family.  A family belongs to the split that holds its middle.  Running
-    sums go over 4096 hash buckets and then within a bucket, never over all families in one task.
-    Splits are laid out in code point order of name; targets that are null or not positive get nothing;
-    with no targets split_name is null.  Rows with equal keys that are repeated stay repeated.
+    The hash of a family is its place on a circle on which each family is as long as it has rows; a family
+    belongs to the split that holds its middle.  The splits follow each other in code point order of name,
+    each as long as its target share, and begin where the shares reached miss the targets least
+    (``split_ranges``).  So one rule holds for every family, and shares are missed by about half a family
+    that lies on a border.  Running sums go over 4096 hash buckets and then within a bucket, never over all
+    families in one task.  Targets that are null or not positive get nothing; with no targets split_name is
+    null.  Rows with equal keys that are repeated stay repeated.
     """
     spark, stages = df.sparkSession, Stages(df.sparkSession, "splits")
     families = entity_families(df, entities, stages)
     rows = stages.write(with_family(df, entities, families, F.coalesce(F.col(row_key).cast("string"), F.lit(""))).select(F.col(row_key).alias("_key"), "_family"), "rows")
     at = F.xxhash64(F.lit(seed), F.col("_family"))
     sizes = stages.write(rows.groupBy("_family").agg(F.count(F.lit(1)).alias("n")).withColumns({"h": at, "bucket": F.pmod(at, F.lit(BUCKETS))}), "families")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    # a row a split
-    good = targets.filter("target_share > 0 and split_name is not null").groupBy("split_name").agg(F.sum("target_share").alias("share")).orderBy("split_name").collect()
-    whole = sum(r["share"] for r in good)
-    lack = {r["split_name"]: r["share"] / whole * total for r in good}
-    first = []
-    if lack:
-        for r in sizes.filter(F.col("n") > LARGE * total).orderBy(F.col("n").desc(), "_family").collect():  # at most 1 / LARGE rows
-            to = max(sorted(lack), key=lambda s: lack[s])
-            lack[to] -= r["n"]
-            first.append((r["_family"], to))
     # at most 4096 rows
-    rest = sizes.join(F.broadcast(spark.createDataFrame(first, "_family string, split_name string")), "_family", "left_anti")
-    buckets = rest.groupBy("bucket").agg(F.sum("n").alias("m"))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("m"))
     order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     buckets = buckets.select("bucket", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("before"), F.sum("m").over(everything).alias("total"))
     within = Window.partitionBy("bucket").orderBy("h", "_family").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rest.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(buckets, "bucket")
+    placed = sizes.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(buckets, "bucket")
     middle = (F.col("before") + F.col("inner") + F.col("n") / 2) / F.col("total")
-    left, run, split = {s: max(x, 0.0) for s, x in sorted(lack.items())}, 0.0, F.lit(None).cast("string")
-    open_ = [s for s in left if left[s] > 0] or list(left)[:1]
-    cuts = []
-    for s in open_:
-        run += left[s] / (sum(left.values()) or 1)
-        cuts.append((run, s))
-    for hi, s in reversed(cuts):
-        split = F.lit(s) if s == open_[-1] else F.when(middle < hi, s).otherwise(split)
-    chosen = placed.select("_family", split.alias("split_name")).unionByName(spark.createDataFrame(first, "_family string, split_name string"))
-    return rows.join(chosen, "_family").select(F.col("_key").alias(row_key), F.col("_family").alias("family"), "split_name")
+    placed = stages.write(placed.select("_family", "n", F.least(F.floor(middle * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")), "placed")
+    good = targets.filter("target_share > 0 and split_name is not null").groupBy("split_name").agg(F.sum("target_share").alias("share"))
+    shares = {r["split_name"]: r["share"] for r in good.collect()}  # a row a split
+    split = F.lit(None).cast("string")
+    if shares:
+        weights = np.zeros(STEPS)
+        for r in placed.groupBy("step").agg(F.sum("n").alias("n")).collect():  # a row a step
+            weights[r["step"]] = r["n"]
+        for s, lo, hi in split_ranges(weights, shares):
+            split = F.when((F.col("step") >= lo) & (F.col("step") < hi), s).otherwise(split)
+    return rows.join(placed.select("_family", split.alias("split_name")), "_family").select(F.col("_key").alias(row_key), F.col("_family").alias("family"), "split_name")
+
+
+def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split_name, target_share, share, n_rows, n_families, n_broken): the shares reached, and families that lie in several splits."""
+    goals = targets.filter("target_share > 0 and split_name is not null").groupBy("split_name").agg(F.sum("target_share").alias("share"))
+    goals = goals.select("split_name", (F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(0)))).alias("target_share"))  # a row a split
+    # a family's rows in one split are one row here
+    part = assigned.groupBy("family", "split_name").agg(F.count(F.lit(1)).alias("n"))
+    several = part.groupBy("family").agg(F.count(F.lit(1)).alias("splits")).filter("splits > 1")
+    part = part.join(several, "family", "left")
+    by = part.groupBy("split_name").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_families"), F.count("splits").alias("n_broken"))
+    by = by.withColumn("n_all", F.sum("n_rows").over(Window.partitionBy(F.lit(0))))  # a row a split
+    out = goals.join(by, "split_name", "left").fillna(0, ["n_rows", "n_families", "n_broken"])
+    return out.select("split_name", "target_share", F.coalesce(F.try_divide("n_rows", "n_all"), F.lit(0.0)).alias("share"), "n_rows", "n_families", "n_broken")
 
 
 def broken_families(df: DataFrame, entities: dict[str, Column], fold: str, names: Sequence[str], stages: Stages) -> DataFrame:
-    """The ``names`` of the entities of each family whose rows carry more than one fold; null folds aside.
+    """The ``names`` of the first kind's entities of each family whose rows carry more than one fold; null folds aside.
 
     Minimum and maximum tell whether there is more than one fold, so no set is gathered.
     """
@@ -117,11 +152,12 @@ def broken_families(df: DataFrame, entities: dict[str, Column], fold: str, names
     by = folds.join(families.withColumnRenamed("entity", "_entity"), "_entity").groupBy("family").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     bad = by.filter("lo < hi").select("family")
     parts = F.split("entity", "\x1f")
-    return families.join(bad, "family").select(*[parts[k + 1].alias(n) for k, n in enumerate(names)])
+    kind = next(iter(entities))
+    return families.filter(parts[0] == kind).join(bad, "family").select(*[parts[k + 1].alias(n) for k, n in enumerate(names)])
 
 
 def broken_animals(footprints: DataFrame) -> DataFrame:
     """(species, individual_id): animals whose rows of split train carry more than one fold."""
     stages = Stages(footprints.sparkSession, "broken")
     train = footprints.filter(label_form("__split__") == "train").select("species", "individual_id", "fold")
-    return broken_families(train, {"animal": animal()}, "fold", ["species", "individual_id"], stages)
+    return broken_families(train, animal_kinds(), "fold", ["species", "individual_id"], stages)

@@ -68,9 +68,21 @@ def p6_found(spark, d):
 
 @query("p6_assign")
 def p6_assign(spark, d):
-    from .family_split import animal, assign_splits
+    from .family_split import animal_kinds, assign_splits
 
-    return assign_splits(table(spark, d, "footprints"), table(spark, d, "split_targets"), {"animal": animal()})
+    return assign_splits(table(spark, d, "footprints"), table(spark, d, "split_targets"), animal_kinds())
+
+
+@query("p6_shares", "SELECT split_name, round(target_share, 6) AS target_share, true AS met, 0 AS n_broken FROM split_targets")
+def p6_shares(spark, d):
+    """Each split, whether its share is met to within a hundredth of all rows, and its broken families."""
+    from pyspark.sql import functions as F
+
+    from .family_split import animal_kinds, assign_splits, split_report
+
+    targets = table(spark, d, "split_targets")
+    out = split_report(assign_splits(table(spark, d, "footprints"), targets, animal_kinds()), targets)
+    return out.select("split_name", F.round("target_share", 6).alias("target_share"), (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("met"), F.col("n_broken").cast("int").alias("n_broken"))
 
 
 # ---------------------------------------------------------------- problem 1
@@ -128,6 +140,15 @@ def p5_top(spark, d):
     return best_models(table(spark, d, "best_models"))[0].select("species", "model_key", "rank_no", "record_id", "score")
 
 
+@query("p5_skipped", "SELECT true AS some_skipped")
+def p5_skipped(spark, d):
+    """Whether the files' statistics spared reading any of them."""
+    from .topn import best_models
+
+    seen = best_models(table(spark, d, "best_models"))[1]
+    return spark.createDataFrame([(seen["read"] < seen["files"],)], "some_skipped boolean")
+
+
 # ---------------------------------------------------------------- problem 7
 @query("p7_found")
 def p7_found(spark, d):

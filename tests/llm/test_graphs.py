@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spoorlens.llm.components import contracted_groups, star_components, undirected
-from spoorlens.llm.family_split import animal, assign_splits, broken_animals, entity, entity_families
+from spoorlens.llm import family_split
+from spoorlens.llm.family_split import animal, animal_kinds, assign_splits, broken_animals, entity, entity_families, split_ranges, split_report
 from spoorlens.llm.groups import trail_groups
 from spoorlens.sources.stages import Stages
 
@@ -108,6 +110,38 @@ def test_assignment_keeps_families_whole(spark):
     assert assign_splits(df.limit(0), targets, {"animal": animal()}).count() == 0
 
 
+def test_both_queries_go_through_the_stars(spark, monkeypatch):
+    """Spellings of an animal are joined by the components; rows and targets of no animal stay apart."""
+    seen = []
+    real = family_split.star_components
+    monkeypatch.setattr(family_split, "star_components", lambda edges, stages: (seen.append(edges.count()), real(edges, stages))[1])
+    rows = [(1, "Amur Tiger", "a1", 0, "train", "x", None), (2, "amur_tiger", "A1", 1, "Train ", None, None), (3, "AMUR  tiger", "a1 ", 2, "train", None, None), (4, "cheetah", "a1", 1, "train", None, None), (5, None, "a1", 3, "train", None, None)]
+    df = spark.createDataFrame(rows, FOOT)
+    assert [tuple(r) for r in broken_animals(df).collect()] == [("amur_tiger", "a1")]
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    out = assign_splits(df, targets, animal_kinds())
+    assert len(seen) == 2 and min(seen) == 4
+    assert out.groupBy("family").count().orderBy("count").toPandas()["count"].tolist() == [1, 1, 3]
+    report = {r["split_name"]: r for r in split_report(out, targets).collect()}
+    assert sum(r["n_rows"] for r in report.values()) == 5 and all(r["n_broken"] == 0 for r in report.values())
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.1, 1 / 3])
+def test_split_ranges_spare_large_families(hot):
+    rnd = random.Random(7)
+    shares = {"train": 0.7, "validation": 0.12, "test": 0.18}
+    for _ in range(20):
+        # a large family holds a stretch of the circle and counts at its middle
+        weights, first, long = np.ones(4096), rnd.randrange(4096), int(hot * 4096)
+        if long:
+            weights = np.roll(np.concatenate([np.zeros(long), np.ones(4096 - long)]), first)
+            weights[(first + long // 2) % 4096] = long
+        ranges = split_ranges(weights, shares)
+        got = {s: sum(weights[a:b].sum() for x, a, b in ranges if x == s) / 4096 for s in shares}
+        assert all(abs(got[s] - shares[s]) < 0.002 for s in shares)
+        assert sorted(k for _, a, b in ranges for k in range(a, b)) == list(range(4096))
+
+
 def test_families_over_two_kinds_of_entity(spark):
     rnd = random.Random(5)
     rows = [(f"a{rnd.randrange(40)}" if rnd.random() < 0.9 else None, f"s{rnd.randrange(40)}" if rnd.random() < 0.9 else None) for _ in range(60)]
