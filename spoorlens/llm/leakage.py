@@ -1,12 +1,15 @@
 """Problem 7: evaluation passages in training texts, by spaced-seed hashing.
 
-Fixed masks pick some positions of a window of tokens and ignore the others, so that a replaced word
-does not spoil every window over it.  The seeds of all items are one sorted array of hashes; a text is
-read once, its seeds are looked up in that array, and around each hit the runs of equal tokens are
-chained into the longest stretch that keeps to the allowed number of errors.
+1.  Fixed masks pick some positions of a window of tokens and ignore the others, so that a replaced word
+    does not spoil every window over it.  The hashes of the items' windows are a table of seeds.
+2.  All texts are read once.  The hashes of a text's windows go through a Bloom filter of the seeds, whose
+    size is bounded; a text with hashes that pass is kept, with these (``seeded_texts``).
+3.  Kept hashes and seeds are joined: the pairs of text and item that share a seed are the candidates.
+4.  Around their hits the runs of equal tokens are chained into the longest stretch that keeps to the
+    allowed number of errors (``longest_passage``).
 
-The evaluation items are the stated query set: they go to the tasks in blocks of bounded size, each
-against all texts.  Texts are never shuffled, cut or collected.
+The number of items only changes the table of seeds: neither items nor hashes are held in one place, and a
+filter that is too small for them lets more hashes into the join, no fewer.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stages import Stages
 from .text import words
 
 #: Token positions that a seed looks at.  The first serves words dropped or added: a
@@ -28,67 +32,132 @@ MASKS = ("11111", "1101101", "11100111", "110010111")
 #: Words of a passage, and words for each error that it may have.
 LEAST = 12
 PER_ERROR = 8
-#: Items sent to the tasks at a time.
-BLOCK_ITEMS = 20_000
-
-
-class _Items:
-    """Tokens, words and seeds of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        self.ids, self.tokens, self.word = [], [], []
-        for item, text in rows:
-            t, w = words(text)
-            self.ids.append(item)
-            self.tokens.append([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in t])
-            self.word.append(w)
-        stream, owner = self._joined(self.tokens)
-        self.seeds = []
-        for mask in MASKS:
-            at, codes = self._codes(stream, mask)
-            order = np.argsort(codes, kind="stable")
-            self.seeds.append((codes[order], owner[at][order]))
-
-    @staticmethod
-    def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """All token numbers in one array, zeros between the lists, and the list of each."""
-        gap = max(map(len, MASKS))
-        stream = np.zeros(sum(map(len, lists)) + gap * len(lists) + gap, np.uint64)
-        owner = np.zeros(len(stream), np.int64)
-        k = 0
-        for n, x in enumerate(lists):
-            stream[k : k + len(x)] = x
-            owner[k : k + len(x)] = n
-            k += len(x) + gap
-        return stream, owner
-
-    @staticmethod
-    def _codes(stream: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows whose looked-at tokens are all of the items' vocabulary, and their hashes."""
+#: Bits of the filter for each seed, and of the whole filter at most; probes of a hash.
+SEED_BITS, MOST_BITS, PROBES = 32, 1 << 28, 6
+
+
+# ------------------------------------------------------------------ seeds
+class _Hashes(dict):
+    """Token to its 64-bit hash; forgets all when it has a million."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) | 1
+        return h
+
+
+def _seeds(lists: list[list[str]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the list, hash) of all windows under all masks of lists of tokens."""
+    gap = max(map(len, MASKS))
+    stream = np.zeros(sum(map(len, lists)) + gap * (len(lists) + 1), np.uint64)
+    owner = np.zeros(len(stream), np.int64)
+    k = 0
+    for n, x in enumerate(lists):
+        stream[k : k + len(x)] = list(map(hashes.__getitem__, x))
+        owner[k : k + len(x)] = n
+        k += len(x) + gap
+    at, codes = [], []
+    for number, mask in enumerate(MASKS):
         n = len(stream) - len(mask) + 1
-        code, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-        for k, bit in enumerate(mask):
-            if bit == "1":
-                part = stream[k : k + n]
-                whole &= part != 0
-                code = (code ^ part) * np.uint64(0x9E3779B97F4A7C15) + (code >> np.uint64(29))
-        at = np.flatnonzero(whole)
-        return at, code[at]
-
-    def hits(self, texts: list[list[int]]) -> dict[tuple[int, int], None]:
-        """(text, item) pairs that share a seed."""
-        stream, owner = self._joined(texts)
-        out: dict[tuple[int, int], None] = {}
-        for mask, (codes, items) in zip(MASKS, self.seeds):
-            if not len(codes):
-                continue
-            at, mine = self._codes(stream, mask)
-            lo, hi = np.searchsorted(codes, mine, "left"), np.searchsorted(codes, mine, "right")
-            for k in np.flatnonzero(hi > lo):
-                for j in range(lo[k], hi[k]):
-                    out[int(owner[at[k]]), int(items[j])] = None
-        return out
+        whole, code = np.ones(n, bool), np.full(n, number + 1, np.uint64)
+        for j in range(len(mask)):
+            # zeros lie between the lists
+            whole &= stream[j : j + n] != 0
+            if mask[j] == "1":
+                code = (code ^ stream[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+                code ^= code >> np.uint64(29)
+        inside = np.flatnonzero(whole)
+        at.append(owner[inside])
+        codes.append(code[inside])
+    return np.concatenate(at), np.concatenate(codes)
+
+
+def _probe(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Places of the ``k``-th probe of the hashes in a filter of ``bits``, a power of two."""
+    step = (codes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(17)
+    return (codes + np.uint64(k) * (step | np.uint64(1))) & np.uint64(bits - 1)
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for b in batches:
+        at, codes = _seeds([words(t)[0] for t in b.column(1).to_pylist()], hashes)
+        ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)[at]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(codes.view(np.int64))], ["item", "code"])
+
+
+def seed_filter(seeds: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Bloom filter of the column ``code``: a bit array of ``SEED_BITS`` for each seed, at most ``most_bits`` in all.
+
+    Its words are put together by the tasks; the driver gets the finished ones, at most most_bits / 64 rows.
+    """
+    n = seeds.count()
+    bits = min(most_bits, max(1 << 13, 1 << (n * SEED_BITS - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+            at = np.unique(np.concatenate([_probe(codes, k, bits) for k in range(PROBES)]))
+            bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bit)], ["word", "bit"])
+
+    made = seeds.select("code").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[made.column("word").to_numpy()] = made.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passing(codes: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """Numbers of the hashes that the filter holds."""
+    left = np.arange(len(codes))
+    for k in range(PROBES):
+        at = _probe(codes[left], k, len(words_) << 6)
+        left = left[(words_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    return left
+
+
+def seeded_texts(docs: DataFrame, filter_words: np.ndarray) -> DataFrame:
+    """(doc_id, text, codes): texts with a window whose hash passes the filter, and these hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                at, codes = _seeds([words(t)[0] for t in part.column(1).to_pylist()], hashes)
+                kept = _passing(codes, filter_words)
+                if not len(kept):
+                    continue
+                # one row for each text and hash, then lists of them by text
+                both = np.unique(np.stack([at[kept], codes[kept].view(np.int64)], axis=1), axis=0)
+                rows, first = np.unique(both[:, 0], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(both)), pa.int32()), pa.array(both[:, 1]))
+                text = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([text.column(0), text.column(1), lists], ["doc_id", "text", "codes"])
+
+    return docs.mapInArrow(run, "doc_id long, text string, codes array<long>")
+
+
+# ------------------------------------------------------------------ verification
+def may_hold(item: list[str], item_word: list[int], tokens: set[str], least: int = LEAST) -> bool:
+    """Whether some stretch of ``least`` item words lacks no more of them in the text than it may have errors."""
+    n = item_word[-1] + 1 if item_word else 0
+    missing = [1] * n
+    for t, w in zip(item, item_word):
+        if t in tokens:
+            missing[w] = 0
+    # PER_ERROR * missing - words, summed up to each word: a stretch is good if the sum doesn't grow
+    sums, best = [0], -(1 << 30)
+    for k, m in enumerate(missing):
+        sums.append(sums[-1] + PER_ERROR * m - 1)
+        if k + 1 >= least:
+            best = max(best, sums[k + 1 - least])
+            if sums[k + 1] <= best:
+                return True
+    return False
 
 
 def _runs(item: list[int], item_word: list[int], text: list[int], text_word: list[int]) -> list[tuple[int, int, int]]:
@@ -155,58 +224,50 @@ def longest_passage(item: list[int], item_word: list[int], text: list[int], text
     return best
 
 
-def _search(rows: list[tuple[int, str]], least: int):
-    """Arrow batches of (id, text) to batches of (doc_id, item_id, n_words)."""
-    made: list[_Items] = []
+def _verify(least: int):
+    """Batches of (row, doc_id, text, item, item_id, item_text) to (doc_id, item_id, n_words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(_Items(rows))
-        items = made[0]
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found: list[tuple[int, int, int]] = []
-            for lo in range(0, len(ids), 500):
-                tokens, word = [], []
-                for text in texts[lo : lo + 500]:
-                    t, w = words(text)
-                    tokens.append([items.vocabulary.get(x, 0) for x in t])
-                    word.append(w)
-                for k, i in items.hits(tokens):
-                    n = longest_passage(items.tokens[i], items.word[i], tokens[k], word[k])
-                    if n >= least:
-                        found.append((ids[lo + k], items.ids[i], n))
+        items: dict[int, tuple] = {}
+        row, tokens, word, held = None, [], [], set()
+        for b in batches:
+            found = []
+            for r, doc, text, item, item_id, passage in zip(*(b.column(k) for k in range(6))):
+                if r.as_py() != row:
+                    row = r.as_py()
+                    tokens, word = words(text.as_py())
+                    held = set(tokens)
+                k = item.as_py()
+                if k not in items:
+                    if len(items) >= 20_000:
+                        items.clear()
+                    items[k] = words(passage.as_py())
+                a, w = items[k]
+                n = longest_passage(a, w, tokens, word) if may_hold(a, w, held, least) else 0
+                if n >= least:
+                    found.append((doc.as_py(), item_id.as_py(), n))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in found], pa.int64()), "item_id": pa.array([x[1] for x in found], pa.int64()), "n_words": pa.array([x[2] for x in found], pa.int32())})
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, item_id, n_words): documents that hold a passage of an item, and the longest one in words.
 
     Null and empty texts and items, and items shorter than a passage, give no rows; rows without an id
     give none; repeated ids give one row with the longest passage.  Case, punctuation, accents,
     spacing, markup, invisible characters and words broken at a line end make no difference.
     """
-    spark = documents.sparkSession
+    stages = Stages(documents.sparkSession, "leakage")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null and text <> ''")
-    schema = "doc_id long, item_id long, n_words int"
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "item_text").filter("item_id is not null and item_text is not null and item_text <> ''")
-    blocks, rows = [], []
-    for r in known.toLocalIterator(prefetchPartitions=True):  # the query set, a block at a time
-        rows.append((r[0], r[1]))
-        if len(rows) == block_items:
-            blocks.append(rows)
-            rows = []
-    if rows:
-        blocks.append(rows)
-    out = None
-    for rows in blocks:
-        part = docs.mapInArrow(_search(rows, least), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "item_text").filter("item_id is not null and item_text is not null and item_text <> ''").distinct()
+    known = stages.write(known.withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = stages.write(known.select("item", "item_text").mapInArrow(_item_seeds, "item long, code long").distinct(), "seeds")
+    kept = stages.write(seeded_texts(docs, seed_filter(seeds, most_bits)).withColumn("row", F.monotonically_increasing_id()), "texts")
+    shared = kept.select("row", F.explode("codes").alias("code")).join(seeds, "code").select("row", "item").distinct()
+    pairs = shared.join(kept.select("row", "doc_id", "text"), "row").join(known, "item").select("row", "doc_id", "text", "item", "item_id", "item_text")
+    found = pairs.mapInArrow(_verify(least), "doc_id long, item_id long, n_words int")
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

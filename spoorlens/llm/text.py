@@ -51,6 +51,10 @@ def words(text: str | None) -> tuple[list[str], list[int]]:
     """Tokens (runs of letters and digits) of the plain text, and the number of the spaced word of each."""
     tokens, of = [], []
     for k, w in enumerate(plain(text or "").split()):
+        if w.isalnum():
+            tokens.append(w)
+            of.append(k)
+            continue
         for t in WORD.findall(w):
             tokens.append(t)
             of.append(k)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spoorlens.llm.leakage import leak_report, leaked_items, longest_passage
+from spoorlens.llm.leakage import leak_report, leaked_items, longest_passage, may_hold
 from spoorlens.llm.mixing import TOKENIZER, mixture
 from spoorlens.llm.spam import spam_pages, spam_share
 from spoorlens.llm.text import words
@@ -58,8 +58,8 @@ def test_leaks(spark):
     items = spark.createDataFrame([(1, ITEM, "en", "k", "a"), (2, OTHER, None, None, None), (3, None, None, None, None), (4, "", "en", "k", "a"), (5, "too short", "en", "k", "b")], "item_id long, item_text string, lang string, item_kind string, test_set string")
     found = leaked_items(docs(spark, rows), items)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
-    # blocks of items give the same rows
-    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs(spark, rows), items, block_items=1).collect()} == want
+    # a filter that is far too small lets everything pass, and the rows are the same
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs(spark, rows), items, most_bits=64).collect()} == want
     report = {r["test_set"]: r.asDict() for r in leak_report(found, items).filter("item_kind = 'k'").collect()}
     assert report["a"]["n_leaked"] == 1 and report["a"]["n_items"] == 2
     assert leaked_items(docs(spark, rows), items.limit(0)).collect() == []
@@ -114,6 +114,27 @@ def stretch(n, wrong):
     return longest_passage(list(range(1, n + 1)), list(range(n)), text, list(range(len(text))))
 
 
+def test_every_short_passage_is_found(spark):
+    """Twelve words with one error at any place within, sixteen with two: found by the seeds, not only by the chain."""
+    w = [f"w{k}" for k in range(16)]
+    rows = [(k, f"{FILL} " + " ".join("xx" if j == k else x for j, x in enumerate(w[:12])) + f" {FILL}", "s") for k in range(1, 11)]
+    pairs = list(itertools.combinations(range(1, 15), 2))
+    rows += [(100 + n, f"{FILL} " + " ".join("xx" if j in p else x for j, x in enumerate(w)) + f" {FILL}", "s") for n, p in enumerate(pairs)]
+    rows += [(300 + k, " ".join(w[:k] + w[k + 1 : 13]), "s") for k in range(1, 12)] + [(400 + k, " ".join(w[:k] + ["xx"] + w[k:12]), "s") for k in range(1, 11)]
+    items = spark.createDataFrame([(1, " ".join(w), "en", "k", "a"), (1, "another text of this number " + " ".join(w[:9]), "en", "k", "a")], "item_id long, item_text string, lang string, item_kind string, test_set string")
+    assert {r["doc_id"] for r in leaked_items(docs(spark, rows), items).collect()} == {r[0] for r in rows}
+
+
+def test_filter_before_the_chain_loses_nothing():
+    rnd = random.Random(3)
+    for _ in range(300):
+        item = [f"i{k}" for k in range(rnd.randrange(8, 30))]
+        text = [x if rnd.random() < 0.85 else "zz" for x in item if rnd.random() < 0.97]
+        if longest_passage(item, list(range(len(item))), text, list(range(len(text)))) >= 12:
+            assert may_hold(item, list(range(len(item))), set(text))
+    assert not may_hold([], [], set()) and not may_hold(["a"] * 11, list(range(11)), {"a"})
+
+
 def test_words_between_errors_count():
     assert [stretch(12, {k}) for k in range(2, 12)] == [12] * 10
     assert {stretch(16, set(p)) for p in itertools.combinations(range(2, 16), 2)} == {16}
