@@ -1,12 +1,16 @@
 """Problem 9: keyword-stuffed and link-list pages, by the shapes of their lines.
 
-A text is cut into lines, and running text into sentences.  Each piece is reduced to a shape: how many
-words it has, of what size its cells are between separators, whether it is links, hash tags or numbers,
-whether it begins with a capital and ends as a sentence.  Pieces of one shape are grouped, so a page is
-a handful of groups with a share of its characters each.  Shapes that are no sentences by themselves
-(links, hash tags, product cells) count as they are; shapes of words count where they are made of the
-few repeated words of the lines around them or, with next to no function words, of words that the page
-repeats.  A page is flagged if such groups hold more than half of its characters.
+1.  A text is cut into lines, and running text into sentences.  Each piece is reduced to a shape: how many
+    words it has, of what size its cells are between separators, whether it is links, hash tags or numbers,
+    whether it begins with a capital and ends as a sentence.
+2.  From the shapes of the whole crawl it is learnt which words prose is made of: those that are at least as
+    frequent among pieces of sentence shape as among others (``prose_words``).  Keywords of any language
+    are what they aren't, and function words of any language are among them.
+3.  Pieces of one shape are grouped, so a page is a handful of groups with a share of its characters each.
+    Shapes that are no sentences by themselves (links, hash tags, product cells) count as they are; shapes
+    of words count where they are made of the few repeated words of the lines around them or, with next to
+    no prose words, of words that the page repeats.
+4.  A page is flagged if few such groups, the ``FEW`` largest, hold more than half of its characters.
 """
 
 from __future__ import annotations
@@ -18,32 +22,26 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Function words of English, German and Portuguese, which no keyword list is made of.
-FUNCTION = frozenset(
-    """a an the and or but nor yet so if of in on at by to for from with without into over under near after before while when since because
-    until as than that which who whose this these those it its is was are were be been being had has have not no only both each all any some
-    we our they their he she his her you your i my us them there here
-    der die das den dem des ein eine einen einem einer eines und oder aber doch sondern wenn weil da als ob dass sodass in im an am auf aus bei
-    beim mit nach von vom vor zu zum zur für über unter um durch gegen ohne bis seit während obwohl nachdem bevor solange ist war sind waren wird
-    wurde wurden hat hatte haben sein nicht nur noch sich es er sie wir ihr ihre sein seine unsere unser dies diese dieser dieses hier alle beide
-    o a os as um uma uns umas e ou mas porém nem se que de do da dos das em no na nos nas por pelo pela pelos pelas para com sem sob sobre entre
-    até desde quando porque embora já enquanto antes depois é foi são foram ser está estava tem têm não só ao aos à às seu sua seus suas este esta
-    isto esse essa nosso nossa ele ela eles elas""".split()
-)
-#: Share of a page that makes it spam.
-SHARE = 0.5
-#: Share of function words from which a piece is a sentence, however often its other words recur: of
+from ..sources.stages import Stages
+
+#: Share of a page that makes it spam, and the largest groups that are counted for it.
+SHARE, FEW = 0.5, 8
+#: Share of prose words from which a piece is a sentence, however often its other words recur: of
 #: one that begins with a capital and ends as a sentence, and of any other.
 BOUND, LOOSE_BOUND = 0.36, 0.6
-#: Words up to which a piece is short.
-SHORT = 7
+#: Words up to which a piece is short, and from which it is too long for a sentence.
+SHORT, LONG = 7, 400
 #: Content words of a window; a word is frequent by its share of the window, so that a page's length
 #: doesn't raise the count it needs.
 WINDOW = 600
-#: Share of function words under which a piece is bare, and the count on the page from which any of
+#: Share of prose words under which a piece is bare, and the count on the page from which any of
 #: its words is a repeated one, however many keywords there are.
 BARE, REPEATS = 0.2, 3
+#: Prose words occur in one of so many sentences of the crawl, at least; there are thus at most
+#: LONG * RARE of them.
+RARE = 2000
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _ANCHOR = re.compile(r"<a\s[^<>]*>(.*?)</a>|\[([^\[\]]*)\]\(([^()\s]*)\)", re.I | re.S)
@@ -63,17 +61,17 @@ def _bucket(n: int) -> int:
 class _Piece:
     __slots__ = ("size", "shape", "words", "bound")
 
-    def __init__(self, size: int, shape: tuple, text: str = ""):
-        every = [w.lower() for w in _WORD.findall(text)]
-        self.size, self.shape, self.words = size, shape, [w for w in every if w not in FUNCTION]
-        #: share of function words
+    def __init__(self, size: int, shape: tuple, words: list[str] = (), prose: frozenset = frozenset()):
+        every = [w.lower() for w in words]
+        self.size, self.shape, self.words = size, shape, [w for w in every if w not in prose]
+        #: share of prose words
         self.bound = 1 - len(self.words) / len(every) if every else 0.0
 
 
-def _piece(text: str, links: int, link_size: int) -> _Piece:
+def _piece(text: str, links: int, link_size: int, prose: frozenset) -> _Piece:
     """The shape of a line, cell list or sentence: (kind, words, capital, end)."""
     size = len(text.strip())
-    plain = _URL.sub(" ", text)
+    plain = _URL.sub(" ", text) if links else text
     tokens = plain.split()
     words = _WORD.findall(plain)
     if links and (link_size * 2 >= size or len(words) <= 6 * links):
@@ -85,14 +83,14 @@ def _piece(text: str, links: int, link_size: int) -> _Piece:
     if len(cells) >= 3 and len(words) <= 6 * len(cells):
         figures = sum(any(ch.isdigit() for ch in c) for c in cells)
         if _CODE.search(cells[0]) and figures * 2 <= len(cells) + 1 and len(cells) >= 4:
-            return _Piece(size, ("product", _bucket(len(cells))), plain)
+            return _Piece(size, ("product", _bucket(len(cells))), words, prose)
         if figures * 2 >= len(cells):
             return _Piece(size, ("figures", _bucket(len(cells))))
-        return _Piece(size, ("cells", _bucket(len(cells))), plain)
+        return _Piece(size, ("cells", _bucket(len(cells))), words, prose)
     first = text.lstrip()[:1]
     commas = plain.count(",")
     kind = "list" if commas >= 4 and len(words) <= 5 * (commas + 1) else "words"
-    return _Piece(size, (kind, _bucket(len(words)), first.isupper(), text.rstrip()[-1:] in ".!?"), plain)
+    return _Piece(size, (kind, _bucket(len(words)), first.isupper(), text.rstrip()[-1:] in ".!?"), words, prose)
 
 
 def _unwrapped(lines: list[str]) -> list[str]:
@@ -107,7 +105,7 @@ def _unwrapped(lines: list[str]) -> list[str]:
     return out
 
 
-def pieces(text: str) -> list[_Piece]:
+def pieces(text: str, prose: frozenset = frozenset()) -> list[_Piece]:
     """Lines, and the sentences of lines of running text, with their shapes."""
     out = []
     text = html.unescape(text) if "&" in text else text
@@ -125,7 +123,7 @@ def pieces(text: str) -> list[_Piece]:
         for s in _SENTENCE.split(line):
             if s.strip():
                 urls = _URL.findall(s)
-                out.append(_piece(s, len(urls), sum(map(len, urls))))
+                out.append(_piece(s, len(urls), sum(map(len, urls)), prose))
     return out
 
 
@@ -145,11 +143,11 @@ def _windows(parts: list[_Piece]) -> list[list[_Piece]]:
     return out
 
 
-def spam_share(text: str | None) -> tuple[float, int, str]:
-    """Share of a text's characters in non-sentence groups, how many such groups, and the largest one's kind."""
+def spam_share(text: str | None, prose: frozenset = frozenset()) -> tuple[float, int, str]:
+    """Share of a text's characters in its largest non-sentence groups, how many such groups, and the largest one's kind."""
     if not text or not text.strip():
         return 0.0, 0, ""
-    parts = pieces(text)
+    parts = pieces(text, prose)
     total = sum(p.size for p in parts)
     if not total:
         return 0.0, 0, ""
@@ -173,21 +171,48 @@ def spam_share(text: str | None) -> tuple[float, int, str]:
                     groups["repeated", *p.shape[1:]] += p.size
     if not groups:
         return 0.0, 0, ""
-    return sum(groups.values()) / total, len(groups), max(groups, key=groups.get)[0]
+    return sum(sorted(groups.values())[-FEW:]) / total, len(groups), max(groups, key=groups.get)[0]
+
 
+def prose_words(texts: DataFrame, stages: Stages) -> frozenset[str]:
+    """Words that are at least as frequent among pieces of sentence shape as among others, over all ``texts``.
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        judged = [spam_share(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in judged], pa.float64()), pa.array([x[1] for x in judged], pa.int32()), pa.array([x[2] for x in judged], pa.string())], ["doc_id", "spam_share", "n_shapes", "kind"])
+    A piece has sentence shape if it begins with a capital, ends as a sentence and is neither short nor
+    overlong.  A word counts once a piece.  Rare words say nothing, so no more than LONG * ``RARE`` come back.
+    """
+    line = texts.select(F.explode(F.split("text", "\\R")).alias("line"))
+    piece = line.select(F.explode(F.transform(F.split("line", r"(?<=[.!?])\s+"), F.trim)).alias("piece")).filter("piece <> ''")
+    words = F.regexp_extract_all("piece", F.lit(r"(?U)([^\W\d_]+(?:['’-][^\W\d_]+)*)"), F.lit(1))
+    piece = piece.select("piece", words.alias("words")).filter("size(words) > 2")
+    shape = F.col("piece").rlike(r"^\p{Lu}") & F.col("piece").rlike(r"[.!?]$") & F.size("words").between(SHORT + 1, LONG)
+    piece = piece.select(shape.alias("prose"), F.array_distinct(F.transform("words", F.lower)).alias("words"))
+    # the empty word counts the pieces
+    each = piece.select("prose", F.explode(F.array_append("words", F.lit(""))).alias("word"))
+    counts = stages.write(each.groupBy("word").agg(F.count_if("prose").alias("s"), F.count_if(~F.col("prose")).alias("n")), "words")
+    whole = counts.filter("word = ''").first()
+    if whole is None or not whole["s"]:
+        return frozenset()
+    often = counts.filter((F.col("word") != "") & (F.col("s") * RARE >= whole["s"]) & (F.col("s") / whole["s"] >= (F.col("n") + 1) / (whole["n"] + 1)))
+    return frozenset(r["word"] for r in often.select("word").toLocalIterator())
+
+
+def _judge(prose: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            judged = [spam_share(t, prose) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in judged], pa.float64()), pa.array([x[1] for x in judged], pa.int32()), pa.array([x[2] for x in judged], pa.string())], ["doc_id", "spam_share", "n_shapes", "kind"])
+
+    return run
 
 
 def judged_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, spam_share, n_shapes, kind) of every document; null and empty texts have share 0.
 
-    Each text is judged by itself in one pass, so nothing is shuffled and repeated rows stay repeated.
+    The prose words are learnt in a first pass; in a second one each text is judged by itself, so no text
+    is shuffled and repeated rows stay repeated.
     """
-    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_judge, "doc_id long, spam_share double, n_shapes int, kind string")
+    prose = prose_words(documents.select("text").filter("text is not null"), Stages(documents.sparkSession, "spam"))
+    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_judge(prose), "doc_id long, spam_share double, n_shapes int, kind string")
 
 
 def spam_pages(documents: DataFrame, share: float = SHARE) -> DataFrame:
