@@ -191,8 +191,21 @@ def p8_allocation(spark, d):
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
-@query("p8_shares")
-def p8_shares(spark, d):
+@query("p8_report")
+def p8_report(spark, d):
     from .mixing import mixture
 
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query("p8_shares", f"SELECT {label_sql('source')} AS source, round(target_share, 6) AS target_share, true AS met, true AS within_repeats FROM mix_targets")
+def p8_shares(spark, d):
+    """Each source, whether its share is met to within a hundredth and one text, and max_repeats kept."""
+    from pyspark.sql import functions as F
+
+    from .mixing import mixture
+
+    allocation, report = mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    text = allocation.agg((F.max("tokens") / F.sum(F.col("tokens") * F.col("repeats"))).alias("text"))  # one row
+    met = F.abs(F.col("share") - F.col("target_share")) <= 0.01 + F.col("text")
+    return report.join(F.broadcast(text)).select("source", F.round("target_share", 6).alias("target_share"), met.alias("met"), (F.col("most_used") <= F.col("max_repeats")).alias("within_repeats"))
