@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from spoorlens.llm.leakage import leak_report, leaked_items, longest_passage, may_hold
 from spoorlens.llm.mixing import TOKENIZER, mixture
-from spoorlens.llm.spam import spam_pages, spam_share
+from spoorlens.llm.spam import prose_words, spam_pages, spam_share
 from spoorlens.llm.text import words
+from spoorlens.sources.stages import Stages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, item_id long, tokens long, q string, kind string"
 
@@ -152,6 +153,8 @@ LINKS = "\n".join(f"https://spot-{k}.example/cast-kit" for k in range(12))
 TAGS = "\n".join(f"SKU-{10000 + 7 * k} | cast kit best | XL | {k},99 | offer" for k in range(10))
 TABLE = "\n".join(f"M-{k}; dist{k % 3}; {k}.4; {k + 3}.1" for k in range(20))
 COUNTS = "\n".join("Otter 9; Tiger 2; Tapir 6; Panda 1; Puma 8" for _ in range(10))
+#: What the prose above teaches, and words of no keyword list.
+GLUE = frozenset("a all and at averaged before before. both by cm from had in is it left levelled logged lone observer on over photo preserved readers since so steps stride the we with".split())
 WALL = "field ruler casting stone paw print scale bar field ruler cast kit paw print scale bar casting stone field ruler " * 6
 
 
@@ -160,7 +163,7 @@ WALL = "field ruler casting stone paw print scale bar field ruler cast kit paw p
     [(PROSE, False), (SAME, False), (KEYS, True), (LINKS, True), (TAGS, True), (TABLE, False), (COUNTS, False), (WALL, True), (f"{PROSE} {PROSE}\n{LINKS[:150]}", False), (f"{PROSE}\n{TAGS}\n{WALL}", True), ("#cast #kit #cast #tracks #cast #kit #tracks", True), ("", False), (None, False), ("   \n ", False)],
 )
 def test_spam(text, spam):
-    assert (spam_share(text)[0] > 0.5) is spam
+    assert (spam_share(text, GLUE)[0] > 0.5) is spam
 
 
 def keyword_lines(n, times, width, tail=""):
@@ -175,9 +178,33 @@ def test_length_and_many_keywords_hide_no_spam():
         assert all(spam_share(keyword_lines(n, times, width))[0] > 0.9 for width in (5, 14)), n
     # pages with keywords of their own, joined, and with less than half as much prose
     joined = "\n".join(keyword_lines(12, 12, 14, tail) for tail in ("a", "b", "c", "d", "e", "f", "g", "h"))
-    assert spam_share(joined)[0] > 0.9
-    assert spam_share(f"{joined}\n" + f"{PROSE}\n" * 12)[0] > 0.5
-    assert spam_share(f"{PROSE} {SAME}\n" * 40)[0] == 0
+    assert spam_share(joined, GLUE)[0] > 0.9
+    assert spam_share(f"{joined}\n" + f"{PROSE}\n" * 12, GLUE)[0] > 0.5
+    assert spam_share(f"{PROSE} {SAME}\n" * 40, GLUE)[0] == 0
+
+
+def test_many_shapes_are_no_list():
+    """Half of the page has to lie in few shapes: the same amount over many shapes isn't a list."""
+    few = "\n".join(f"https://spot-{k}.example/cast" for k in range(40))
+    assert spam_share(few)[0] == 1.0 and spam_share(few)[1] == 1
+    assert spam_share(f"{few}\n{TAGS}\n#cast #kit #cast #tracks")[1] == 3
+
+
+@pytest.mark.parametrize("glue", [["the", "of", "and", "was"], ["das", "von", "und", "war"], ["blorp", "zun", "ik", "mave"]])
+def test_prose_words_are_learnt_in_any_language(spark, glue):
+    rnd = random.Random(1)
+    stuff = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ara", "elo", "imu", "onte", "ulip")]
+    rows = []
+    for k in range(60):
+        body = " ".join(" ".join([rnd.choice(stuff).capitalize()] + [x for _ in range(6) for x in (rnd.choice(glue), rnd.choice(stuff))]) + "." for _ in range(8))
+        rows.append((k, body, "s"))
+    keys = rnd.sample(stuff, 9)
+    rows += [(100 + k, "\n".join(" ".join(rnd.choice(keys) for _ in range(12)) for _ in range(10)), "s") for k in range(6)]
+    # prose about few things, said again and again
+    rows.append((200, " ".join(" ".join([keys[0].capitalize()] + [x for _ in range(5) for x in (rnd.choice(glue), rnd.choice(keys[:4]))]) + "." for _ in range(30)), "s"))
+    learnt = prose_words(docs(spark, rows).select("text"), Stages(spark, "t"))
+    assert set(glue) <= learnt and not set(keys) & learnt
+    assert sorted(r[0] for r in spam_pages(docs(spark, rows)).collect()) == [100 + k for k in range(6)]
 
 
 def test_spam_pages(spark):
