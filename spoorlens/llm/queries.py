@@ -75,14 +75,16 @@ def p6_assign(spark, d):
 
 @query("p6_shares", "SELECT split_name, round(target_share, 6) AS target_share, true AS met, 0 AS n_broken FROM split_targets")
 def p6_shares(spark, d):
-    """Each split, whether its share is met to within a hundredth of all rows, and its broken families."""
+    """Each split, whether its share is met to within a hundredth and one average family, and its broken families."""
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from .family_split import animal_kinds, assign_splits, split_report
 
     targets = table(spark, d, "split_targets")
     out = split_report(assign_splits(table(spark, d, "footprints"), targets, animal_kinds()), targets)
-    return out.select("split_name", F.round("target_share", 6).alias("target_share"), (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("met"), F.col("n_broken").cast("int").alias("n_broken"))
+    family = F.lit(1.0) / F.sum("n_families").over(Window.partitionBy(F.lit(0)))  # a row a split
+    return out.select("split_name", F.round("target_share", 6).alias("target_share"), (F.abs(F.col("share") - F.col("target_share")) <= 0.01 + family).alias("met"), F.col("n_broken").cast("int").alias("n_broken"))
 
 
 # ---------------------------------------------------------------- problem 1
