@@ -71,55 +71,57 @@ def star_components(edges: DataFrame, stages: Stages, max_rounds: int = 100) ->
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
 
 
-def _low_degree(edges: DataFrame) -> DataFrame:
-    """Vertices of degree one or two: x, its neighbours lo and hi, its priority."""
-    d = both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("d"), F.min("y").alias("lo"), F.max("y").alias("hi"))
-    return d.filter("d <= 2").select("x", "lo", "hi", F.xxhash64("x").alias("p"))
+def _independent(edges: DataFrame) -> DataFrame:
+    """(x, lo, hi): vertices of degree one or two that come before their neighbours of such degree; lo and hi are their neighbours.
+
+    Vertices of degree one come first, others by a random priority.  Each tells its neighbours its place, so
+    a vertex meets the earliest of them as one row.  Neighbours of equal place both wait.
+    """
+    d = both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("d"), F.min("y").alias("lo"), F.max("y").alias("hi")).filter("d <= 2")
+    place = F.xxhash64("x").bitwiseAND(F.lit((1 << 61) - 1)) + (F.col("d") - 1) * (1 << 61)
+    low = d.select("x", "lo", "hi", place.alias("place"))
+    told = low.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), "place").groupBy("x").agg(F.min("place").alias("other"))
+    return low.join(told, "x", "left").filter("other is null or place < other").select("x", "lo", "hi")
 
 
 def contracted_groups(pairs: DataFrame, a: str, b: str, stages: Stages, max_rounds: int = 200, least_share: float = 0.02) -> DataFrame:
     """(node, group_id): each node of a group of two or more, named by the group's smallest node.
 
-    A round takes out an independent set of the vertices of degree at most two: those whose random
-    priority is the smallest among such neighbours.  A vertex of degree one points to its neighbour;
-    one of degree two points to a neighbour and leaves an edge between its two neighbours, which is
-    list ranking of a chain by repeated removal: at least a third of a long chain goes in each round.
-    When fewer than ``least_share`` of the edges would go, the core is solved with alternating stars.
-    Labels then return in reverse order of removal.
+    A round takes out an independent set of the vertices of degree at most two.  A vertex of degree one
+    points to its neighbour; one of degree two points to a neighbour and leaves an edge between its two
+    neighbours, which is list ranking of a chain by repeated removal: about a third of a long chain goes in
+    each round.  When fewer than ``least_share`` of the edges would go, the core is solved with alternating
+    stars.  A pointer leads to a vertex that was taken out later or never, so all pointers together are
+    followed by doubling, in as many steps as the number of rounds has binary digits; what is at their ends
+    has the labels.
     """
     edges, left = stages.write_counted(undirected(pairs, a, b), "edges")
-    removed = []
-    first = edges
+    removed, first = [], edges
     for _ in range(max_rounds):
         if not left:
             break
-        low = stages.write(_low_degree(edges), "low")
-        # a vertex waits while a neighbour of low degree has a smaller priority
-        links = low.select("x", "p", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
-        rival = low.select(F.col("x").alias("y"), F.col("p").alias("q"))
-        waits = links.join(rival, "y").filter("q < p or (q = p and y < x)").select("x").distinct()
-        gone, n = stages.write_counted(low.join(waits, "x", "left_anti").select("x", "lo", "hi"), "gone")
+        gone, n = stages.write_counted(_independent(edges), "gone")
         if n == 0:
             break
+        removed.append(gone)
         ends = gone.select("x")
         rest = edges.join(ends.withColumnRenamed("x", "u"), "u", "left_anti").join(ends.withColumnRenamed("x", "v"), "v", "left_anti")
         bridges = gone.filter("lo < hi").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         before = left
         new, left = stages.write_counted(rest.select("u", "v").unionByName(bridges).distinct(), "edges")
-        stages.drop(low)
         if edges is not first:
             stages.drop(edges)
-        removed.append(gone)
         edges = new
         if n / before < least_share:
             break
     label = star_components(edges, stages) if left else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    # a vertex taken out takes the label of the neighbour it points to, or that neighbour itself if it stayed alone
-    for k, gone in enumerate(reversed(removed)):
-        back = gone.select(F.col("x").alias("node"), F.col("lo").alias("to"))
-        at = back.join(label.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-        own = at.filter("root is not null").select("root").distinct()
-        alone = own.join(label.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "root")
-        label = stages.write(reduce(DataFrame.unionByName, [label, at, alone]), f"label{k}")
+    if removed:
+        point = reduce(DataFrame.unionByName, [g.select(F.col("x").alias("node"), F.col("lo").alias("to")) for g in removed])
+        for k in range((len(removed) - 1).bit_length()):
+            point = stages.write(point.join(point.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"pointers{k}")
+        # a vertex takes the label of the one at the end, or that one itself if it stayed alone
+        at = point.join(label.withColumnRenamed("node", "to"), "to", "left").select("node", "to", "root")
+        alone = at.filter("root is null").select(F.col("to").alias("node"), F.col("to").alias("root")).distinct()
+        label = stages.write(reduce(DataFrame.unionByName, [label, at.select("node", F.coalesce("root", "to").alias("root")), alone]), "labels")
     least = label.groupBy("root").agg(F.min("node").alias("group_id"))
     return label.join(least, "root").select("node", "group_id")
