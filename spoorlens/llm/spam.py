@@ -182,12 +182,12 @@ def prose_words(texts: DataFrame, stages: Stages) -> frozenset[str]:
     """
     line = texts.select(F.explode(F.split("text", "\\R")).alias("line"))
     piece = line.select(F.explode(F.transform(F.split("line", r"(?<=[.!?])\s+"), F.trim)).alias("piece")).filter("piece <> ''")
-    words = F.regexp_extract_all("piece", F.lit(r"(?U)([^\W\d_]+(?:['’-][^\W\d_]+)*)"), F.lit(1))
-    piece = piece.select("piece", words.alias("words")).filter("size(words) > 2")
+    # a leading separator leaves an empty word, which isn't counted
+    piece = piece.select("piece", F.split(F.ltrim(F.lower("piece")), r"[^\p{L}'’-]+").alias("words")).filter("size(words) > 2")
     shape = F.col("piece").rlike(r"^\p{Lu}") & F.col("piece").rlike(r"[.!?]$") & F.size("words").between(SHORT + 1, LONG)
-    piece = piece.select(shape.alias("prose"), F.array_distinct(F.transform("words", F.lower)).alias("words"))
+    piece = piece.select(shape.alias("prose"), F.array_distinct("words").alias("words"))
     # the empty word counts the pieces
-    each = piece.select("prose", F.explode(F.array_append("words", F.lit(""))).alias("word"))
+    each = piece.select("prose", F.explode(F.array_distinct(F.array_append("words", F.lit("")))).alias("word"))
     counts = stages.write(each.groupBy("word").agg(F.count_if("prose").alias("s"), F.count_if(~F.col("prose")).alias("n")), "words")
     whole = counts.filter("word = ''").first()
     if whole is None or not whole["s"]:
