@@ -18,6 +18,7 @@ from __future__ import annotations
 import csv
 import difflib
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +40,29 @@ KEY = "print_no"
 
 
 # ------------------------------------------------------------------ parsing
+def _line(text: str, delimiter: str) -> list[str]:
+    """The values of a delimited line; one without quotes needs no parser."""
+    if '"' in text or "\r" in text or "\n" in text:
+        return next(csv.reader([text], delimiter=delimiter), [])
+    return text.split(delimiter) if text else []
+
+
 def _cells(pdf: pd.DataFrame) -> list[list[tuple[str, str | None]]]:
-    out = []
+    csv.field_size_limit(sys.maxsize)  # cells may be of any length
+    out, heads = [], {}
     for kind, delimiter, header, line in zip(pdf["file_format"], pdf["delimiter"], pdf["header"], pdf["raw_line"]):
         try:
             if kind == "jsonl":
                 o = json.loads(line)
                 row = [(k, None if v is None else json.dumps(v) if isinstance(v, (bool, dict, list)) else str(v)) for k, v in o.items()] if isinstance(o, dict) else []
             else:
-                names = next(csv.reader([header or ""], delimiter=delimiter or ","), [])
-                values = next(csv.reader([line], delimiter=delimiter or ","), [])
+                d = delimiter or ","
+                names = heads.get((header, d))
+                if names is None:
+                    names = heads[header, d] = _line(header or "", d)
+                values = _line(line, d)
                 row = list(zip(names, values + [None] * (len(names) - len(values))))
-        except (ValueError, csv.Error, StopIteration):
+        except (ValueError, TypeError, csv.Error, StopIteration):
             row = []
         out.append(row)
     return out
@@ -115,11 +127,21 @@ def _type(n: Column, integer: Column, decimal: Column, boolean: Column, date: Co
 
 
 def profiles(cells: DataFrame) -> DataFrame:
-    """(feed_id, file_id, name, n, type, q, sketch) for each column of each file, columns without values included."""
+    """(feed_id, file_id, name, n, type) for each column of each file, columns without values included."""
     counts = {k: F.count_if(F.col("kind") == k) for k in ("integer", "decimal", "boolean", "date")}
-    sketch = F.array(*[F.min(F.xxhash64(F.lit(k), "value")) for k in range(SKETCH)])
-    by = cells.groupBy("feed_id", "file_id", "name").agg(F.count("kind").alias("n"), *[c.alias(k) for k, c in counts.items()], F.percentile_approx("number", [0.1, 0.25, 0.5, 0.75, 0.9], 1000).alias("q"), sketch.alias("sketch"))
-    return by.select("feed_id", "file_id", "name", "n", _type(*[F.col(c) for c in ("n", "integer", "decimal", "boolean", "date")]).alias("type"), "q", "sketch")
+    by = cells.groupBy("feed_id", "file_id", "name").agg(F.count("kind").alias("n"), *[c.alias(k) for k, c in counts.items()])
+    return by.select("feed_id", "file_id", "name", "n", _type(*[F.col(c) for c in ("n", "integer", "decimal", "boolean", "date")]).alias("type"))
+
+
+def sketches(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """(file_id, name, q, sketch) of the ``columns`` (file_id, name): quantiles of numbers, min-hash sketch of values.
+
+    A value is hashed once; the hash says in which of ``SKETCH`` places it counts, and a place keeps its least.
+    """
+    h = F.col("h")
+    sketch = F.array(*[F.min(F.when(F.pmod(h, F.lit(SKETCH)) == k, h)) for k in range(SKETCH)])
+    own = cells.filter("value is not null").join(columns.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi").withColumn("h", F.xxhash64("value"))
+    return own.groupBy("file_id", "name").agg(F.percentile_approx("number", [0.1, 0.25, 0.5, 0.75, 0.9], 1000).alias("q"), sketch.alias("sketch"))
 
 
 def versions(files: DataFrame) -> DataFrame:
@@ -132,8 +154,8 @@ def versions(files: DataFrame) -> DataFrame:
 def comparisons(profile: DataFrame, version: DataFrame) -> DataFrame:
     """(feed_id, file_id, earlier, name, old_type, new_type, gone, came): a row for each name of a file or its predecessor."""
     steps = version.filter("earlier is not null").select("feed_id", "file_id", "earlier")
-    new = steps.join(profile.drop("feed_id"), "file_id").select("feed_id", "file_id", "earlier", "name", F.struct("type", "n", "q", "sketch").alias("new"))
-    old = steps.join(profile.drop("feed_id").withColumnRenamed("file_id", "earlier"), "earlier").select("feed_id", "file_id", "earlier", "name", F.struct("type", "n", "q", "sketch").alias("old"))
+    new = steps.join(profile.drop("feed_id"), "file_id").select("feed_id", "file_id", "earlier", "name", F.struct("type", "n").alias("new"))
+    old = steps.join(profile.drop("feed_id").withColumnRenamed("file_id", "earlier"), "earlier").select("feed_id", "file_id", "earlier", "name", F.struct("type", "n").alias("old"))
     return new.join(old, ["feed_id", "file_id", "earlier", "name"], "full")
 
 
@@ -190,7 +212,8 @@ def _alike(old: dict, new: dict) -> float:
         a, b = np.asarray(old["q"], float), np.asarray(new["q"], float)
         width = max(a[-1] - a[0], b[-1] - b[0], 1e-9 * max(abs(a).max(), 1))
         return float(max(0.0, 1 - np.abs(a - b).mean() / width))
-    return float(np.mean(np.asarray(old["sketch"]) == np.asarray(new["sketch"])))
+    used = [(x, y) for x, y in zip(old["sketch"], new["sketch"]) if not (pd.isna(x) and pd.isna(y))] if old["sketch"] is not None and new["sketch"] is not None else []
+    return float(np.mean([x == y for x, y in used])) if used else 0.0
 
 
 def rename_score(old_name: str, new_name: str, old: dict, new: dict, shared: int, equal: int) -> float:
@@ -230,12 +253,20 @@ def schema_changes(files: DataFrame, lines: DataFrame, key: str = KEY, stages: S
     cells = cells if cells is not None else stages.write(typed(parsed_cells(files, lines)), "cells")
     both = stages.write(comparisons(profiles(cells), versions(files)), "comparisons")
     head = ["feed_id", "file_id", "earlier"]
-    gone = both.filter("new is null").select(*head, "name", F.col("old.type").alias("old_type"), F.col("old.q").alias("old_q"), F.col("old.sketch").alias("old_sketch"))
-    came = both.filter("old is null").select(*head, "name", F.col("new.type").alias("new_type"), F.col("new.q").alias("new_q"), F.col("new.sketch").alias("new_sketch"))
+    gone = both.filter("new is null").select(*head, "name", F.col("old.type").alias("old_type"))
+    came = both.filter("old is null").select(*head, "name", F.col("new.type").alias("new_type"))
     pairs = gone.withColumnRenamed("name", "old_name").join(came.withColumnRenamed("name", "new_name"), head).filter("old_type = new_type")
-    seen = evidence(cells, gone, came, key)
+    pairs = stages.write(pairs, "pairs")
+    # only columns that may have been renamed are looked at closely
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("earlier").alias("file_id"), F.col("old_name").alias("name")), F.struct(F.col("file_id"), F.col("new_name").alias("name")))).alias("e")).select("e.*")
+    look = stages.write(sketches(cells, ends), "sketches")
+    seen = evidence(cells, pairs.select("file_id", "earlier", F.col("old_name").alias("name")).distinct(), pairs.select("file_id", F.col("new_name").alias("name")).distinct(), key)
     scored = pairs.join(seen, ["file_id", "old_name", "new_name"], "left").fillna(0, ["shared", "equal"])
-    renamed = stages.write(scored.groupBy("file_id").applyInPandas(_match, "file_id long, old_name string, new_name string, score double"), "renamed")
+    scored = scored.join(look.select(F.col("file_id").alias("earlier"), F.col("name").alias("old_name"), F.col("q").alias("old_q"), F.col("sketch").alias("old_sketch")), ["earlier", "old_name"], "left")
+    scored = scored.join(look.select("file_id", F.col("name").alias("new_name"), F.col("q").alias("new_q"), F.col("sketch").alias("new_sketch")), ["file_id", "new_name"], "left")
+    # a given number of partitions isn't merged at run time, small as they are: each file costs time, not bytes
+    spread = scored.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    renamed = stages.write(spread.groupBy("file_id").applyInPandas(_match, "file_id long, old_name string, new_name string, score double"), "renamed")
     none = F.lit("")
     kinds = [
         gone.join(renamed.select("file_id", F.col("old_name").alias("name")), ["file_id", "name"], "left_anti").select(*head, F.lit("removed").alias("change_kind"), F.col("name").alias("old_name"), none.alias("new_name"), "old_type", F.lit(None).cast("string").alias("new_type")),
@@ -295,3 +326,34 @@ def unified(files: DataFrame, lines: DataFrame, key: str = KEY) -> DataFrame:
     merged = each.groupBy("feed_id", "record", "field").agg(known.alias("value"), F.max("at").alias("at"))
     out = merged.groupBy("feed_id", "record").agg(F.max("at").alias("at"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
     return out.select("feed_id", "record", "at.file_id", "fields")
+
+
+def field_types(table: DataFrame) -> DataFrame:
+    """(field, type) of a table that ``unified`` made: that of at least four fifths of the values, else text."""
+    v = F.col("value")
+    each = table.select(F.explode("fields").alias("field", "value")).filter("value is not null")
+    number = v.rlike(r"^-?\d") & v.try_cast("double").isNotNull()
+    whole = number & v.rlike(r"^-?\d+\.0$")
+    counts = {"integer": whole, "decimal": number & ~whole, "boolean": v.isin("true", "false"), "date": v.rlike(r"^\d{4}-\d{2}-\d{2}$")}
+    n = each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    return n.select("field", _type(*[F.col(c) for c in ("n", *counts)]).alias("type"))
+
+
+#: The column type of each field type.
+_COLUMN = {"integer": "bigint", "decimal": "double", "boolean": "boolean", "date": "date", "text": "string"}
+
+
+def typed_table(table: DataFrame) -> DataFrame:
+    """The unified table with a column for each field, in order of name, of the field's type.
+
+    A value that isn't of its field's type is null; so is a field that a record doesn't have.  Fields named
+    as the table's own columns get the prefix ``field_``.
+    """
+    types = {r["field"]: r["type"] for r in field_types(table).collect()}  # a row a field: the columns of the result
+
+    def column(name: str) -> Column:
+        v, kind = F.col("fields")[F.lit(name)], types[name]
+        v = v.try_cast("double").try_cast("bigint") if kind == "integer" else v.try_cast(_COLUMN[kind])
+        return v.alias(f"field_{name}" if name in ("feed_id", "record", "file_id") else name)
+
+    return table.select("feed_id", "record", "file_id", *[column(n) for n in sorted(types)])

@@ -15,3 +15,9 @@ def p3_found(spark, d):
 @query("p3_unified")
 def p3_unified(spark, d):
     return drift.unified(table(spark, d, "import_files"), table(spark, d, "raw_rows"))
+
+
+@query("p3_table")
+def p3_table(spark, d):
+    """The unified table with typed columns."""
+    return drift.typed_table(drift.unified(table(spark, d, "import_files"), table(spark, d, "raw_rows")))

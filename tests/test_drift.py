@@ -81,6 +81,36 @@ def test_unified_keeps_values_that_only_an_earlier_row_has(spark):
     assert rows["9.0"] == (2, {"print_no": "9.0", "flag": None})
 
 
+def test_typed_table(spark):
+    a = numbered(["print_no;dist1;note;flag;day;file_id"] + [f"{k};{k},5;n{k};true;0{k}.02.2021;{k}" for k in range(1, 9)] + ["9;odd;;maybe;;"])
+    f, r = feed(spark, [(1, 1, "delimited", ";", 1)], {1: a})
+    t = D.typed_table(D.unified(f, r))
+    assert dict(t.dtypes) == {"feed_id": "bigint", "record": "string", "file_id": "bigint", "day": "date", "dist1": "double", "field_file_id": "bigint", "flag": "boolean", "note": "string", "print_no": "bigint"}
+    rows = {x["print_no"]: x for x in t.collect()}
+    assert rows[3]["dist1"] == 3.5 and str(rows[3]["day"]) == "2021-02-03" and rows[3]["flag"] is True and rows[3]["file_id"] == 1
+    assert rows[9]["dist1"] is None and rows[9]["flag"] is None
+    assert len(D.typed_table(D.unified(*feed(spark, [], {}))).columns) == 3
+
+
+def test_renames_without_a_record_number(spark):
+    """Values and names alone tell a rename where no record is known to be in both files."""
+    rnd = random.Random(6)
+    row = lambda k: f"{k};{rnd.uniform(40, 60):.2f};{rnd.uniform(400, 900):.1f};{rnd.choice(['mud', 'snow', 'sand'])};{rnd.choice(['true', 'false'])}"
+    a = numbered(["no;dist1;area;ground;wet"] + [row(k) for k in range(60)])
+    b = numbered(["no;length;surface;substrate;wet"] + [row(k) for k in range(200, 260)])
+    f, r = feed(spark, [(1, 1, "delimited", ";", 1), (2, 1, "delimited", ";", 2)], {1: a, 2: b})
+    got = {(x["change_kind"], x["old_name"], x["new_name"]) for x in D.schema_changes(f, r, key="none").collect()}
+    assert got == {("renamed", "dist1", "length"), ("renamed", "area", "surface"), ("renamed", "ground", "substrate")}
+
+
+def test_very_long_cells_and_quotes(spark):
+    long = "x" * 300_000
+    a = numbered(["print_no,a,b", f'1,"{long}",2', f"2,{long},3", '3,"p, q",4'])
+    f, r = feed(spark, [(1, 1, "delimited", ",", 1)], {1: a})
+    rows = {x["record"]: x["fields"] for x in D.unified(f, r).collect()}
+    assert rows["1.0"]["a"] == rows["2.0"]["a"] == long and rows["3.0"] == {"print_no": "3.0", "a": "p_q", "b": "4.0"}
+
+
 def test_assignment_is_the_best():
     rnd = random.Random(1)
     for _ in range(60):
