@@ -20,6 +20,6 @@ def measurement(c: str | Column) -> Column:
 
 
 def decimal_comma(c: str | Column) -> Column:
-    """Text to double, a comma counting as decimal point; null where it isn't a number."""
+    """Text to double, a comma counting as decimal point; null where it isn't a number, ``NaN`` included."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
+    return finite(F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(".")).try_cast("double"))

@@ -13,6 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Trails of one group, at most: its matrix has half a gigabyte then.
+MOST_TRAILS = 8000
+#: The cutoffs of a full sweep.
+CUTOFFS = tuple(round(0.4 + 0.1 * k, 6) for k in range(38))
+
 
 def square_distances(pairs: DataFrame, keys: Sequence[str], a: str, b: str, dist: str) -> DataFrame:
     """(keys, i, j, d): the symmetric long form of a distance matrix, zeros on the diagonal.
@@ -48,19 +53,34 @@ def dense(pdf: pd.DataFrame, fill: bool = True) -> tuple[list[str], np.ndarray]:
 
 
 def ward(d: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (cluster, cluster, height) of Ward linkage of a distance matrix; cluster n + k is made by merge k."""
+    """Merges (cluster, cluster, height) of Ward linkage of a distance matrix; cluster n + k is made by merge k.
+
+    Chains of nearest neighbours are followed until two clusters are nearest to each other, so all merges
+    take n squared steps; they are then put in order of height.
+    """
     n = len(d)
+    if n > MOST_TRAILS:
+        raise ValueError(f"{n} trails in one group; a linkage holds a matrix of at most {MOST_TRAILS}")
     if n < 2:
         return []
     q = d.astype(float) ** 2
     np.fill_diagonal(q, np.inf)
-    size, name, out = np.ones(n), np.arange(n), []
-    live = np.ones(n, bool)
-    for k in range(n - 1):
-        i, j = divmod(int(np.argmin(q)), n)
-        i, j = min(i, j), max(i, j)
+    size, live, found, chain = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(live))]
+        while True:
+            x = chain[-1]
+            y = int(np.argmin(q[x]))
+            # of equally near ones the one before in the chain, so that it ends
+            if len(chain) > 1 and q[x, chain[-2]] <= q[x, y]:
+                y = chain[-2]
+                break
+            chain.append(y)
+        del chain[-2:]
+        i, j = min(x, y), max(x, y)
         h = q[i, j]
-        out.append((int(min(name[i], name[j])), int(max(name[i], name[j])), float(np.sqrt(max(h, 0)))))
+        found.append((float(np.sqrt(max(h, 0))), i, j))
         others = live.copy()
         others[[i, j]] = False
         s = size[others]
@@ -68,7 +88,20 @@ def ward(d: np.ndarray) -> list[tuple[int, int, float]]:
         q[i, others] = q[others, i] = new
         q[j, :] = q[:, j] = np.inf
         size[i] += size[j]
-        live[j], name[i] = False, n + k
+        live[j] = False
+    name, out = list(range(n)), []
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k, (h, i, j) in enumerate(sorted(found, key=lambda m: m[0])):
+        i, j = root(i), root(j)
+        out.append((min(name[i], name[j]), max(name[i], name[j]), h))
+        up[j], name[i] = i, n + k
     return out
 
 
@@ -76,9 +109,9 @@ def heights(d: np.ndarray) -> list[float]:
     return sorted(h for _, _, h in ward(d))
 
 
-def cut_labels(d: np.ndarray, cutoff: float) -> np.ndarray:
+def cut_labels(d: np.ndarray, cutoff: float, merges: list | None = None) -> np.ndarray:
     """Cluster number of each row when merges up to ``cutoff`` are made; numbered in order of first row."""
-    n, merges = len(d), ward(d)
+    n, merges = len(d), ward(d) if merges is None else merges
     root = list(range(2 * n - 1)) if n else []
     # a merge is made if it and all merges below it are at most the cutoff
     reach = {}
@@ -101,21 +134,6 @@ def cluster_count(d: np.ndarray, cutoff: float) -> int:
     return len(set(cut_labels(d, cutoff).tolist()))
 
 
-def optimal_cutoff(d: np.ndarray, k: int) -> tuple[float, float, float]:
-    """(cutoff, low, high): the middle and the quarters of the range of heights at which there are ``k`` clusters.
-
-    ``k`` must lie within 1 and the number of rows.  Where no merge lies below, the range begins at 0;
-    where none lies above, it has no width.
-    """
-    n = len(d)
-    if not 0 < k <= n:
-        raise ValueError(f"{k} clusters of {n} rows")
-    h = heights(d)
-    lo = h[n - k - 1] if n - k - 1 >= 0 else 0.0
-    hi = h[n - k] if n - k < len(h) else lo
-    return lo + (hi - lo) / 2, lo + (hi - lo) / 4, lo + 3 * (hi - lo) / 4
-
-
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette of a labelling with a distance matrix; a cluster of one scores 0."""
     out = []
@@ -169,7 +187,11 @@ def counts_at(linkage: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def cutoff_range(heights_: Column, n: Column, k: Column) -> Column:
-    """Struct (cutoff, low, high) as ``optimal_cutoff`` has it, over a column of sorted heights."""
+    """Struct (cutoff, low, high): the middle and the quarters of the range of sorted heights at which there are ``k`` clusters.
+
+    ``k`` must lie within 1 and the number of rows.  Where no merge lies below, the range begins at 0;
+    where none lies above, it has no width.
+    """
     lo = F.when(n - k >= 1, F.get(heights_, (n - k - 1).cast("int"))).otherwise(0.0)
     hi = F.coalesce(F.get(heights_, (n - k).cast("int")), lo)
     ok = (k > 0) & (k <= n)
@@ -204,3 +226,90 @@ def cutoff_sweep(labels: DataFrame, truth: DataFrame, keys: Sequence[str], alpha
     n = known.groupBy(*by).agg(F.countDistinct("cluster").alias("pred_count"), F.countDistinct("individual").alias("true_count"))
     s = n.join(v_measure(known, "individual", "cluster", by).select(*by, "v"), by).withColumn("erd", relative_difference("pred_count", "true_count"))
     return s.withColumn("score", alpha * (1 - F.col("erd")) + (1 - alpha) * F.col("v"))
+
+
+def reevaluated(linkage: DataFrame, keys: Sequence[str], cutoff: float, true_count: str = "true_count") -> DataFrame:
+    """(keys, true_count, pred_count, erd): counts of each group at one given cutoff."""
+    from .evaluation import relative_difference
+
+    at = counts_at(linkage, F.lit(float(cutoff)))
+    return at.select(*keys, true_count, "pred_count", relative_difference("pred_count", true_count).alias("erd"))
+
+
+# ------------------------------------------------------------------ full sweep
+def v_scores(true: np.ndarray, pred: np.ndarray) -> tuple[float, float, float]:
+    """Homogeneity, completeness and V of two labellings; an entropy of zero counts as 1."""
+    n = len(true)
+    _, t = np.unique(true, return_inverse=True)
+    _, p = np.unique(pred, return_inverse=True)
+    both = np.zeros((t.max() + 1, p.max() + 1))
+    np.add.at(both, (t, p), 1)
+    ent = lambda c: float(-(c[c > 0] / n * np.log(c[c > 0] / n)).sum())
+    ht, hp, hb = ent(both.sum(axis=1)), ent(both.sum(axis=0)), ent(both.ravel())
+    h = 1.0 if ht < 1e-12 else 1 - (hb - hp) / ht
+    c = 1.0 if hp < 1e-12 else 1 - (hb - ht) / hp
+    return h, c, 2 * h * c / (h + c) if h + c > 0 else 0.0
+
+
+def scaled_columns(m: np.ndarray) -> np.ndarray:
+    """Each column to 0..1 by its own range, one of no range becoming 0; the upper triangle then counts for both."""
+    lo, span = m.min(axis=0), np.ptp(m, axis=0)
+    up = np.triu((m - lo) / np.where(span > 0, span, 1), 1)
+    return up + up.T
+
+
+def sweep_curves(pairs: DataFrame, keys: Sequence[str], distances: Sequence[str], cutoffs: Sequence[float] = CUTOFFS, alpha: float = 0.5) -> DataFrame:
+    """(keys, dist, prep, cutoff, pred_count, true_count, erd, homogeneity, completeness, v, score) of each group of trails.
+
+    ``pairs`` has trail_a_id, trail_b_id, ind_a, ind_b and the distance columns; each distance, raw and
+    scaled by column, is a linkage of the trails that have it to all others.  Each group (keys and
+    distance) is one task; it makes one linkage for all cutoffs.  The score is alpha (1 - ERD) +
+    (1 - alpha) V.  Groups of fewer than two such trails give no rows.
+    """
+    from .evaluation import relative_difference
+
+    # keys may be null, so a group goes by their text
+    groups, keys = list(keys), ["_g"]
+    pairs = pairs.withColumn("_g", F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit(""))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("dist"), F.col(c).cast("double").alias("_d")) for c in distances])).alias("_e")
+    long = pairs.select("_g", "trail_a_id", "trail_b_id", "ind_a", "ind_b", each).select("_g", "_e.dist", "trail_a_id", "trail_b_id", "ind_a", "ind_b", "_e._d")
+    by = ["_g", "dist"]
+    square = complete_trails(square_distances(long, by, "trail_a_id", "trail_b_id", "_d"), by)
+    own = F.explode(F.array(F.struct(F.col("trail_a_id").alias("i"), F.col("ind_a").alias("ind")), F.struct(F.col("trail_b_id").alias("i"), F.col("ind_b").alias("ind"))))
+    truth = pairs.select(*keys, own.alias("_t")).select(*keys, "_t.*").groupBy(*keys, "i").agg(F.min("ind").alias("ind"))
+    rows = square.join(truth, [*keys, "i"])
+    types = dict(rows.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, m = dense(pdf)
+        at = dict(zip(pdf["i"], pdf["ind"].astype(str)))
+        true, out = np.array([at[x] for x in labels]), []
+        for prep, d in (("raw", m), ("minmax", scaled_columns(m))) if len(labels) > 1 else ():
+            merges = ward(d)
+            for c in cutoffs:
+                got = cut_labels(d, c, merges)
+                out.append((prep, float(c), len(set(got.tolist())), len(set(true.tolist())), *v_scores(true, got)))
+        out = pd.DataFrame(out, columns=["prep", "cutoff", "pred_count", "true_count", "homogeneity", "completeness", "v"])
+        for c in reversed(by):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    schema = [f"`{c}` {types[c]}" for c in by] + ["prep string, cutoff double, pred_count int, true_count int, homogeneity double, completeness double, v double"]
+    spread = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    s = spread.groupBy(*by).applyInPandas(one, ", ".join(schema)).withColumn("erd", relative_difference("pred_count", "true_count"))
+    s = s.withColumn("score", alpha * (1 - F.col("erd")) + (1 - alpha) * F.col("v"))
+    return s.join(pairs.select("_g", *groups).distinct(), "_g").select(*groups, *[c for c in s.columns if c != "_g"])
+
+
+def sweep_benchmark(curves: DataFrame, keys: Sequence[str], fold: str = "fold", origin: str = "origin") -> DataFrame:
+    """The best cutoff of each (keys, dist, prep) by its mean score over the folds of origin cv, and what it gives on origin test.
+
+    Of equal scores the smallest cutoff is taken; columns of the test are null where it has no rows.
+    """
+    by = [*keys, "dist", "prep"]
+    cv = curves.filter(F.col(origin) == "cv").groupBy(*by, "cutoff").agg(*[F.avg(c).alias(c) for c in ("erd", "homogeneity", "completeness", "v", "score")])
+    names = ("erd", "homogeneity", "completeness", "v", "score")
+    best = cv.groupBy(*by).agg(F.max_by(F.struct("cutoff", *names), F.struct("score", -F.col("cutoff"))).alias("b"))
+    best = best.select(*by, F.col("b.cutoff").alias("cutoff"), *[F.col(f"b.{c}").alias(f"cv_{c}") for c in names])
+    test = curves.filter(F.col(origin) == "test").select(*by, "cutoff", *[F.col(c).alias(f"test_{c}") for c in ("pred_count", "true_count", "erd", "homogeneity", "completeness", "v")])
+    return best.join(test, [*by, "cutoff"], "left")

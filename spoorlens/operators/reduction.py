@@ -46,7 +46,7 @@ def moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) ->
     return rows.select(*keys, F.col("_m")[0].cast("long").alias("n"), F.slice("_m", 2, p).alias("s"), F.slice("_m", p + 2, len(upper[0])).alias("q")).filter("n > 0")
 
 
-def _square(q: Sequence[float], p: int) -> np.ndarray:
+def square(q: Sequence[float], p: int) -> np.ndarray:
     m = np.zeros((p, p))
     m[np.triu_indices(p)] = q
     return m + np.triu(m, 1).T
@@ -69,7 +69,7 @@ def fit_pca(df: DataFrame, features: Sequence[str], k: int | None = 2, variance:
     if r is None or r["n"] < 1:
         raise ValueError("PCA needs a complete row")
     mean = np.array(r["s"]) / r["n"]
-    cov = (_square(r["q"], p) - r["n"] * np.outer(mean, mean)) / max(r["n"] - 1, 1)
+    cov = (square(r["q"], p) - r["n"] * np.outer(mean, mean)) / max(r["n"] - 1, 1)
     axes, var = pca_axes(cov, min(k, r["n"], p) if k else None, variance)
     return {"features": list(features), "mean": mean, "axes": axes, "variance": var, "prefix": "PCA"}
 
@@ -94,7 +94,7 @@ def fit_lda(df: DataFrame, features: Sequence[str], group: str, k: int = 2) -> d
         raise ValueError("LDA needs two classes")
     p, n = len(features), np.array([r["n"] for r in rows], float)
     means = np.array([np.array(r["s"]) / r["n"] for r in rows])
-    within = sum(_square(r["q"], p) - r["n"] * np.outer(m, m) for r, m in zip(rows, means)) / max(n.sum() - len(rows), 1)
+    within = sum(square(r["q"], p) - r["n"] * np.outer(m, m) for r, m in zip(rows, means)) / max(n.sum() - len(rows), 1)
     mean = (n[:, None] * means).sum(axis=0) / n.sum()
     d = means - mean
     between = (d * n[:, None]).T @ d / max(len(rows) - 1, 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distances import METRICS
 from ..functions.overlap import cloud_moments, ellipse_overlap
+from ..operators import kernels as K
 from ..operators import preprocess as P
 from ..operators import reduction as R
 from ..operators.evaluation import classification_scores, concordance, confusion, individual_accuracies, majority_stats, relative_difference, separation
@@ -21,26 +22,27 @@ from ..operators.splits import sequential_holdouts
 from ..sources.stages import Stages
 
 
+#: The options of the pair pipeline.
+SELECTIONS = ("none", "forward", "univariate", "variance", "lasso", "random_forest")
+REDUCERS = ("lda", "pca", None, "none")
+SCALERS = ("standard", "robust", None, "none")
+
+
 @dataclass(frozen=True)
 class PairConfig:
-    """Fixed defaults of the pair pipeline."""
+    """Fixed defaults of the pair pipeline; unknown names are an error."""
 
     k_features: int = 16
     selection: str = "forward"
-    reducer: str = "lda"
+    reducer: str | None = "lda"
     n_components: int = 2
     outliers: str | None = None
     scaler: str | None = "standard"
 
-
-def _vector_distances(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
-    d, s = np.abs(a - b), np.abs(a) + np.abs(b)
-    na, nb, whole = np.linalg.norm(a), np.linalg.norm(b), np.abs(a + b).sum()
-    return {
-        "euclidean": float(np.sqrt((d**2).sum())), "manhattan": float(d.sum()), "chebyshev": float(d.max()),
-        "cosine": float(1 - a @ b / (na * nb)) if na and nb else float("nan"),
-        "canberra": float(np.where(s > 0, d / np.where(s > 0, s, 1), 0).sum()), "braycurtis": float(d.sum() / whole) if whole else float("nan"),
-    }
+    def __post_init__(self):
+        for name, value, known in (("selection", self.selection, SELECTIONS), ("reducer", self.reducer, REDUCERS), ("scaler", self.scaler, SCALERS)):
+            if value not in known:
+                raise ValueError(f"{name} {value!r} isn't available; use one of {', '.join(str(x) for x in known)}")
 
 
 def prepared(df: DataFrame, features: Sequence[str], fit_on: DataFrame, config: PairConfig) -> DataFrame:
@@ -49,104 +51,207 @@ def prepared(df: DataFrame, features: Sequence[str], fit_on: DataFrame, config:
     if config.outliers:
         p = P.fit_outliers(fit, features, config.outliers)
         df, fit = P.apply_clip(df, p), P.apply_clip(fit, p)
-    if config.scaler:
+    if config.scaler not in (None, "none"):
         p = P.fit_standard(fit, features) if config.scaler == "standard" else P.fit_robust(fit, features)
         df = P.apply_scale(df, p)
     return df
 
 
-def project_pairs(pairs: DataFrame, points: DataFrame, features: Sequence[str], config: PairConfig = PairConfig(), trail: str = "trail", key: str = "id", keys: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
-    """Each pair in its own projection: groups A, B and the rest, features selected for them, then LDA or PCA.
+def _cross(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all points of ``a`` to all of ``b``; NaN where a distance has no value."""
+    x, y = a[:, None, :], b[None, :, :]
+    if metric == "cosine":
+        norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        return np.where(norm > 0, 1 - (a @ b.T) / np.where(norm > 0, norm, 1), np.nan)
+    d = np.abs(x - y)
+    if metric == "euclidean":
+        return np.sqrt((d**2).sum(axis=-1))
+    if metric == "manhattan":
+        return d.sum(axis=-1)
+    if metric == "chebyshev":
+        return d.max(axis=-1)
+    if metric == "canberra":
+        s = np.abs(x) + np.abs(y)
+        return np.where(s > 0, d / np.where(s > 0, s, 1), 0).sum(axis=-1)
+    whole = np.abs(x + y).sum(axis=-1)
+    return np.where(whole > 0, d.sum(axis=-1) / np.where(whole > 0, whole, 1), np.nan)
+
+
+def _spread(a: np.ndarray, b: np.ndarray | None, metric: str, block: int = 2000) -> tuple[float | None, float | None]:
+    """Mean and median distance of two sets of points, or of the pairs of points of one; points go in blocks."""
+    parts = []
+    for lo in range(0, len(a), block):
+        if b is None:
+            d = _cross(a[lo : lo + block], a[lo:], metric)
+            parts.append(d[np.triu_indices(len(d), 1, d.shape[1])])
+        else:
+            parts.append(_cross(a[lo : lo + block], b, metric).ravel())
+    flat = np.concatenate(parts) if parts else np.zeros(0)
+    flat = flat[~np.isnan(flat)]
+    return (float(flat.mean()), float(np.median(flat))) if len(flat) else (None, None)
 
-    Returns the pair with centres and coordinates of both trails, the selected features and the six
-    distances of the centres.  The rest of a pair enters through sums: totals of all points less those of
-    the two trails, so no task holds more than the rows of two trails and matrices of the features.
-    Pairs whose rest has fewer than two rows, or a trail of theirs no complete row, are left out.
-    Selection is forward (on the moments), variance or none.  ``totals`` replaces the sums over all points
-    by sums of each pair.
+
+def _forward_batch(within: np.ndarray, total: np.ndarray, n: np.ndarray, groups: int, k: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Forward selection by partial F for many pairs of scatter matrices at once: (columns, F), a row a pair.
+
+    What is left of a candidate within groups and over all is swept by each feature that is taken.
     """
-    features, keys, p = list(features), list(keys), len(features)
-    pts = points.select(*keys, trail, F.col(key).cast("string").alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
-    own = pts.groupBy(*keys, trail).agg(F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("rows"))
-    total = R.moments(points, features, keys) if totals is None else None
-    side = lambda c, s: own.select(*keys, F.col(trail).alias(c), F.col("rows").alias(f"rows_{s}"))
-    joined = pairs.join(side("trail_a_id", "a"), [*keys, "trail_a_id"]).join(side("trail_b_id", "b"), [*keys, "trail_b_id"])
-    if totals is not None:
-        joined = joined.join(totals.select("trail_a_id", "trail_b_id", "n", "s", "q"), ["trail_a_id", "trail_b_id"])
+    size, p = within.shape[:2]
+    eye, every = ridge * np.eye(p), np.arange(size)
+    w, t = within + eye, total + eye
+    taken, score = np.zeros((size, k), int), np.zeros((size, k))
+    free = np.ones((size, p), bool)
+    diagonal = np.arange(p)
+    for step in range(k):
+        df2 = np.maximum(n - groups - step, 1)
+        r1, r0 = np.maximum(w[:, diagonal, diagonal], 1e-12), t[:, diagonal, diagonal]
+        f = np.where(free, ((r0 - r1) / max(groups - 1, 1)) / (r1 / df2[:, None]), -np.inf)
+        i = f.argmax(axis=1)
+        taken[:, step], score[:, step] = i, f[every, i]
+        free[every, i] = False
+        for m in (w, t):
+            row = m[every, i]
+            m -= row[:, :, None] * (row / np.maximum(row[every, i], 1e-12)[:, None])[:, None, :]
+    return taken, score
+
+
+def _forward_moments(within: np.ndarray, total: np.ndarray, n: int, groups: int, k: int, ridge: float = 1e-6) -> list[tuple[int, float]]:
+    """``_forward_batch`` of one pair."""
+    taken, score = _forward_batch(within[None], total[None], np.array([n]), groups, k, ridge)
+    return [(int(i), float(f)) for i, f in zip(taken[0], score[0])]
+
+
+def _ranked_pair(a: np.ndarray, b: np.ndarray, selection: str, k: int) -> list[tuple[int, float]]:
+    """The ``k`` best columns, by their scores, to tell the rows of ``a`` from those of ``b``; ties in the order of columns."""
+    x, y = np.vstack([a, b]), np.repeat([0, 1], [len(a), len(b)])
+    if selection == "none":
+        return [(i, 1.0) for i in range(x.shape[1])]
+    if selection == "variance":
+        score = np.minimum(x.var(axis=0), np.ptp(x, axis=0))
+    elif selection == "univariate":
+        within = a.var(axis=0) * len(a) + b.var(axis=0) * len(b)
+        between = x.var(axis=0) * len(x) - within
+        score = between / np.maximum(within / max(len(x) - 2, 1), 1e-300)
+    elif selection == "lasso":
+        score = np.abs(K.lasso_cv(x, y.astype(float)))
     else:
-        joined = joined.join(F.broadcast(total), keys) if keys else joined.crossJoin(F.broadcast(total))  # a row a key
+        score = K.forest_importances(x, y)
+    order = np.argsort(-score, kind="stable")[:k]
+    return [(int(i), float(score[i])) for i in order]
+
+
+_STATS = [f"{s}_{m}_{w}" for m in METRICS for w in ("between", "within_a", "within_b") for s in ("mean", "median")]
+
+
+def project_pairs(pairs: DataFrame, points: DataFrame, features: Sequence[str], config: PairConfig = PairConfig(), trail: str = "trail", key: str = "id", keys: Sequence[str] = (), rest: DataFrame | None = None, proba: Sequence[str] = (), full: bool = True) -> DataFrame:
+    """Each pair in its own projection: features that tell A from B, then LDA of A, B and the rest, or PCA.
+
+    Returns the pair with numbers of observations, centres, selected features and scores and the six
+    distances of the centres; if ``full``, also the coordinates of both trails and mean and median of each
+    distance between their points and within each (null for a lone point, and where the centres have no
+    distance).
+
+    The rest of a pair is all other points, or the points of ``rest``; it enters through sums, so no task
+    holds more than the rows of two trails.  If not ``full``, not even these: trails enter through their
+    sums, too, and a trail may have any number of rows; selection is then forward, or none.  ``proba``
+    names columns of the points (probabilities of a sex model) that join the selected features; their means
+    over A, B and the rest are ``avg_proba_A_0`` and so on.
+
+    Rows with a missing feature take no part.  Pairs whose rest has fewer than two rows, or a trail of
+    theirs no complete row, are left out.
+    """
+    import pyarrow as pa
+
+    features, keys, proba = list(features), list(keys), list(proba)
+    p, width = len(features), len(features) + len(proba)
+    if not full and config.selection not in ("none", "forward"):
+        raise ValueError(f"selection {config.selection!r} needs the trails' rows")
+    value = [F.col(c).cast("double") for c in features + proba]
+    total = {tuple(r[c] for c in keys): (r["n"], np.array(r["s"]), R.square(r["q"], width)) for r in R.moments(points if rest is None else rest, features + proba, keys).collect()}  # a row a key
+    if full:
+        pts = points.select(*keys, trail, F.col(key).cast("string").alias("_id"), F.array(*value).alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
+        rows = pts.groupBy(*keys, trail).agg(F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("_r"))
+        own = rows.select(*keys, trail, F.flatten(F.transform("_r", lambda x: x["_v"])).alias("_r"))
+    else:
+        own = R.moments(points, features + proba, [*keys, trail]).select(*keys, trail, F.concat(F.array(F.col("n").cast("double")), "s", "q").alias("_r"))
+    side = lambda c, s: own.select(*keys, F.col(trail).alias(c), F.col("_r").alias(f"_r{s}"))
+    joined = pairs.join(side("trail_a_id", "a"), [*keys, "trail_a_id"]).join(side("trail_b_id", "b"), [*keys, "trail_b_id"])
     types = dict(joined.dtypes)
-    carry = [c for c in joined.columns if c not in ("rows_a", "rows_b", "n", "s", "q")]
-    k_f, k_c, reducer, selection = config.k_features, config.n_components, config.reducer, config.selection
-    if reducer not in ("lda", "pca", None, "none"):
-        raise ValueError(f"reducer {reducer!r} isn't available; use lda, pca or none")
-
-    def one(a: np.ndarray, b: np.ndarray, n: int, s: np.ndarray, q: np.ndarray):
-        parts = [(len(x), x.sum(axis=0), x.T @ x) for x in (a, b)]
-        nr = n - len(a) - len(b)
-        if nr < 2:
-            return None
-        parts.append((nr, s - parts[0][1] - parts[1][1], q - parts[0][2] - parts[1][2]))
-        mean = s / n
-        within = sum(qq - np.outer(ss, ss) / nn for nn, ss, qq in parts) / max(n - 3, 1)
-        means = [ss / nn for nn, ss, _ in parts]
-        between = sum(nn * np.outer(m - mean, m - mean) for (nn, _, _), m in zip(parts, means)) / 2
-        cov = (q - n * np.outer(mean, mean)) / max(n - 1, 1)
-        if selection == "none":
-            chosen = [(i, 1.0) for i in range(p)]
-        elif selection == "variance":
-            chosen = [(int(i), float(cov[i, i])) for i in np.argsort(-np.diag(cov), kind="stable")[:k_f]]
-        else:
-            chosen = _forward_moments(within * max(n - 3, 1), cov * max(n - 1, 1), n, 3, min(k_f, p))
-        at = [i for i, _ in chosen]
+    carry = [c for c in joined.columns if c not in ("_ra", "_rb")]
+    k_f, k_c, reducer, selection, inside = min(config.k_features, p), config.n_components, config.reducer, config.selection, rest is None
+    numbers = [(f"avg_proba_{g}_{j}", "double") for g in ("A", "B", "R") for j in range(len(proba))]
+    lists = [("center_a", "array<double>"), ("center_b", "array<double>"), ("center_r", "array<double>"), ("selected_features", "array<string>"), ("selected_scores", "array<double>")]
+    extra = [("min_observations", "int"), ("max_observations", "int"), *[(f"dist_{m}", "double") for m in METRICS], *numbers, *lists]
+    if full:
+        extra += [("coords_a", "array<array<double>>"), ("coords_b", "array<array<double>>"), *[(c, "double") for c in _STATS]]
+    arrow = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+
+    def sums(flat: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        if full:
+            x = flat.reshape(-1, width)
+            return len(x), x.sum(axis=0), x.T @ x
+        return flat[0], flat[1 : width + 1], R.square(flat[width + 1 :], width)
+
+    def projected(a: tuple, b: tuple, all_: tuple, chosen: list[tuple[int, float]], ra: np.ndarray, rb: np.ndarray) -> dict | None:
+        n, s, q = all_ if inside else tuple(x + y + z for x, y, z in zip(all_, a, b))
+        r = (n - a[0] - b[0], s - a[1] - b[1], q - a[2] - b[2])
+        at = [i for i, _ in chosen] + list(range(p, width))
+        mean, parts = s / n, (a, b, r)
+        means = [x[1] / x[0] for x in parts]
         if reducer == "lda":
-            axes = R.lda_axes(within[np.ix_(at, at)], between[np.ix_(at, at)], min(k_c, 2))
+            pick = np.ix_(at, at)
+            within = sum(x[2][pick] - np.outer(x[1][at], x[1][at]) / x[0] for x in parts) / max(n - 3, 1)
+            between = sum(x[0] * np.outer(m[at] - mean[at], m[at] - mean[at]) for x, m in zip(parts, means)) / 2
+            axes = R.lda_axes(within, between, min(k_c, 2, len(at)))
         elif reducer == "pca":
-            axes, _ = R.pca_axes(cov[np.ix_(at, at)], min(k_c, len(at)))
+            axes, _ = R.pca_axes((q - n * np.outer(mean, mean))[np.ix_(at, at)] / max(n - 1, 1), min(k_c, len(at)))
         else:
             axes = np.eye(len(at))
-        ca, cb = (a[:, at] - mean[at]) @ axes, (b[:, at] - mean[at]) @ axes
-        return ca, cb, (means[2][at] - mean[at]) @ axes, chosen
+        centre = [(m[at] - mean[at]) @ axes for m in means]
+        dist = {m: float(_cross(centre[0][None], centre[1][None], m)[0, 0]) for m in METRICS}
+        out = {"min_observations": int(min(a[0], b[0])), "max_observations": int(max(a[0], b[0]))}
+        out |= {f"dist_{m}": d for m, d in dist.items()} | {f"center_{g}": c.tolist() for g, c in zip("abr", centre)}
+        out |= {f"avg_proba_{g}_{j}": float(m[p + j]) for g, m in zip("ABR", means) for j in range(len(proba))}
+        out |= {"selected_features": [features[i] for i, _ in chosen], "selected_scores": [x for _, x in chosen]}
+        if full:
+            ca, cb = (ra[:, at] - mean[at]) @ axes, (rb[:, at] - mean[at]) @ axes
+            out |= {"coords_a": ca.tolist(), "coords_b": cb.tolist()}
+            for m in METRICS:
+                for where, (x, y) in (("between", (ca, cb)), ("within_a", (ca, None)), ("within_b", (cb, None))):
+                    got = (None, None) if np.isnan(dist[m]) or (y is None and len(x) < 2) else _spread(x, y, m)
+                    out[f"mean_{m}_{where}"], out[f"median_{m}_{where}"] = got
+        return out
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                a, b = (np.array([list(x["_v"]) for x in r[f"rows_{s}"]], float) for s in "ab")
-                q = np.zeros((p, p))
-                q[np.triu_indices(p)] = r["q"]
-                got = one(a, b, int(r["n"]), np.array(r["s"], float), q + np.triu(q, 1).T)
-                if got is None:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                index = {c: k for k, c in enumerate(part.schema.names)}
+                raw = [[x.values.to_numpy(zero_copy_only=False) for x in part.column(index[c])] for c in ("_ra", "_rb")]
+                of = list(zip(*[part.column(index[c]).to_pylist() for c in keys])) if keys else [()] * part.num_rows
+                both = [(sums(x), sums(y)) for x, y in zip(*raw)]
+                good = [k for k in range(part.num_rows) if of[k] in total and total[of[k]][0] - (both[k][0][0] + both[k][1][0] if inside else 0) >= 2]
+                if not good:
                     continue
-                ca, cb, cr, chosen = got
-                dist = _vector_distances(ca.mean(axis=0), cb.mean(axis=0))
-                row = {c: r[c] for c in carry}
-                row |= {f"dist_{m}": dist[m] for m in METRICS}
-                row |= {"center_a": ca.mean(axis=0).tolist(), "center_b": cb.mean(axis=0).tolist(), "center_r": cr.tolist(), "coords_a": ca.tolist(), "coords_b": cb.tolist(), "selected_features": [features[i] for i, _ in chosen], "selected_scores": [float(x) for _, x in chosen]}
-                out.append(row)
-            cols = [*carry, *[f"dist_{m}" for m in METRICS], "center_a", "center_b", "center_r", "coords_a", "coords_b", "selected_features", "selected_scores"]
-            yield pd.DataFrame(out, columns=cols)
-
-    schema = [f"`{c}` {types[c]}" for c in carry] + [f"dist_{m} double" for m in METRICS]
-    schema += ["center_a array<double>", "center_b array<double>", "center_r array<double>", "coords_a array<array<double>>", "coords_b array<array<double>>", "selected_features array<string>", "selected_scores array<double>"]
-    return joined.mapInPandas(run, ", ".join(schema))
-
-
-def _forward_moments(within: np.ndarray, total: np.ndarray, n: int, groups: int, k: int, ridge: float = 1e-6) -> list[tuple[int, float]]:
-    """Forward selection by partial F from scatter matrices: what is left of a candidate within groups and over all."""
-    taken, w, t = [], within.copy() + ridge * np.eye(len(total)), total.copy() + ridge * np.eye(len(total))
-    df1 = max(groups - 1, 1)
-    for _ in range(k):
-        df2 = max(n - groups - len(taken), 1)
-        r1, r0 = np.maximum(np.diag(w), 1e-12), np.diag(t)
-        f = ((r0 - r1) / df1) / (r1 / df2)
-        f[[i for i, _ in taken]] = -np.inf
-        i = int(np.argmax(f))
-        taken.append((i, float(f[i])))
-        # sweep the taken feature out of both scatters
-        w = w - np.outer(w[:, i], w[i]) / max(w[i, i], 1e-12)
-        t = t - np.outer(t[:, i], t[i]) / max(t[i, i], 1e-12)
-    return taken
+                shaped = [[x.reshape(-1, width) if full else None for x in raw[j]] for j in (0, 1)]
+                if selection == "forward":
+                    n = np.array([both[k][0][0] + both[k][1][0] for k in good])
+                    sab, qab = (np.array([both[k][0][j] + both[k][1][j] for k in good]) for j in (1, 2))
+                    scatter = qab[:, :p, :p] - sab[:, :p, None] * sab[:, None, :p] / n[:, None, None]
+                    within = np.array([sum(x[2][:p, :p] - np.outer(x[1][:p], x[1][:p]) / x[0] for x in both[k]) for k in good])
+                    taken, score = _forward_batch(within, scatter, n, 2, k_f)
+                    chosen = [[(int(i), float(f)) for i, f in zip(t, c)] for t, c in zip(taken, score)]
+                elif full:
+                    chosen = [_ranked_pair(shaped[0][k][:, :p], shaped[1][k][:, :p], selection, k_f) for k in good]
+                else:
+                    chosen = [[(i, 1.0) for i in range(p)]] * len(good)
+                made = [projected(*both[k], total[of[k]], c, shaped[0][k], shaped[1][k]) for k, c in zip(good, chosen)]
+                kept = part.take(pa.array(good))
+                columns = [kept.column(index[c]) for c in carry] + [pa.array([m[c] for m in made], arrow[t]) for c, t in extra]
+                yield pa.RecordBatch.from_arrays(columns, [*carry, *[c for c, _ in extra]])
+
+    schema = [f"`{c}` {types[c]}" for c in carry] + [f"{c} {t}" for c, t in extra]
+    return joined.mapInArrow(run, ", ".join(schema))
 
 
 def overlap_predictions(projected: DataFrame, p: float = 0.95) -> DataFrame:
@@ -289,18 +394,8 @@ def baseline_pairs(train: DataFrame, other: DataFrame, features: Sequence[str],
     both = prepared(other.withColumn("_of", F.lit(origin)).unionByName(rest, allowMissingColumns=True), features, train, config)
     flat = stages.write(both, "points")
     pairs = trail_pairs(trail_table(other)).select("trail_a_id", "trail_b_id", "ind_a", "ind_b", "same_individual")
-    return _project_against(stages.write(pairs, "pairs"), flat.filter(F.col("_of") == origin), flat.filter(F.col("_of") == "train"), features, config).withColumn("origin", F.lit(origin))
-
-
-def _project_against(pairs: DataFrame, points: DataFrame, rest: DataFrame, features: Sequence[str], config: PairConfig) -> DataFrame:
-    """``project_pairs`` with a rest of its own: the moments of A, B and the rest are added for each pair."""
-    total = R.moments(rest, features)
-    own = R.moments(points, features, ["trail"])
-    side = lambda c, s: own.select(F.col("trail").alias(c), *[F.col(x).alias(f"{x}{s}") for x in ("n", "s", "q")])
-    j = pairs.join(side("trail_a_id", "a"), "trail_a_id").join(side("trail_b_id", "b"), "trail_b_id").crossJoin(F.broadcast(total))  # one row
-    add = lambda x: F.zip_with(F.zip_with(x, f"{x}a", lambda u, v: u + v), f"{x}b", lambda u, v: u + v)
-    whole = j.select(*pairs.columns, (F.col("n") + F.col("na") + F.col("nb")).alias("n"), add("s").alias("s"), add("q").alias("q"))
-    return project_pairs(pairs, points, features, config, totals=whole)
+    own, rest = flat.filter(F.col("_of") == origin), flat.filter(F.col("_of") == "train")
+    return project_pairs(stages.write(pairs, "pairs"), own, features, config, rest=rest).withColumn("origin", F.lit(origin))
 
 
 def embedding_pairs(train: DataFrame, use: DataFrame, features: Sequence[str], individual: str = "individual_id", k: int = 2) -> tuple[DataFrame, DataFrame]:

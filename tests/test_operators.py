@@ -168,7 +168,12 @@ def test_joins(spark):
 
 
 # ------------------------------------------------------------------ population
-def test_ward_of_four():
+def optimal_cutoff(spark, d, k):
+    one = spark.createDataFrame([(PO.heights(d), len(d), k)], "heights array<double>, n int, k int")
+    return tuple(one.select(PO.cutoff_range(F.col("heights"), F.col("n"), F.col("k")).alias("c")).first()["c"])
+
+
+def test_ward_of_four(spark):
     h = PO.heights(D4)
     np.testing.assert_allclose(h[:2], [1, 1])
     # joined pairs: Lance-Williams by hand
@@ -178,12 +183,12 @@ def test_ward_of_four():
     np.testing.assert_allclose(h[2], math.sqrt(last))
     assert PO.cluster_count(D4, 1.0) == 2 and PO.cluster_count(D4, 0.5) == 4 and PO.cluster_count(D4, 99) == 1
     assert PO.silhouette_count(D4) == 2
-    cut, lo, hi = PO.optimal_cutoff(D4, 2)
+    cut, lo, hi = optimal_cutoff(spark, D4, 2)
     assert PO.cluster_count(D4, cut) == 2 and lo < cut < hi
-    assert PO.optimal_cutoff(D4, 4)[0] == 0.5 and PO.optimal_cutoff(D4, 1)[0] == pytest.approx(h[2])
+    assert optimal_cutoff(spark, D4, 4)[0] == 0.5 and optimal_cutoff(spark, D4, 1)[0] == pytest.approx(h[2])
     for k in (0, 5):
-        with pytest.raises(ValueError):
-            PO.optimal_cutoff(D4, k)
+        with pytest.raises(Exception, match="out of range"):
+            optimal_cutoff(spark, D4, k)
     with pytest.raises(ValueError):
         PO.silhouette_count(D4[:2, :2])
     assert PO.heights(np.zeros((1, 1))) == []
@@ -196,7 +201,9 @@ def test_population_of_groups(spark):
     link = PO.merge_heights(sq.filter("g <> 'z'"), ["g"])
     assert {r["g"]: r["pred_count"] for r in PO.counts_at(link, F.lit(1.0)).collect()} == {"x": 2, "y": 2}
     cut = link.withColumn("c", PO.cutoff_range(F.col("heights"), F.col("n"), F.lit(2))).first()["c"]
-    np.testing.assert_allclose(tuple(cut), PO.optimal_cutoff(D4, 2))
+    h = PO.heights(D4)
+    np.testing.assert_allclose(tuple(cut), [h[1] + (h[2] - h[1]) * x for x in (0.5, 0.25, 0.75)])
+    assert [(r["g"], r["pred_count"], r["erd"]) for r in PO.reevaluated(link.withColumn("true_count", F.lit(2)), ["g"], 1.0).orderBy("g").collect()] == [("x", 2, 0.0), ("y", 2, 0.0)]
     with pytest.raises(Exception, match="out of range"):
         link.select(PO.cutoff_range(F.col("heights"), F.col("n"), F.lit(9))).collect()
     assert {r["g"]: r["pred_count"] for r in PO.silhouette_counts(sq.filter("g <> 'z'"), ["g"]).collect()} == {"x": 2, "y": 2}
@@ -208,6 +215,54 @@ def test_population_of_groups(spark):
     assert {r["i"] for r in holes.select("i").distinct().collect()} == {"t1", "t2"}
 
 
+def slow_ward(d):
+    """Merges by the smallest distance of all, step by step."""
+    q, size, out = {(i, j): d[i, j] ** 2 for i in range(len(d)) for j in range(i)}, [1] * len(d), []
+    at = lambda x, y: q[max(x, y), min(x, y)]
+    live = list(range(len(d)))
+    while len(live) > 1:
+        h, i, j = min((at(x, y), y, x) for k, x in enumerate(live) for y in live[:k])
+        out.append(math.sqrt(max(h, 0)))
+        for m in live:
+            if m not in (i, j):
+                q[max(m, i), min(m, i)] = ((size[i] + size[m]) * at(m, i) + (size[j] + size[m]) * at(m, j) - size[m] * h) / (size[i] + size[j] + size[m])
+        size[i] += size[j]
+        live.remove(j)
+    return sorted(out)
+
+
+def test_chains_of_neighbours_give_the_same_linkage():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 7, 25):
+        x = rng.normal(size=(n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=-1))
+        np.testing.assert_allclose(PO.heights(d), slow_ward(d))
+        # labels at every height are nested and as many as merges are left out
+        for k, h in enumerate(PO.heights(d)):
+            assert PO.cluster_count(d, h + 1e-9) == n - k - 1
+    assert PO.heights(np.zeros((5, 5))) == [0.0] * 4
+    with pytest.raises(ValueError):
+        PO.ward(np.zeros((PO.MOST_TRAILS + 1, 2)))
+
+
+def test_full_sweep(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for origin, fold in (("cv", 0), ("cv", 1), ("test", None)):
+        at = {f"{origin}{fold}_i{k}_t{t}": (f"i{k}", 3.0 * k + rng.normal(0, 0.1)) for k in range(4) for t in range(3)}
+        names = sorted(at)
+        rows += [(origin, fold, a, b, at[a][0], at[b][0], abs(at[a][1] - at[b][1]), None if a.endswith("i0_t0") and b.endswith("i1_t0") else 0.01 * abs(at[a][1] - at[b][1])) for k, b in enumerate(names) for a in names[:k]]
+    pairs = spark.createDataFrame(rows, "origin string, fold int, trail_a_id string, trail_b_id string, ind_a string, ind_b string, dist_x double, dist_y double")
+    curves = PO.sweep_curves(pairs, ["origin", "fold"], ["dist_x", "dist_y"])
+    assert curves.count() == 3 * 2 * 2 * 38
+    got = {(r["dist"], r["prep"]): r for r in PO.sweep_benchmark(curves, []).collect()}
+    best = got["dist_x", "raw"]
+    assert best["cv_score"] == pytest.approx(1) and best["test_v"] == pytest.approx(1) and best["test_pred_count"] == 4 and best["test_erd"] == 0
+    assert got["dist_y", "raw"]["cv_score"] < 1 and got["dist_y", "minmax"]["cv_score"] > got["dist_y", "raw"]["cv_score"]
+    # a trail without a distance to all others takes no part
+    assert {r["true_count"] for r in curves.filter("dist = 'dist_y'").collect()} == {4} and curves.filter("dist = 'dist_y' and cutoff = 0.4 and prep = 'minmax'").agg(F.max("pred_count")).first()[0] <= 10
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.4), (0, 0, 0.4), (0, 0, 0.1), (None, 1, 0.5)], "t int, p int, s double")
     c = E.confusion(df, "t", "p").first()
@@ -317,8 +372,65 @@ def test_projected_pairs_part_individuals(spark):
     # a pair's rest needs two rows
     few = df.filter("trail in ('i0_t0', 'i1_t0')")
     assert PL.project_pairs(pairs.filter("trail_a_id = 'i0_t0' and trail_b_id = 'i1_t0'"), few, cols).collect() == []
+    for wrong in ({"reducer": "umap"}, {"selection": "forwards"}, {"scaler": "odd"}):
+        with pytest.raises(ValueError):
+            PL.PairConfig(**wrong)
+
+
+def test_pair_record_in_full(spark):
+    """Distances within and between in reduced coordinates, sums in place of rows, probabilities of a sex model."""
+    from spoorlens.plans import pipelines as PL
+
+    cols = ["a", "b", "c", "d"]
+    df = vectors(spark).withColumns({"proba_0": F.col("id") / 100, "proba_1": 1 - F.col("id") / 100})
+    pairs = PR.trail_pairs(PR.trail_table(df)).select("trail_a_id", "trail_b_id")
+    config = PL.PairConfig(k_features=2)
+    rows = PL.project_pairs(pairs, df, cols, config, proba=["proba_0", "proba_1"]).collect()
+    one = rows[0]
+    a, b = np.array(one["coords_a"]), np.array(one["coords_b"])
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=-1))
+    w = np.array([np.abs(a[i] - a[j]).sum() for i in range(len(a)) for j in range(i)])
+    assert one["mean_euclidean_between"] == pytest.approx(d.mean()) and one["median_euclidean_between"] == pytest.approx(np.median(d))
+    assert one["mean_manhattan_within_a"] == pytest.approx(w.mean()) and one["median_manhattan_within_a"] == pytest.approx(np.median(w))
+    assert (one["min_observations"], one["max_observations"]) == (5, 5) and len(one["selected_features"]) == 2 and len([c for c in one.asDict() if c.startswith(("mean_", "median_"))]) == 36
+    ids = {r["trail"]: r["m"] for r in df.groupBy("trail").agg(F.avg("proba_0").alias("m")).collect()}
+    assert one["avg_proba_A_0"] == pytest.approx(ids[one["trail_a_id"]]) and one["avg_proba_A_1"] == pytest.approx(1 - ids[one["trail_a_id"]])
+    rest = [v for t, v in ids.items() if t not in (one["trail_a_id"], one["trail_b_id"])]
+    assert one["avg_proba_R_0"] == pytest.approx(np.mean(rest))
+    short = {(r["trail_a_id"], r["trail_b_id"]): r for r in PL.project_pairs(pairs, df, cols, config, proba=["proba_0", "proba_1"], full=False).collect()}
+    assert "coords_a" not in short[one["trail_a_id"], one["trail_b_id"]].asDict()
+    for r in rows:
+        assert short[r["trail_a_id"], r["trail_b_id"]]["dist_euclidean"] == pytest.approx(r["dist_euclidean"], rel=1e-6)
     with pytest.raises(ValueError):
-        PL.project_pairs(pairs, df, cols, PL.PairConfig(reducer="umap"))
+        PL.project_pairs(pairs, df, cols, PL.PairConfig(selection="lasso"), full=False)
+
+
+@pytest.mark.parametrize("selection", ["forward", "univariate", "variance", "lasso", "random_forest", "none"])
+def test_selection_of_a_pair_finds_what_parts_it(spark, selection):
+    from spoorlens.plans import pipelines as PL
+
+    df, cols = vectors(spark), ["a", "b", "c", "d"]
+    pairs = PR.trail_pairs(PR.trail_table(df)).filter("trail_a_id = 'i0_t0' and trail_b_id = 'i1_t0'").select("trail_a_id", "trail_b_id")
+    r = PL.project_pairs(pairs, df, cols, PL.PairConfig(k_features=2, selection=selection)).first()
+    assert len(r["selected_features"]) == (4 if selection == "none" else 2)
+    # trails of the first and second individual differ in their first and second measurement
+    if selection in ("univariate", "variance", "random_forest"):
+        assert set(r["selected_features"]) == {"a", "b"}
+    assert r["selected_features"][0] in ("a", "b")
+
+
+def test_kernels_of_few_rows():
+    from spoorlens.operators.kernels import forest_importances, lasso_cv
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    y = 2 * x[:, 3] - x[:, 6] + rng.normal(0, 0.1, 60)
+    w = lasso_cv(x, y)
+    assert set(np.argsort(-np.abs(w))[:2]) == {3, 6} and abs(w[3] - 2) < 0.1
+    assert not lasso_cv(np.zeros((9, 2)), y[:9]).any()
+    imp = forest_importances(x, (x[:, 1] > 0).astype(int), trees=20)
+    assert imp.argmax() == 1 and imp.sum() == pytest.approx(1)
+    assert not forest_importances(x, np.zeros(60, int), trees=3).any()
 
 
 def test_forward_selection_on_moments_agrees_with_rows(spark):
