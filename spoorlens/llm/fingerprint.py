@@ -1,14 +1,16 @@
 """Problem 2: the same or nearly the same record in different splits.
 
 A record's fingerprint is a string of bits: each measurement is placed on a log scale in cells as wide
-as two tolerances, and its cell number is Gray-coded, so that measurements within the tolerance differ
-in at most one bit.  Two records of one impression are thus within a Hamming radius of one bit a
-measurement, and their codes agree in each block of measurements once the other side also tries the
-neighbouring cell that lies within the tolerance.  Blocks are joined across splits only; candidates
-within the radius are verified on the values and names themselves.
-
-No case is lost: four disjoint blocks of three serve pairs that lack up to three measurements between
-them; rows that lack two or more (and so can leave no block whole) also join on single measurements.
+as two tolerances, and the low bits of its Gray-coded cell number are kept, so that measurements within the
+tolerance differ in at most one bit.  Two records of one impression are thus within a Hamming radius of one
+bit a measurement.  Codes of cells twice as wide agree in each block of measurements once the other side
+also tries the neighbouring cell that lies within the tolerance.  Blocks are joined across splits only;
+candidates within the radius are verified on the values and names themselves.
+
+No case is lost.  Three disjoint blocks of four serve all pairs that hold one of them whole, which are all
+pairs that lack at most two measurements between them.  The others have a sparse record, one that lacks
+two or more; there are few of them, and for each pair of sets of held measurements the block is made of
+the first four that both hold (``sparse_candidates``).
 """
 
 from __future__ import annotations
@@ -28,120 +30,159 @@ from ..sources.stages import Stages
 #: The measurements of a footprint row.
 MEASURES = ("v1", "v2", "v3", "v4", "area1", "area2", "dist1", "dist2", "dist3", "dist4", "ang1", "t1")
 TOLERANCE = 0.01
-BLOCK = 3
-#: Bits of one measurement's code; doubles above zero fall into under 2 ** 17 cells.
-BITS = 21
-#: Cell width on the natural log scale: two tolerances, and a thousandth, so that a probe meets two cells at most.
+BLOCK = 4
+#: Missing measurements from which a record is sparse.
+SPARSE = 2
+#: Bits of a measurement's code, doubles above zero falling into under 2 ** 16 wide cells, and bits of a narrow cell's in the fingerprint.
+BITS, PRINT = 16, 5
+#: Cell widths on the natural log scale: four tolerances for blocks, two for the fingerprint, and a thousandth, so that
+#: a probe meets two cells at most.
 _REACH = 0.010050335853501453  # -ln(1 - TOLERANCE)
-_CELL = 2.002 * _REACH
+_CELL, _FINE = 4.004 * _REACH, 2.002 * _REACH
+_VALUES = [f"m{k}" for k in range(len(MEASURES))]
+_PARTS = [range(i, min(i + BLOCK, len(MEASURES))) for i in range(0, len(MEASURES), BLOCK)]
+_WHOLE = [sum(1 << i for i in part) for part in _PARTS]
 
 
-def _code(log: Column) -> Column:
-    """Gray code of the cell that holds a log value."""
-    q = F.floor(log / _CELL) + (1 << 17)
-    return q.bitwiseXOR(F.shiftright(q, 1))
+def _shifted(by: float, cell: float = _CELL):
+    def code(log: Column) -> Column:
+        """Gray code of the cell that holds a log value."""
+        q = F.floor((log + by) / cell) + (1 << BITS)
+        return q.bitwiseXOR(F.shiftright(q, 1)).bitwiseAND(F.lit((1 << BITS) - 1))
 
+    return code
 
-def _word(codes: Sequence[Column]) -> Column:
-    """Codes side by side in one long; null if one is null."""
-    return reduce(lambda w, c: F.shiftleft(w, BITS).bitwiseOR(c), codes)
 
+def footprint_records(footprints: DataFrame) -> DataFrame:
+    """(id, role, split, source, ind, trail, m0, m1, ...): rows of a split that hold a measurement; role is train or eval."""
+    split = label_form("__split__")
+    role = F.when(split == "train", "train").when(split.isin("test", "inference"), "eval")
+    m = [measurement(c).alias(v) for c, v in zip(MEASURES, _VALUES)]
+    rows = footprints.select("id", role.alias("role"), split.alias("split"), label_form("dataorigin").alias("source"), known(label_form("individual_id")).alias("ind"), base_trail("trail").alias("trail"), *m)
+    return rows.filter("role is not null and id is not null").filter(F.coalesce(*_VALUES).isNotNull())
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``h`` and ``g``, a 128-bit hash of what a representative stands for."""
+    parts = ["role", "ind", "trail", *_VALUES]
+    # a null moves the hash by its place, as each value is hashed with its number
+    at = [F.struct(F.lit(k), F.col(c)) for k, c in enumerate(parts)]
+    return rows.withColumns({"h": F.xxhash64(*at), "g": F.xxhash64(F.lit(7), *reversed(at))})
 
-def _blocks(level: int, n: int) -> list[tuple[int, ...]]:
-    """Blocks of measurement numbers.
 
-    1: disjoint triples; some triple is whole if fewer than n / 3 measurements are missing.
-    2: all triples within three equal parts; some triple is whole if seven measurements are held.
-    3: single measurements.
+def representatives(records: DataFrame) -> DataFrame:
+    """One row for each distinct (role, names, measurements): exact copies are compared once.
+
+    ``h`` and ``g`` name it; ``code`` has the codes of the measurements, ``lo`` and ``hi`` those
+    of the ends of the tolerance; ``print`` is the fingerprint; ``held`` the bit set of held
+    measurements; ``miss`` how many are missing.
     """
-    if level == 1:
-        return [tuple(range(i, min(i + BLOCK, n))) for i in range(0, n, BLOCK)]
-    if level == 3:
-        return [(i,) for i in range(n)]
-    part = -(-n // 3)
-    out = []
-    for start in range(0, n, part):
-        own = range(start, min(start + part, n))
-        out += [tuple(j for j in own if j != i) for i in own] if len(own) > 2 else [tuple(own)]
-    return out
+    one = _named(records.select("role", "ind", "trail", *_VALUES).distinct())
+    # a row costs time, not bytes, so small tables are spread, too
+    one = one.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    one = one.select("role", "h", "g", "ind", "trail", F.array(*_VALUES).alias("m"))
+    shift = {"code": 0.0, "lo": -_REACH * 1.0000001, "hi": _REACH * 1.0000001}
+    logs = F.transform("m", lambda v: F.log(v))
+    one = one.withColumns({c: F.transform(logs, _shifted(s)) for c, s in shift.items()} | {"fine": F.transform(logs, _shifted(0.0, _FINE))})
+    low = [F.coalesce(F.col("fine")[i], F.lit(0)).bitwiseAND(F.lit((1 << PRINT) - 1)) for i in range(len(MEASURES))]
+    held = [F.when(F.col("m")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(MEASURES))]
+    join_bits = lambda x, y: x.bitwiseOR(y)
+    prints = reduce(join_bits, [F.shiftleft(x, PRINT * i) for i, x in enumerate(low)])
+    return one.withColumns({"print": prints, "held": reduce(join_bits, held)}).drop("fine").withColumn("miss", len(MEASURES) - F.bit_count("held"))
+
 
+_KEEP = ("h", "g", "held", "print")
 
-def _keys(rows: DataFrame, level: int, probe: bool) -> DataFrame:
-    """(block, word) rows: of a record's own cells, or of all cells within the tolerance if ``probe``."""
+
+def _whole_blocks(rows: DataFrame, probe: bool) -> DataFrame:
+    """(block, word) rows of the disjoint blocks: of a record's own cells, or of all cells within the tolerance if ``probe``."""
     # the expression is long, so it is parsed from text
     out = []
-    for k, block in enumerate(_blocks(level, len(MEASURES))):
+    for k, part in enumerate(_PARTS):
         words = [""]
-        for i in block:
+        for i in part:
             ends = [f"lo[{i}]", f"hi[{i}]"] if probe else [f"code[{i}]"]
             words = [f"(shiftleft({w}, {BITS}) | {e})" if w else e for w in words for e in ends]
         out += [f"named_struct('block', {k}, 'word', {w})" for w in words]
     keys = F.expr(f"array_distinct(filter(array({', '.join(out)}), s -> s.word is not null))")
-    return rows.select("rep", "held", "print", F.explode(keys).alias("key")).select("rep", "held", "print", "key.block", "key.word")
+    return rows.select(*_KEEP, F.explode(keys).alias("key")).select(*_KEEP, "key.block", "key.word")
 
 
 def _within(a: str, b: str) -> Column:
-    """Whether the codes of two records differ in at most one bit for each measurement both hold."""
-    one = (1 << BITS) - 1
-    # bits of a word whose measurements are held, for each set of three
-    masks = f"array({', '.join(f'{sum(one << (BITS * (BLOCK - 1 - j)) for j in range(BLOCK) if x >> j & 1)}L' for x in range(1 << BLOCK))})"
+    """Whether the prints of two records differ in at most one bit for each measurement both hold."""
+    one = (1 << PRINT) - 1
+    # bits of a part's measurements that are held, for each set of them
+    masks = f"array({', '.join(f'{sum(one << (PRINT * j) for j in range(BLOCK) if x >> j & 1)}L' for x in range(1 << BLOCK))})"
     both = f"({a}.held & {b}.held)"
-    words = -(-len(MEASURES) // BLOCK)
-    differ = " + ".join(f"bit_count(({a}.print[{k}] ^ {b}.print[{k}]) & {masks}[shiftright({both}, {BLOCK * k}) & {(1 << BLOCK) - 1}])" for k in range(words))
-    return F.expr(f"{both} <> 0 and {differ} <= bit_count({both})")
+    bits = " | ".join(f"shiftleft({masks}[shiftright({both}, {BLOCK * k}) & {(1 << BLOCK) - 1}], {PRINT * BLOCK * k})" for k in range(len(_PARTS)))
+    return F.expr(f"{both} <> 0 and bit_count(({a}.print ^ {b}.print) & ({bits})) <= bit_count({both})")
 
 
-def footprint_records(footprints: DataFrame) -> DataFrame:
-    """(id, role, split, source, ind, trail, m): rows of a split that hold a measurement; role is train or eval."""
-    split = label_form("__split__")
-    role = F.when(split == "train", "train").when(split.isin("test", "inference"), "eval")
-    m = F.array(*[measurement(c) for c in MEASURES])
-    rows = footprints.select("id", role.alias("role"), split.alias("split"), label_form("dataorigin").alias("source"), known(label_form("individual_id")).alias("ind"), base_trail("trail").alias("trail"), m.alias("m"))
-    return rows.filter("role is not null and id is not null").filter(F.exists("m", lambda v: v.isNotNull()))
+def _pairs(hit: DataFrame) -> DataFrame:
+    return hit.select(F.col("t.h").alias("ah"), F.col("t.g").alias("ag"), F.col("e.h").alias("bh"), F.col("e.g").alias("bg"))
 
 
-def _shifted(by: float):
-    return lambda log: _code(log + by)
+def first_block(common: int) -> tuple[int, int]:
+    """(block, reach): the first four measurements of a set, and the mask by which any set is told to have the same first four."""
+    bits = [i for i in range(len(MEASURES)) if common >> i & 1][:BLOCK]
+    return sum(1 << i for i in bits), (1 << (bits[-1] + 1)) - 1 if len(bits) == BLOCK else (1 << len(MEASURES)) - 1
 
 
-def representatives(records: DataFrame) -> DataFrame:
-    """One row for each distinct (role, names, measurements): exact copies are compared once.
-
-    ``rep`` is a 128-bit hash of these; ``code`` has the codes of the measurements, ``lo`` and ``hi`` those
-    of the ends of the tolerance; ``print`` the fingerprint words; ``held`` the bit set of held
-    measurements; ``miss`` how many are missing.
-    """
-    one = records.groupBy("role", "rep").agg(*[F.any_value(c).alias(c) for c in ("ind", "trail", "m")])
-    shift = {"code": 0.0, "lo": -_REACH * 1.0000001, "hi": _REACH * 1.0000001}
-    logs = F.transform("m", lambda v: F.log(v))
-    one = one.withColumns({c: F.transform(logs, _shifted(s)) for c, s in shift.items()})
-    words = [_word([F.coalesce(F.col("code")[i], F.lit(0)) for i in b]) for b in _blocks(1, len(MEASURES))]
-    held = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col("m")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(MEASURES))])
-    return one.withColumns({"print": F.array(*words), "held": held}).withColumn("miss", len(MEASURES) - F.bit_count("held"))
+def _covered(common: int) -> bool:
+    return any(common & w == w for w in _WHOLE)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b): representatives of train and eval that share a block and lie within the Hamming radius.
+def sparse_candidates(sparse: DataFrame, others: DataFrame, sparse_sets: Sequence[int], other_sets: Sequence[int], sparse_is_train: bool, stages: Stages) -> DataFrame | None:
+    """Pairs of a sparse and another record that hold no disjoint block whole; None if no sets of held measurements meet so.
 
-    Level 1 joins all of both sides and finds pairs that lack up to three measurements between them.
-    Level 2 finds those that lack up to five: one of them lacks two or three and the other at least one,
-    or one lacks four or more.  Level 3 finds the rest: one lacks three or more and the other at least
-    one, or one lacks six or more.
+    A record has a key for each block of its own set and one of the other side's; a pair meets in the block
+    of what both hold and in no other.  The sparse side's keys, which also try the neighbouring cells, are
+    written, so that their size tells whether they are sent to the other side's tasks.
     """
+    blocks: dict[bool, set] = {True: set(), False: set()}
+    for x in sparse_sets:
+        for y in other_sets:
+            if x & y and not _covered(x & y):
+                block, reach = first_block(x & y)
+                blocks[True].add((x, block, reach))
+                blocks[False].add((y, block, reach))
+    if not blocks[True]:
+        return None
+    spark = sparse.sparkSession
+
+    def keys(rows: DataFrame, probe: bool) -> DataFrame:
+        sets = spark.createDataFrame(sorted((h, b, r, [i for i in range(len(MEASURES)) if b >> i & 1]) for h, b, r in blocks[probe]), "held int, block int, reach int, at array<int>")
+        rows = rows.select(*_KEEP, "code", "lo", "hi").join(sets, "held")
+        word = "aggregate(at, 0L, (w, i) -> shiftleft(w, {bits}) | {end})"
+        if not probe:
+            return rows.select(*_KEEP, "block", F.expr(word.format(bits=BITS, end="code[i]")).alias("word"))
+        side = word.format(bits=BITS, end="if((shiftright(s, array_position(at, i) - 1) & 1) = 1, hi[i], lo[i])")
+        return rows.select(*_KEEP, "block", "reach", F.explode(F.expr(f"array_distinct(transform(sequence(0, shiftleft(1, size(at)) - 1), s -> {side}))")).alias("word"))
+
+    x, y = ("t", "e") if sparse_is_train else ("e", "t")
+    probes = stages.write(keys(sparse, True), "probes").alias(x)
+    own = keys(others, False).alias(y)
+    met = (F.col(f"{x}.block") == F.col(f"{y}.block")) & (F.col(f"{x}.word") == F.col(f"{y}.word")) & F.expr(f"({x}.held & {y}.held & {x}.reach) = {x}.block")
+    for w in _WHOLE:
+        met &= F.expr(f"({x}.held & {y}.held & {w}) <> {w}")
+    return _pairs(own.join(probes, met & _within(x, y)))
+
+
+def candidates(reps: DataFrame, stages: Stages) -> DataFrame:
+    """(ah, ag, bh, bg): representatives of train and eval that share a block and lie within the Hamming radius."""
     train, eval_ = reps.filter("role = 'train'"), reps.filter("role = 'eval'")
-
-    def met(probes: DataFrame, others: DataFrame, level: int, probe_is_eval: bool) -> DataFrame:
-        p, o = _keys(probes, level, True).alias("p"), _keys(others, level, False).alias("o")
-        hit = p.join(o, (F.col("p.block") == F.col("o.block")) & (F.col("p.word") == F.col("o.word")) & _within("p", "o"))
-        a, b = ("o", "p") if probe_is_eval else ("p", "o")
-        return hit.select(F.col(f"{a}.rep").alias("a"), F.col(f"{b}.rep").alias("b"))
-
-    found = [met(eval_, train, 1, True)]
-    for level, least, most, other in ((2, 2, 3, 1), (2, 4, 99, 0), (3, 3, 5, 1), (3, 6, 99, 0)):
-        sparse = f"miss between {least} and {most}"
-        found.append(met(eval_.filter(sparse), train.filter(f"miss >= {other}"), level, True))
-        found.append(met(train.filter(sparse), eval_.filter(f"miss >= {other}"), level, False))
-    return reduce(DataFrame.unionByName, found).distinct()
+    t, e = _whole_blocks(train, False).alias("t"), _whole_blocks(eval_, True).alias("e")
+    hit = t.join(e, (F.col("t.block") == F.col("e.block")) & (F.col("t.word") == F.col("e.word")) & _within("t", "e"))
+    found = [_pairs(hit).distinct()]
+    # the sets of held measurements that occur: at most 4096 a side
+    sets = reps.groupBy("role", "held").agg(F.count(F.lit(1)).alias("n")).collect()
+    of = lambda role, sparse: [r["held"] for r in sets if r["role"] == role and (len(MEASURES) - r["held"].bit_count() >= SPARSE) is sparse]
+    sparse = {role: stages.write(rows.filter(f"miss >= {SPARSE}"), f"sparse-{role}") for role, rows in (("train", train), ("eval", eval_)) if of(role, True)}
+    if "eval" in sparse:
+        found.append(sparse_candidates(sparse["eval"], train, of("eval", True), of("train", False) + of("train", True), False, stages))
+    if "train" in sparse:
+        found.append(sparse_candidates(sparse["train"], eval_.filter(f"miss < {SPARSE}"), of("train", True), of("eval", False), True, stages))
+    return reduce(DataFrame.unionByName, [f for f in found if f is not None])
 
 
 def _near_names(a: str, b: str) -> bool:
@@ -189,6 +230,27 @@ def _compatible(x: str, y: str) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
+def record_classes(footprints: DataFrame, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (ah, ag, bh, bg) between representatives, and membership (h, g, id, role, split, source) of all rows.
+
+    This is the short form of the result: exact copies are one representative, and their pairs aren't spelt out.
+    """
+    stages = stages or Stages(footprints.sparkSession, "fingerprint")
+    records = stages.write(_named(footprint_records(footprints)), "records")
+    reps = stages.write(representatives(records), "representatives")
+    cand = stages.write(candidates(reps, stages), "candidates")
+    side = lambda n: reps.select(F.col("h").alias(f"{n}h"), F.col("g").alias(f"{n}g"), F.col("m").alias(f"m{n}"), F.col("ind").alias(f"i{n}"), F.col("trail").alias(f"t{n}"))
+    alike = cand.join(side("a"), ["ah", "ag"]).join(side("b"), ["bh", "bg"]).filter(_agree(TOLERANCE))
+    pair = ["ah", "ag", "bh", "bg"]
+    alike = stages.write(alike.select(*pair, "ia", "ib", "ta", "tb"), "alike")
+    clear = _compatible("ia", "ib") & _compatible("ta", "tb")
+    sure = alike.filter(clear).select(*pair)
+    fill = lambda c: F.coalesce(c, F.lit(""))
+    doubt = alike.filter(~clear).withColumns({"si": same_but_slips(fill("ia"), fill("ib")), "st": same_but_slips(fill("ta"), fill("tb"))})
+    doubt = doubt.filter("(si or ia is null or ib is null) and (st or ta is null or tb is null)").select(*pair)
+    return stages.write(sure.unionByName(doubt), "links"), records.select("h", "g", "id", "role", "split", "source")
+
+
 def cross_split_pairs(footprints: DataFrame) -> DataFrame:
     """(train_id, eval_id, split, source): rows of train and of test or inference that record one impression.
 
@@ -197,24 +259,10 @@ def cross_split_pairs(footprints: DataFrame) -> DataFrame:
     all their pairs come out, while exact copies are compared once.  ``source`` is the data origin of
     the evaluation row in label form.  An empty table gives no rows.
     """
-    stages = Stages(footprints.sparkSession, "fingerprint")
-    parts = ["role", "ind", "trail", "m"]
-    rep = F.struct(F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(7), *reversed(parts)).alias("g"))
-    records = stages.write(footprint_records(footprints).withColumn("rep", rep), "records")
-    reps = stages.write(representatives(records), "representatives")
-    cand = stages.write(candidates(reps), "candidates")
-    side = lambda n: reps.select(F.col("rep").alias(n), F.col("m").alias(f"m{n}"), F.col("ind").alias(f"i{n}"), F.col("trail").alias(f"t{n}"))
-    alike = cand.join(side("a"), "a").join(side("b"), "b").filter(_agree(TOLERANCE))
-    alike = stages.write(alike.select("a", "b", "ia", "ib", "ta", "tb"), "alike")
-    clear = _compatible("ia", "ib") & _compatible("ta", "tb")
-    sure = alike.filter(clear).select("a", "b")
-    fill = lambda c: F.coalesce(c, F.lit(""))
-    doubt = alike.filter(~clear).withColumns({"si": same_but_slips(fill("ia"), fill("ib")), "st": same_but_slips(fill("ta"), fill("tb"))})
-    doubt = doubt.filter("(si or ia is null or ib is null) and (st or ta is null or tb is null)").select("a", "b")
-    pairs = sure.unionByName(doubt)
-    train = records.filter("role = 'train'").select(F.col("rep").alias("a"), F.col("id").alias("train_id"))
-    eval_ = records.filter("role = 'eval'").select(F.col("rep").alias("b"), F.col("id").alias("eval_id"), "split", "source")
-    return pairs.join(train, "a").join(eval_, "b").select("train_id", "eval_id", "split", "source")
+    links, members = record_classes(footprints)
+    train = members.filter("role = 'train'").select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("id").alias("train_id"))
+    eval_ = members.filter("role = 'eval'").select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("id").alias("eval_id"), "split", "source")
+    return links.join(train, ["ah", "ag"]).join(eval_, ["bh", "bg"]).select("train_id", "eval_id", "split", "source")
 
 
 def overlap_counts(pairs: DataFrame) -> DataFrame:
