@@ -115,6 +115,17 @@ def known_trails(df: DataFrame, column: str = "trail") -> DataFrame:
     return df.filter(F.col(column).isNotNull() & (F.lower(F.trim(column)) != "unknown"))
 
 
+def with_group_mean(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the mean of ``value`` over the rows of equal keys, null keys being equal.
+
+    The means, partial before their shuffle, are joined back, so no key's rows meet in one task.
+    """
+    key = F.xxhash64(*keys)
+    text = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    means = df.groupBy(key.alias("_h"), text.alias("_g")).agg(F.avg(value).alias(name))
+    return df.withColumns({"_h": key, "_g": text}).join(means, ["_h", "_g"]).drop("_h", "_g")
+
+
 def running_id(df: DataFrame, order: Sequence[str | Column], name: str = "id", start: int = 0) -> DataFrame:
     """Contiguous numbers in the given order, which should have no ties.
 

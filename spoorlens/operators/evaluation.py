@@ -46,14 +46,31 @@ def log_loss(true: str | Column, proba: str | Column, eps: float = 1e-15) -> Col
     return -F.avg(F.when(t == 1, F.log(p)).when(t == 0, F.log(1 - p)))
 
 
+def running_before(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, bins: int = 1024) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of equal keys whose ``order``, a number, is smaller.
+
+    Values of ``order`` lie in bins between the least and the greatest of their key; sums run over the bins
+    and then within a bin, so a key's rows are never sorted in one task.  Rows of equal order get different
+    sums: they should have been added up before.
+    """
+    keys = list(keys)
+    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    d = df.join(ends, keys) if keys else df.join(F.broadcast(ends))  # one row without keys
+    at = F.coalesce(F.least(F.floor(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)), F.lit(0))
+    d = d.withColumn("_bin", at).drop("_lo", "_hi")
+    up = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows a key
+    sums = d.groupBy(*keys, "_bin").agg(F.sum(value).alias("_s")).select(*keys, "_bin", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*keys, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return d.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, [*keys, "_bin"]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_bin", "_before", "_inner")
+
+
 def roc_auc(df: DataFrame, true: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, auc): the area under the ROC curve as the rank sum of class 1, ties at their mean rank.
 
     Scores are counted by value first, so equal scores are one row in the running sum.
     """
     by = df.filter(F.col(true).isin(0, 1) & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(F.col(true) == 1).alias("_p"), F.count_if(F.col(true) == 0).alias("_n"))
-    below = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    won = by.withColumn("_w", F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2))
+    won = running_before(by, keys, "_s", "_n", "_b").withColumn("_w", F.col("_p") * (F.col("_b") + F.col("_n") / 2))
     return won.groupBy(*keys).agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
@@ -140,13 +157,40 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(a, b, r): Pearson correlation of each pair of columns over the rows that hold both, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    if not pairs:
+    """(a, b, r): Pearson correlation of each pair of columns over the rows that hold both, in one pass.
+
+    Each task adds up matrix products of values and of marks of what is held; the sums, one array a task, are
+    then added place by place.  r is null for fewer than two such rows or a column that doesn't vary there.
+    """
+    features, p = list(features), len(features)
+    if p < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    x = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double"))
-    row = df.agg(*[F.corr(x(a, b), x(b, a)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
+    at = [(i, j) for i in range(p) for j in range(i + 1, p)]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = None
+        for b in batches:
+            x = np.column_stack([b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in range(p)])
+            held = ~np.isnan(x)
+            x = np.where(held, x, 0.0)
+            m = held.astype(float)
+            # products of values with values, values with marks, squares with marks, marks with marks
+            add = np.stack([x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m])
+            total = add if total is None else total + add
+        if total is not None:
+            i, j = np.array(at).T
+            rows = np.stack([total[3][i, j], total[1][i, j], total[1][j, i], total[0][i, j], total[2][i, j], total[2][j, i]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at)), pa.int32()), *[pa.array(rows[:, k]) for k in range(6)]], ["k", "n", "sa", "sb", "ab", "aa", "bb"])
+
+    sums = df.select(*[F.col(c).cast("double").alias(c) for c in features]).mapInArrow(run, "k int, n double, sa double, sb double, ab double, aa double, bb double")
+    s = sums.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "ab", "aa", "bb")])
+    va, vb = (F.greatest(F.col(f"{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / F.col("n"), F.lit(0.0)) for x in "ab")
+    r = F.when((F.col("n") >= 2) & (va > 1e-12 * F.col("aa")) & (vb > 1e-12 * F.col("bb")), (F.col("ab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va * vb))
+    name = lambda e: F.element_at(F.array(*[F.lit(features[x[e]]) for x in at]), F.col("k") + 1)
+    return s.filter("n > 0").select(name(0).alias("a"), name(1).alias("b"), r.alias("r"))
 
 
 def anova(long: DataFrame, group: str, keys: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:

@@ -84,3 +84,33 @@ def forest_importances(x: np.ndarray, y: np.ndarray, trees: int = 100, seed: int
         _grown(x[rows], y[rows].astype(float), max(1, int(np.sqrt(x.shape[1]))), rng, gain)
         out += gain / gain.sum() if gain.sum() > 0 else 0.0
     return out / out.sum() if out.sum() > 0 else out
+
+
+def forward_batch(within: np.ndarray, total: np.ndarray, n: np.ndarray, groups: int, k: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Forward selection by partial F for many pairs of scatter matrices at once: (columns, F), a row a pair.
+
+    What is left of a candidate within groups and over all is swept by each feature that is taken.
+    """
+    size, p = within.shape[:2]
+    eye, every = ridge * np.eye(p), np.arange(size)
+    w, t = within + eye, total + eye
+    taken, score = np.zeros((size, k), int), np.zeros((size, k))
+    free = np.ones((size, p), bool)
+    diagonal = np.arange(p)
+    for step in range(k):
+        df2 = np.maximum(n - groups - step, 1)
+        r1, r0 = np.maximum(w[:, diagonal, diagonal], 1e-12), t[:, diagonal, diagonal]
+        f = np.where(free, ((r0 - r1) / max(groups - 1, 1)) / (r1 / df2[:, None]), -np.inf)
+        i = f.argmax(axis=1)
+        taken[:, step], score[:, step] = i, f[every, i]
+        free[every, i] = False
+        for m in (w, t):
+            row = m[every, i]
+            m -= row[:, :, None] * (row / np.maximum(row[every, i], 1e-12)[:, None])[:, None, :]
+    return taken, score
+
+
+def forward_moments(within: np.ndarray, total: np.ndarray, n: int, groups: int, k: int, ridge: float = 1e-6) -> list[tuple[int, float]]:
+    """``forward_batch`` of one pair."""
+    taken, score = forward_batch(within[None], total[None], np.array([n]), groups, k, ridge)
+    return [(int(i), float(f)) for i, f in zip(taken[0], score[0])]

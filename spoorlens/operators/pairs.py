@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import METRICS, all_distances, distance
@@ -27,24 +27,29 @@ def trail_table(df: DataFrame, trail: str = "trail", individual: str = "individu
     return rows.groupBy(F.col(trail).alias("trail_id")).agg(*aggs).withColumn("base", F.substring_index("trail_id", "_sub", 1))
 
 
-def trail_pairs(trails: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+def trail_pairs(trails: DataFrame, within: Sequence[str] = (), samples: bool = False, blocks: int = 16) -> DataFrame:
     """All pairs of trails with different base trails, the one with the smaller ``ord`` first.
 
-    ``within`` names columns that both trails share (data set, fold): then the join is on them.
-    Unknown individuals or sexes make ``same_individual`` or ``same_sex`` null; ``fold`` is the larger
-    of the two, and a pair's folds may be null.
+    ``within`` names columns that both trails share (data set, fold): then the join is on them.  Each trail
+    also lies in one of ``blocks`` blocks by its hash, and pairs of blocks are joined, so that the pairs of
+    one data set, or of all trails, are spread over blocks squared parts.  Unknown individuals or sexes make
+    ``same_individual`` or ``same_sex`` null; ``fold`` is the larger of the two, and a pair's folds may be
+    null.  A pair has the numbers of its trails' samples, n_a and n_b, and their ids only if ``samples``.
     """
-    a, b = (trails.select(*[F.col(c).alias(f"{c}_{s}") for c in trails.columns]) for s in "ab")
-    on = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in within]
+    block = F.pmod(F.xxhash64("trail_id"), F.lit(blocks))
+    t = trails.withColumn("n", F.size("samples"))
+    t = (t if samples else t.drop("samples")).withColumn("_own", block)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")
+    a, b = (t.select("*", every).select(*[F.col(c).alias(f"{c}_{s}") for c in [*t.columns, "_other"]]) for s in "ab")
+    on = [F.col("_own_a") == F.col("_other_b"), F.col("_other_a") == F.col("_own_b")] + [F.col(f"{c}_a") == F.col(f"{c}_b") for c in within]
     on += [(F.col("ord_a") < F.col("ord_b")) & (F.col("base_a") != F.col("base_b"))]
     p = a.join(b, on)
-    out = p.select(
-        F.col("trail_id_a").alias("trail_a_id"), F.col("trail_id_b").alias("trail_b_id"), "ind_a", "ind_b", "samples_a", "samples_b",
+    return p.select(
+        F.col("trail_id_a").alias("trail_a_id"), F.col("trail_id_b").alias("trail_b_id"), "ind_a", "ind_b", "n_a", "n_b", *[c for c in ("samples_a", "samples_b") if samples],
         (F.col("ind_a") == F.col("ind_b")).alias("same_individual"), (F.col("sex_a") == F.col("sex_b")).alias("same_sex"),
         "fold_a", "fold_b", (F.col("fold_a") == F.col("fold_b")).alias("same_fold"), F.greatest("fold_a", "fold_b").alias("fold"),
         *[F.col(f"{c}_a").alias(c) for c in within if c != "fold"], *[c for c in ("substrate_a", "substrate_b") if c in p.columns],
     )
-    return out
 
 
 def vector(df: DataFrame, features: Sequence[str], name: str = "vec") -> DataFrame:
@@ -129,12 +134,25 @@ def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
 
 
 def nearest_value(wanted: DataFrame, table: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """For each wanted row the table's row of equal keys whose value is nearest; the smaller value of two as near."""
-    t = table.select(*keys, F.struct(*[c for c in table.columns if c not in keys]).alias("_t"))
-    cols = wanted.columns
-    hit = wanted.withColumn("_w", F.monotonically_increasing_id()).join(t, list(keys), "left")
-    best = hit.groupBy("_w").agg(*[F.any_value(c).alias(c) for c in cols], F.min_by("_t", F.struct(F.abs(F.col(f"_t.{value}") - F.col(value)), F.col(f"_t.{value}"))).alias("_t"))
-    return best.select(*cols, *[F.col(f"_t.{c}").alias(f"nearest_{c}") for c in table.columns if c not in keys])
+    """For each wanted row the table's row of equal keys whose value is nearest; the smaller value of two as near.
+
+    Both are sorted together by value, so each row only looks at the table's last value before it and the
+    first after it; of equal values in the table the least row is taken.  A null value has no nearest one.
+    """
+    keys, cols = list(keys), wanted.columns
+    rest = [c for c in table.columns if c not in keys]
+    t = table.filter(F.col(value).isNotNull()).select(*keys, F.struct(*rest).alias("_t")).groupBy(*keys, F.col(f"_t.{value}").alias("_v")).agg(F.min("_t").alias("_t"))
+    none = F.lit(None).cast(dict(t.dtypes)["_t"])
+    kept = F.struct(*[c for c in cols if c not in keys])
+    both = wanted.select(*keys, F.col(value).cast("double").alias("_v"), kept.alias("_w"), none.alias("_t")).unionByName(t.select(*keys, F.col("_v").cast("double").alias("_v"), F.lit(None).cast(dict(wanted.select(kept.alias("w")).dtypes)["w"]).alias("_w"), "_t"))
+    order = Window.partitionBy(*keys).orderBy("_v")
+    before = F.last("_t", True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("_t", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    d = both.withColumns({"_lo": before, "_hi": after}).filter("_w is not null")
+    gap = lambda x: F.abs(F.col(f"{x}.{value}") - F.col("_v"))
+    best = F.when(F.col("_v").isNull(), none).when(F.col("_hi").isNull() | (gap("_lo") <= gap("_hi")), F.col("_lo")).otherwise(F.col("_hi"))
+    d = d.withColumn("_n", best)
+    return d.select(*[c if c in keys else F.col(f"_w.{c}").alias(c) for c in cols], *[F.col(f"_n.{c}").alias(f"nearest_{c}") for c in rest])
 
 
 def parameter_grid(spark, **options: Sequence) -> DataFrame:

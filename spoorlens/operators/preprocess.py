@@ -45,13 +45,14 @@ def fit_outliers(df: DataFrame, features: Sequence[str], method: str = "clip_98"
     return fit_clip(df, features, *CLIP_PRESETS.get(method, (0.01, 0.99)))
 
 
-def _rows(params: DataFrame) -> dict[str, dict]:
-    return {r["feature"]: r.asDict() for r in params.collect()}  # a row a feature
+def parameter_rows(params: DataFrame | dict) -> dict[str, dict]:
+    """Fitted parameters by feature; they may have been fetched before."""
+    return params if isinstance(params, dict) else {r["feature"]: r.asDict() for r in params.collect()}  # a row a feature
 
 
 def apply_clip(df: DataFrame, params: DataFrame) -> DataFrame:
     """Values below lo become lo and above hi become hi; null stays null, and an unfitted feature as it is."""
-    p = _rows(params)
+    p = parameter_rows(params)
     lim = lambda c, r: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(r["lo"])), F.lit(r["hi"])))
     return df.withColumns({c: lim(c, r) for c, r in p.items() if r["lo"] is not None and c in df.columns})
 
@@ -69,7 +70,7 @@ def fit_robust(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def apply_scale(df: DataFrame, params: DataFrame) -> DataFrame:
     """(value - centre) / scale of each fitted feature."""
-    p = _rows(params)
+    p = parameter_rows(params)
     return df.withColumns({c: (F.col(c) - F.lit(r["centre"])) / F.lit(r["scale"]) for c, r in p.items() if r["centre"] is not None and c in df.columns})
 
 
@@ -84,7 +85,7 @@ def fit_median(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def apply_fill(df: DataFrame, params: DataFrame) -> DataFrame:
     """Missing values (null, NaN) of each fitted feature filled."""
-    p = _rows(params)
+    p = parameter_rows(params)
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(r["fill"])) for c, r in p.items() if c in df.columns})
 
 
@@ -107,7 +108,7 @@ def iterative_impute(df: DataFrame, features: Sequence[str], key: str, trees: in
         return df
     marked = df.withColumns({f"_gap_{c}": F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in gaps})
     now = stages.write(apply_fill(marked, fit_median(df, features)), "start")
-    spread = _rows(fit_standard(now, gaps))
+    spread = parameter_rows(fit_standard(now, gaps))
     for k in range(rounds):
         before = now
         for c in gaps:
@@ -127,12 +128,21 @@ def iterative_impute(df: DataFrame, features: Sequence[str], key: str, trees: in
 
 # ------------------------------------------------------------------ outlier rows
 def density_flags(df: DataFrame, group: str, x: str, y: str, bandwidth: float = 1.0, percentile: float = 0.05) -> DataFrame:
-    """``df`` with ``density`` of a round Gaussian around the group's mean, and ``outlier`` below the group's percentile."""
-    w = Window.partitionBy(group)
-    r2 = (F.col(x) - F.avg(x).over(w)) ** 2 + (F.col(y) - F.avg(y).over(w)) ** 2
+    """``df`` with ``density`` of a round Gaussian around the group's mean, and ``outlier`` below the group's percentile.
+
+    Means and percentiles, partial before their shuffles, are joined back, so no group's rows meet in one
+    task; null groups are equal.
+    """
+
+    def joined(d: DataFrame, by: DataFrame) -> DataFrame:
+        return d.join(by, d[group].eqNullSafe(by["_g"])).drop("_g")
+
+    d = joined(df, df.groupBy(F.col(group).alias("_g")).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my")))
+    r2 = (F.col(x) - F.col("_mx")) ** 2 + (F.col(y) - F.col("_my")) ** 2
     h2 = bandwidth * bandwidth
-    d = df.withColumn("density", F.exp(-r2 / (2 * h2)) / (2 * np.pi * h2))
-    return d.withColumn("outlier", F.col("density") < F.percentile("density", F.lit(percentile)).over(w))
+    d = d.withColumn("density", F.exp(-r2 / (2 * h2)) / (2 * np.pi * h2)).drop("_mx", "_my")
+    d = joined(d, d.groupBy(F.col(group).alias("_g")).agg(F.percentile("density", F.lit(percentile)).alias("_cut")))
+    return d.withColumn("outlier", F.col("density") < F.col("_cut")).drop("_cut")
 
 
 def iterative_density_filter(df: DataFrame, group: str, x: str, y: str, percentiles: Sequence[float] = (0.20, 0.05, 0.01), bandwidth: float = 1.0) -> DataFrame:
@@ -239,23 +249,34 @@ def forward_order(x: np.ndarray, groups: np.ndarray, k: int, ridge: float = 1e-6
 
 
 def forward_selection(df: DataFrame, features: Sequence[str], group: str, k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, rank_no, feature, score): forward selection within each key, one key a task; rows with a missing feature are left out."""
+    """(keys, rank_no, feature, score): forward selection within each key; rows with a missing feature are left out.
+
+    It needs the sums of each group only, so a task holds a row a group and no key's rows.  Keys with two
+    rows or fewer have none.
+    """
     import pandas as pd
 
+    from .kernels import forward_moments
+    from .reduction import moments, square
+
     features, keys = list(features), list(keys)
-    d = df.select(*keys, group, *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+    m = moments(df.filter(F.col(group).isNotNull()), features, [*keys, group])
+    types = dict(m.dtypes)
     if not keys:
-        d = d.withColumn("_all", F.lit(0))
+        m = m.withColumn("_all", F.lit(0))  # a row a group
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = forward_order(pdf[features].to_numpy(float), pdf[group].astype(str).to_numpy(), k) if len(pdf) > 2 else []
-        out = pd.DataFrame([(i + 1, features[c], s) for i, (c, s) in enumerate(got)], columns=["rank_no", "feature", "score"])
+        n, s = pdf["n"].to_numpy(float), np.array(pdf["s"].tolist())
+        q = np.array([square(x, len(features)) for x in pdf["q"]])
+        within = (q - s[:, :, None] * s[:, None, :] / n[:, None, None]).sum(axis=0)
+        total = q.sum(axis=0) - np.outer(s.sum(axis=0), s.sum(axis=0)) / n.sum()
+        got = forward_moments(within, total, int(n.sum()), len(n), min(k, len(features))) if n.sum() > 2 else []
+        out = pd.DataFrame([(i + 1, features[c], f) for i, (c, f) in enumerate(got)], columns=["rank_no", "feature", "score"])
         for c in reversed(keys):
             out.insert(0, c, pdf[c].iloc[0])
         return out
 
-    types = dict(d.dtypes)
-    return d.groupBy(*(keys or ["_all"])).applyInPandas(one, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["rank_no int", "feature string", "score double"]))
+    return m.groupBy(*(keys or ["_all"])).applyInPandas(one, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["rank_no int", "feature string", "score double"]))
 
 
 def select_features(df: DataFrame, ranking: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:

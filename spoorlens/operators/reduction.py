@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +25,39 @@ def moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) ->
     then added place by place.
     """
     keys, p = list(keys), len(features)
-    d = df.select(*keys, F.array(*[F.col(c).cast("double") for c in features]).alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    # incomplete rows are left out in the tasks: as a filter, the features' expressions would be written out again
+    d = df.select(*keys, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
     types = dict(d.dtypes)
     upper = np.triu_indices(p)
 
     def run(batches):
+        import pyarrow as pa
+
         sums: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for k, part in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
-                x = np.array(part["_v"].tolist(), float)
-                add = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[upper]])
-                k = k if isinstance(k, tuple) else (k,)
+        kinds = []
+        for b in batches:
+            x = b.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            good = np.flatnonzero(~np.isnan(x).any(axis=1))
+            x, kinds = x[good], [b.schema.field(k).type for k in range(len(keys))]
+            if not len(good):
+                continue
+            of = list(zip(*[b.column(k).take(pa.array(good)).to_pylist() for k in range(len(keys))])) if keys else None
+            groups = [((), slice(None))]
+            if of is not None:
+                number: dict[tuple, int] = {}
+                code = np.array([number.setdefault(o, len(number)) for o in of])
+                order = np.argsort(code, kind="stable")
+                groups = list(zip(number, np.split(order, np.flatnonzero(np.diff(code[order])) + 1)))
+            for k, at in groups:
+                y = x[at]
+                add = np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y)[upper]])
                 sums[k] = sums[k] + add if k in sums else add
-        yield pd.DataFrame([(*k, v.tolist()) for k, v in sums.items()], columns=[*keys, "_m"])
+        if sums:
+            flat = pa.array(np.concatenate(list(sums.values())))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * (1 + p + len(upper[0])), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in sums], kinds[j]) for j in range(len(keys))], lists], [*keys, "_m"])
 
-    parts = d.mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["_m array<double>"]))
+    parts = d.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["_m array<double>"]))
     whole = parts.select(*keys, F.posexplode("_m").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
     rows = whole.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_m"))
     return rows.select(*keys, F.col("_m")[0].cast("long").alias("n"), F.slice("_m", 2, p).alias("s"), F.slice("_m", p + 2, len(upper[0])).alias("q")).filter("n > 0")

@@ -143,6 +143,24 @@ def chunk_trails(df: DataFrame, size: int, individual: str = "individual_id", ke
     return d.withColumn("new_trail", F.when(number * size <= F.col("_n"), F.concat_ws("_", individual, F.lit(size), number))).drop("_k", "_n")
 
 
+def assigned_leftovers(df: DataFrame, trail: str = "trail", individual: str = "individual_id", key: str = "id", seed: int = SEED) -> DataFrame:
+    """``df`` in which rows without a trail have one of their individual's trails, by a seeded hash of their key.
+
+    Null and ``unknown`` trails count as none; rows of unknown individuals, and of those without any trail,
+    keep what they have.
+    """
+    named = lambda c: known(F.lower(F.trim(c))).isNotNull()
+    has = named(trail)
+    own = df.filter(has & named(individual)).select(individual, F.col(trail).alias("_t")).distinct()
+    # an individual's trails, not its rows, are numbered
+    order = Window.partitionBy(individual).orderBy("_t")
+    own = own.withColumns({"_k": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(individual))})
+    sizes = own.groupBy(individual).agg(F.max("_n").alias("_n"))
+    lost = df.filter(~has).join(sizes, individual, "left").withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("_n")).cast("int")).drop("_n")
+    found = lost.join(own.drop("_n"), [individual, "_k"], "left").withColumn(trail, F.coalesce("_t", trail)).select(*df.columns)
+    return df.filter(has).unionByName(found)
+
+
 def diverse_subsamples(df: DataFrame, sizes: Sequence[int], trail: str = "trail", key: str = "id", candidates: int = 20, keep: int = 3, seed: int = SEED) -> DataFrame:
     """(trail, size, sample, sub_trail, samples): for each trail and size up to ``keep`` different subsets that overlap least.
 

@@ -8,14 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.distances import METRICS
 from ..functions.labels import label_form
 from ..operators import cleaning as C
 from ..operators import evaluation as E
 from ..operators import pairs as PR
+from ..operators import population as PO
 from ..operators import preprocess as P
 from ..operators import reduction as R
 from ..operators import splits as S
 from ..sources.readers import image_paths
+from ..sources.stages import Stages
 from ..streaming.incremental import pair_counts, sessions, tumbling
 from . import pipelines as PL
 from .registry import query, table
@@ -158,7 +161,7 @@ def ml10(spark, d):
 
 @query("ml11_forest_ranking")
 def ml11(spark, d):
-    return P.rank_forest(fp(spark, d).filter("species <> 'unknown'"), MEASURES, "species", trees=20)
+    return P.rank_forest(fp(spark, d).filter("species <> 'unknown'"), MEASURES, "species")
 
 
 @query("ml13_lasso_ranking")
@@ -183,8 +186,8 @@ def ml15(spark, d):
 
 @query("ml08_forest_imputation")
 def ml08(spark, d):
-    f = fp(spark, d).filter("v1 is not null or v2 is not null").select("id", "v1", "v2", "v3", "t1")
-    return P.iterative_impute(f, ["v1", "v2", "v3", "t1"], "id", trees=5, rounds=2, depth=5)
+    f = fp(spark, d).filter(F.coalesce(*MEASURES).isNotNull()).select("id", *MEASURES)
+    return P.iterative_impute(f, MEASURES, "id", rounds=2)
 
 
 # ------------------------------------------------------------------ pipelines
@@ -194,7 +197,40 @@ def pl01(spark, d):
     pairs = PR.trail_pairs(PR.trail_table(f)).select("trail_a_id", "trail_b_id", "same_individual")
     flat = PL.prepared(f, DIMS, f, PL.PairConfig())
     out = PL.project_pairs(pairs, flat, DIMS)
-    return out.select("trail_a_id", "trail_b_id", "same_individual", r6(F.col("dist_euclidean"), "dist_euclidean"), F.size("selected_features").alias("k"))
+    stats = [c for c, t in out.dtypes if t == "double"]
+    return out.select("trail_a_id", "trail_b_id", "same_individual", "min_observations", "max_observations", F.size("selected_features").alias("k"), *[r6(F.col(c), c) for c in stats])
+
+
+@query("pl01_sums_only", "SELECT true AS same, 0 AS n_missing")
+def pl01_sums(spark, d):
+    """Whether pairs that are formed from sums of trails have the centre distances of those formed from their rows."""
+    f = flat_emb(spark, d)
+    pairs = PR.trail_pairs(PR.trail_table(f)).select("trail_a_id", "trail_b_id")
+    flat = PL.prepared(f, DIMS, f, PL.PairConfig())
+    a, b = (PL.project_pairs(pairs, flat, DIMS, PL.PairConfig(k_features=6), full=x).select("trail_a_id", "trail_b_id", F.col("dist_euclidean").alias(f"d{int(x)}")) for x in (False, True))
+    j = a.join(b, ["trail_a_id", "trail_b_id"], "full")
+    return j.agg(F.coalesce(F.max(F.abs(F.col("d0") - F.col("d1")) / F.greatest("d1", F.lit(1e-9))) < 1e-6, F.lit(True)).alias("same"), F.count_if(F.col("d0").isNull() | F.col("d1").isNull()).cast("int").alias("n_missing"))
+
+
+@query("pl01_selections")
+def pl01_selections(spark, d):
+    """The pairs of one individual's trails by each way of selection."""
+    f = flat_emb(spark, d)
+    pairs = PR.trail_pairs(PR.trail_table(f)).filter("same_individual").select("trail_a_id", "trail_b_id")
+    flat = PL.prepared(f, DIMS, f, PL.PairConfig())
+    parts = [PL.project_pairs(pairs, flat, DIMS, PL.PairConfig(k_features=4, selection=x)).select(F.lit(x).alias("selection"), "trail_a_id", "trail_b_id", "selected_features", r6(F.col("dist_euclidean"), "dist_euclidean")) for x in ("univariate", "variance", "lasso", "random_forest")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("pl01_sex_model")
+def pl01_sex_model(spark, d):
+    """Projected pairs with the probabilities of a model of the individual's parity as features."""
+    f = flat_emb(spark, d).drop("sex").withColumn("sex", F.when(F.substring("individual_id", 2, 1).cast("int") % 2 == 0, "f").otherwise("m")).withColumn("fold", (F.col("id") % 3).cast("int"))
+    q = PL.fold_predictions(f, DIMS, "sex").select("id", F.col("proba_sex").alias("proba_1"), (1 - F.col("proba_sex")).alias("proba_0"))
+    flat = Stages(spark, "sex").write(PL.prepared(f, DIMS, f, PL.PairConfig()).join(q, "id"), "points")
+    pairs = PR.trail_pairs(PR.trail_table(f)).select("trail_a_id", "trail_b_id", "same_individual")
+    out = PL.project_pairs(pairs, flat, DIMS, PL.PairConfig(k_features=6), proba=["proba_0", "proba_1"], full=False)
+    return out.select("trail_a_id", "trail_b_id", "same_individual", r6(F.col("dist_euclidean"), "dist_euclidean"), *[F.round(f"avg_proba_{g}_{j}", 4).alias(f"avg_proba_{g}_{j}") for g in "ABR" for j in (0, 1)])
 
 
 @query("pl03_sequential_holdout")
@@ -203,24 +239,57 @@ def pl03(spark, d):
     return table_
 
 
-@query("pl09_left_out_print", f"""WITH {EMB}, own AS (SELECT e.id AS out_id, e.trail, l.i, avg(l.x) AS m FROM e JOIN long l ON l.trail = e.trail AND l.id <> e.id GROUP BY ALL),
-  far AS (SELECT o.out_id, o.trail, sqrt(sum((o.m - c.m) ** 2)) AS d FROM own o JOIN cent c ON c.trail = o.trail AND c.i = o.i GROUP BY ALL) SELECT out_id, trail, round(d, 6) AS shift FROM far""")
+@query("pl09_left_out_print")
 def pl09(spark, d):
-    e = emb(spark, d)
-    # the centroid without a print is (n * centroid - print) / (n - 1), so nothing is joined print by print
-    c = PR.centroids(e, ["trail"])
-    j = e.join(c, "trail").filter("n > 1")
-    rest = F.transform(F.arrays_zip("centroid", "vec"), lambda p: (F.col("n") * p["centroid"] - p["vec"]) / (F.col("n") - 1))
-    from ..functions.distances import euclidean
-
-    return j.select(F.col("id").alias("out_id"), "trail", r6(euclidean(rest, F.col("centroid")), "shift"))
+    """What the BCR of the largest trail's pairs loses without each of its prints."""
+    f = flat_emb(spark, d)
+    largest = f.groupBy("trail").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "trail").first()["trail"]
+    out = PL.left_out_effect(f, DIMS, largest, PL.PairConfig(k_features=6))
+    return out.select("footprint_id", r6(F.col("bcr"), "bcr"), r6(F.col("delta_bcr"), "delta_bcr"))
 
 
-@query("pl10_grid_search")
+@query("pl10_search")
 def pl10(spark, d):
-    grid = [{"rank": "variance", "k": 4}, {"rank": "univariate", "k": 6}]
-    out = PL.grid_search(known_sex(spark, d), MEASURES, "sex", grid)
-    return out.select("candidate", "rank", "k", "model", "fold", *[r6(F.col(c), c) for c in ("accuracy", "balanced_accuracy", "f1")])
+    """Three drawn candidates of each of two model keys."""
+    spaces = {"rank": ["variance", "univariate", None], "k": [4, 6, 8, 10]}
+    table_, _ = PL.classification_search(known_sex(spark, d), MEASURES, "sex", spaces, ("lda_svd", "logistic"), 3)
+    return table_.select("model", "candidate", "options", *[r6(F.col(f"mean_{c}"), f"mean_{c}") for c in PL.SEARCH_SCORES], "mean_rank")
+
+
+@query("pl10_best_of_search")
+def pl10_best(spark, d):
+    _, best = PL.classification_search(known_sex(spark, d), MEASURES, "sex", {"rank": ["variance", "univariate"], "k": [4, 8]}, ("lda_svd",), 2)
+    return best.select("model", "best_metric", "candidate", r6(F.col("score"), "score"))
+
+
+@query("pl11_search")
+def pl11_search(spark, d):
+    f = flat_emb(spark, d).withColumn("fold", F.substring("individual_id", 2, 2).cast("int") % 3)
+    out = PL.pair_search(f, DIMS, {"k_features": [2, 4, 8], "reducer": ["lda", "pca"], "scaler": ["standard", "robust"]}, 4)
+    return out.select("candidate", "k_features", "reducer", "scaler", r6(F.col("separation"), "separation"), "rank_no")
+
+
+@query("pl13_oof_and_retrained", f"WITH {FP} SELECT split, count(*) AS n, count(*) AS n_predicted FROM fp WHERE sex IN ('f', 'm') AND individual_id NOT IN ('unknown', '') AND split IN ('train', 'test', 'inference') GROUP BY split")
+def pl13(spark, d):
+    """Rows of each split, and how many have a prediction: train out of fold, the others by a model of all train rows."""
+    f = fp(spark, d).filter("sex in ('f', 'm') and individual_id not in ('unknown', '')")
+    out = PL.predict_all(f.filter("split = 'train'"), f.filter("split in ('test', 'inference')"), MEASURES, "sex")
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("pred_sex").alias("n_predicted"))
+
+
+@query("cl09_cutoff_sweep")
+def cl09(spark, d):
+    """Best of 38 cutoffs for each of 18 distances, raw and scaled, by its mean over the folds, and what it gives on held-out individuals."""
+    f = flat_emb(spark, d)
+    held = F.col("individual_id").isin("l0", "l1", "l2", "l3")
+    config = PL.PairConfig(k_features=6)
+    train = f.filter(~held).withColumn("fold", F.substring("individual_id", 2, 2).cast("int") % 2)
+    distances = [f"dist_{m}" for m in METRICS] + [f"{s}_{m}_between" for m in METRICS for s in ("mean", "median")]
+    keep = ["trail_a_id", "trail_b_id", "ind_a", "ind_b", "origin", "fold", *distances]
+    cv = PL.cross_validated_pairs(train, DIMS, config).select(*keep)
+    test = PL.baseline_pairs(train, f.filter(held), DIMS, config).withColumn("fold", F.lit(None).cast("int")).select(*keep)
+    best = PO.sweep_benchmark(PO.sweep_curves(cv.unionByName(test), ["origin", "fold"], distances), [])
+    return best.select("dist", "prep", "cutoff", *[r6(F.col(c), c) for c in ("cv_erd", "cv_v", "cv_score", "test_erd", "test_v")], "test_pred_count", "test_true_count")
 
 
 @query("pl12_classification")
@@ -330,6 +399,42 @@ def pl20(spark, d):
     return by_pipeline(mp(spark, d), lambda m: PL.distance_weights(m, ["euclidean", "manhattan", "chebyshev", "canberra"], "same"))
 
 
+@query("io18_saved_pipeline", "SELECT true AS same")
+def io18(spark, d):
+    """Whether a fitted pipeline that was written and read again predicts the same."""
+    f = known_sex(spark, d)
+    p = PL.FeaturePipeline(MEASURES, "sex", impute="mean", outliers="clip_98", scale="robust", reduce_pre="pca", select="variance", classify="lda", n_components=4).fit(f)
+    at = Stages(spark, "saved").path("pipeline")
+    p.save(spark, at)
+    a, b = (x.apply(f).select("id", F.col("pred_sex").alias(n)) for x, n in ((p, "a"), (PL.FeaturePipeline.load(spark, at), "b")))
+    return a.join(b, "id").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+
+
+@query("ml20_other_steps")
+def ml20_other(spark, d):
+    """A pipeline that reduces before it selects and ends in a logistic model."""
+    f = known_sex(spark, d)
+    p = PL.FeaturePipeline(MEASURES, "sex", k=3, n_components=6, impute="median", scale="standard", reduce_pre="pca", select="mutual_information", classify="logistic").fit(f)
+    return p.apply(f).groupBy("sex", "pred_sex").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sp08_split_write", f"WITH {FP}, i AS (SELECT species, count(DISTINCT individual_id) AS n FROM fp WHERE sex IN ('f', 'm') AND individual_id NOT IN ('unknown', '') AND species <> 'unknown' GROUP BY species) SELECT species, n AS n_individuals, true AS whole FROM i")
+def sp08(spark, d):
+    """Splits as written and read again: individuals of each species, and whether each lies in one split."""
+    f = fp(spark, d).filter("sex in ('f', 'm') and individual_id not in ('unknown', '') and species <> 'unknown'")
+    at = Stages(spark, "splits").path("written")
+    PL.write_splits(f.drop("sex").join(S.individuals(f), "individual_id"), at)
+    own = spark.read.parquet(at).groupBy("species", "individual_id").agg(F.countDistinct("split").alias("n"))
+    return own.groupBy("species").agg(F.count(F.lit(1)).alias("n_individuals"), (F.max("n") == 1).alias("whole"))
+
+
+@query("sp11_leftovers", f"WITH {FP}, t AS (SELECT DISTINCT individual_id FROM fp WHERE trail NOT IN ('unknown', '') AND individual_id NOT IN ('unknown', '')) SELECT count(*) AS n, count(*) FILTER (trail NOT IN ('unknown', '') OR individual_id IN (SELECT individual_id FROM t)) AS n_with_trail FROM fp")
+def sp11_leftovers(spark, d):
+    """Rows that have a trail after those without one were given one of their individual's."""
+    out = S.assigned_leftovers(fp(spark, d))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("trail").isin("unknown", "")).alias("n_with_trail"))
+
+
 @query("ml20_feature_pipeline")
 def ml20(spark, d):
     f = known_sex(spark, d)

@@ -89,9 +89,9 @@ def pf03(spark, d):
     return C.majority_numeric(c)
 
 
-@query("pf04_features_to_double", "SELECT id, v1, area1, dist1 FROM footprints")
+@query("pf04_features_to_double", f"SELECT id, {', '.join(f'CASE WHEN NOT isnan({c}) AND NOT isinf({c}) THEN {c} END AS {c}' for c in C.MEASURES)} FROM footprints")
 def pf04(spark, d):
-    f = table(spark, d, "footprints").select("id", *[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in ("v1", "area1", "dist1")])
+    f = table(spark, d, "footprints").select("id", *[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in C.MEASURES])
     return C.features_to_double(f)
 
 
@@ -188,7 +188,7 @@ def jn03(spark, d):
 @query("jn04_trail_mean", f"WITH {FP} SELECT id, trail, round(avg(area1) OVER (PARTITION BY species, trail), 6) AS trail_mean FROM fp WHERE area1 IS NOT NULL")
 def jn04(spark, d):
     f = fp(spark, d).filter("area1 is not null")
-    return f.select("id", "trail", r6(F.avg("area1").over(Window.partitionBy("species", "trail")), "trail_mean"))
+    return C.with_group_mean(f, "area1", ["species", "trail"], "m").select("id", "trail", r6(F.col("m"), "trail_mean"))
 
 
 @query("jn05_many_to_one", "SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -203,9 +203,9 @@ def jn06(spark, d):
     return table(spark, d, "supplier").join(n, "s_nationkey", "left_semi").select("s_suppkey", "s_name")
 
 
-@query("jn07_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("jn07_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_totalprice > 200000)")
 def jn07(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").filter("o_orderstatus = 'O' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -296,9 +296,9 @@ def se03(spark, d):
     return table(spark, d, "best_models").select("species", "model_key", "pipeline_id").dropDuplicates()
 
 
-@query("se04_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("se04_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45")
 def se04(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").select("l_partkey"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").filter("l_linenumber = 1 and l_quantity >= 45").select("l_partkey"))
 
 
 @query("se05_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer")

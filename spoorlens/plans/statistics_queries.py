@@ -47,8 +47,7 @@ def pair_distances(spark, d):
     SELECT a.trail AS trail_a_id, b.trail AS trail_b_id, a.ind AS ind_a, b.ind AS ind_b, a.n AS n_a, b.n AS n_b, a.ind = b.ind AS same_individual FROM t a JOIN t b ON a.ord < b.ord""",
 )
 def jn02(spark, d):
-    p = PR.trail_pairs(PR.trail_table(emb(spark, d)), ["fold"])
-    return p.select("trail_a_id", "trail_b_id", "ind_a", "ind_b", F.size("samples_a").alias("n_a"), F.size("samples_b").alias("n_b"), "same_individual")
+    return PR.trail_pairs(PR.trail_table(emb(spark, d)), ["fold"]).select("trail_a_id", "trail_b_id", "ind_a", "ind_b", "n_a", "n_b", "same_individual")
 
 
 @query(
@@ -224,7 +223,10 @@ def ag17(spark, d):
 
 @query("ag18_cutoff_stats", f"WITH {MP} SELECT pipeline, tag, round(avg(euclidean), 6) AS mean_cutoff, round(quantile_cont(euclidean, 0.5), 6) AS median_cutoff FROM mp WHERE euclidean IS NOT NULL GROUP BY ALL")
 def ag18(spark, d):
-    return mp(spark, d).filter("euclidean is not null").groupBy("pipeline", "tag").agg(r6(F.avg("euclidean"), "mean_cutoff"), r6(F.percentile("euclidean", F.lit(0.5)), "median_cutoff"))
+    from .pipelines import global_cutoff
+
+    m = mp(spark, d).filter("euclidean is not null").select("pipeline", "tag", *[F.col("euclidean").alias(c) for c in ("cutoff", "low", "high")])
+    return global_cutoff(m, ["pipeline", "tag"]).select("pipeline", "tag", r6(F.col("mean_cutoff"), "mean_cutoff"), r6(F.col("median_cutoff"), "median_cutoff"))
 
 
 @query("ag19_curve", "SELECT l_returnflag, l_linestatus, l_linenumber, round(avg(l_quantity), 6) AS mean_quantity, round(stddev_samp(l_quantity), 6) AS sd_quantity FROM lineitem GROUP BY ALL")
@@ -486,12 +488,14 @@ def cl01(spark, d):
     return PO.square_distances(emb_pairs(spark, d), [], "trail_a_id", "trail_b_id", "dist_euclidean").select("i", "j", r6(F.col("d"), "d"))
 
 
-@query("cl03_complete_trails", f"WITH {EMB}, far AS (SELECT * FROM dist WHERE euclidean < (SELECT quantile_cont(euclidean, 0.9) FROM dist)), n AS (SELECT t, count(*) AS c FROM (SELECT trail_a_id AS t FROM far UNION ALL SELECT trail_b_id FROM far) GROUP BY t) SELECT t AS trail, c FROM n")
+@query("cl03_complete_trails", f"""WITH {EMB}, q AS (SELECT quantile_cont(euclidean, 0.995) AS q FROM dist), gone AS (SELECT trail_a_id AS t FROM dist, q WHERE euclidean >= q UNION SELECT trail_b_id FROM dist, q WHERE euclidean >= q)
+  SELECT trail_a_id AS i, trail_b_id AS j, round(euclidean, 6) AS d FROM dist WHERE trail_a_id NOT IN (SELECT t FROM gone) AND trail_b_id NOT IN (SELECT t FROM gone)""")
 def cl03(spark, d):
-    p = emb_pairs(spark, d)
-    q = p.agg(F.percentile("dist_euclidean", F.lit(0.9)).alias("q"))  # one row
-    s = PO.square_distances(p.join(F.broadcast(q)).filter("dist_euclidean < q"), [], "trail_a_id", "trail_b_id", "dist_euclidean")
-    return s.filter("i <> j").groupBy(F.col("i").alias("trail")).agg(F.count(F.lit(1)).alias("c"))
+    """Trails without one of the largest distances, when the pairs that have these are missing."""
+    p = emb_pairs(spark, d).select("trail_a_id", "trail_b_id", "dist_euclidean")
+    q = p.agg(F.percentile("dist_euclidean", F.lit(0.995)).alias("q"))  # one row
+    s = PO.complete_trails(PO.square_distances(p.join(F.broadcast(q)).filter("dist_euclidean < q"), [], "trail_a_id", "trail_b_id", "dist_euclidean"), [])
+    return p.join(s.select(F.col("i").alias("trail_a_id"), F.col("j").alias("trail_b_id"), "d"), ["trail_a_id", "trail_b_id"]).select(F.col("trail_a_id").alias("i"), F.col("trail_b_id").alias("j"), r6(F.col("d"), "d"))
 
 
 @query("cl04_population")
@@ -516,14 +520,17 @@ def cl08(spark, d):
     return v.select(*[r6(F.col(c), c) for c in ("homogeneity", "completeness", "v")])
 
 
-@query("cl09_cutoff_sweep")
-def cl09(spark, d):
-    e, p = emb(spark, d), emb_pairs(spark, d)
-    s = PO.square_distances(p, [], "trail_a_id", "trail_b_id", "dist_euclidean")
-    labels = PO.cluster_labels(s, [], [round(0.4 + 0.4 * k, 6) for k in range(10)])
-    truth = e.select("trail", F.col("individual_id").alias("individual")).distinct()
-    sweep = PO.cutoff_sweep(labels, truth, [])
-    return sweep.select("cutoff", "pred_count", "true_count", r6(F.col("erd"), "erd"), r6(F.col("v"), "v"), r6(F.col("score"), "score"))
+@query("cl07_fixed_cutoff")
+def cl07(spark, d):
+    """Counts of each individual's neighbours' trails at one given cutoff."""
+    p = emb_pairs(spark, d)
+    own = F.explode(F.array("ind_a", "ind_b")).alias("without")
+    names = p.select(own).distinct()
+    part = names.join(p, (F.col("without") != F.col("ind_a")) & (F.col("without") != F.col("ind_b")))  # a row an individual
+    link = PO.merge_heights(PO.square_distances(part, ["without"], "trail_a_id", "trail_b_id", "dist_euclidean"), ["without"])
+    truth = part.select("without", F.explode(F.array("ind_a", "ind_b")).alias("i")).groupBy("without").agg(F.countDistinct("i").alias("true_count"))
+    out = PO.reevaluated(link.join(truth, "without"), ["without"], 1.0)
+    return out.select("without", F.col("true_count").cast("int").alias("true_count"), "pred_count", r6(F.col("erd"), "erd"))
 
 
 @query(

@@ -22,14 +22,66 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
 
+def sheet_rows(content: bytes, sheet: int | str = 0) -> list[list]:
+    """Cells of a sheet of an .xlsx file, row by row: texts, numbers and truth values; missing cells are None.
+
+    Dates are the numbers that the file holds.  An unknown sheet is an error.
+    """
+    import re
+    import zipfile
+    from io import BytesIO
+    from xml.etree import ElementTree
+
+    tag = lambda e: e.tag.rpartition("}")[2]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+    with zipfile.ZipFile(BytesIO(content)) as z:
+        read = lambda n: ElementTree.fromstring(z.read(n)) if n in z.namelist() else None
+        strings = read("xl/sharedStrings.xml")
+        shared = [] if strings is None else [text(e) for e in strings]
+        names = [(e.get("name"), next(v for k, v in e.attrib.items() if k.endswith("}id"))) for e in read("xl/workbook.xml").iter() if tag(e) == "sheet"]
+        targets = {e.get("Id"): e.get("Target") for e in read("xl/_rels/workbook.xml.rels")}
+        known = dict(names) | {k: r for k, (_, r) in enumerate(names)}
+        if sheet not in known:
+            raise ValueError(f"no sheet {sheet!r}; there are {', '.join(n for n, _ in names)}")
+        target = targets[known[sheet]].lstrip("/")
+        root = read(target if target.startswith("xl/") else f"xl/{target}")
+    out = []
+    for row in (e for e in root.iter() if tag(e) == "row"):
+        cells: dict[int, object] = {}
+        for c in row:
+            letters, at = re.match(r"[A-Z]*", c.get("r", ""))[0], 0
+            for x in letters:
+                at = at * 26 + ord(x) - 64
+            at = at - 1 if letters else len(cells)
+            v = next((e.text for e in c if tag(e) == "v"), None)
+            kind = c.get("t", "n")
+            if kind == "inlineStr":
+                cells[at] = text(c)
+            elif v is not None:
+                cells[at] = shared[int(v)] if kind == "s" else v == "1" if kind == "b" else v if kind in ("str", "e") else float(v)
+        out.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
+    return out
+
+
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A sheet by pandas; an error if pandas has no reader for it."""
-    import pandas as pd
+    """A sheet of an .xlsx file, its first row naming the columns: numbers, truth values or texts by column.
 
-    try:
-        return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
-    except ImportError as e:
-        raise ImportError("reading Excel needs a package such as openpyxl") from e
+    A column of mixed kinds is text; whole numbers read as such.  A sheet has at most 1,048,576 rows by
+    its format, so one file is parsed by itself.
+    """
+    content = spark.read.format("binaryFile").load(path).select("content").first()
+    rows = sheet_rows(bytes(content[0]), sheet) if content else []
+    head = [str(c) if c is not None else f"column_{k}" for k, c in enumerate(rows[0])] if rows else []
+    body = [[(r[k] if k < len(r) else None) for k in range(len(head))] for r in rows[1:]]
+    plain = lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    kinds = []
+    for k in range(len(head)):
+        held = {type(r[k]) for r in body if r[k] is not None}
+        whole = held == {float} and all(r[k] is None or r[k].is_integer() for r in body)
+        kinds.append("bigint" if whole else "double" if held == {float} else "boolean" if held == {bool} else "string")
+    make = {"bigint": int, "double": float, "boolean": bool, "string": plain}
+    data = [tuple(None if v is None else make[t](v) for v, t in zip(r, kinds)) for r in body]
+    return spark.createDataFrame(data, ", ".join(f"`{c}` {t}" for c, t in zip(head, kinds)) or "column_0 string")
 
 
 def read_folder(spark: SparkSession, pattern: str, schema: str, sep: str = ",", add_id: bool = False) -> DataFrame:
@@ -112,29 +164,39 @@ def image_paths(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumns({"species": at(-5), "sex": at(-4), "individual_id": at(-3), "trail": at(-2)})
 
 
+def exif_texts(content: bytes) -> dict[int, str]:
+    """The text tags of the first directory of a JPEG's EXIF block; empty if it has none or is broken."""
+    import struct
+
+    start = content.find(b"Exif\0\0")
+    block = content[start + 6 :] if start >= 0 else b""
+    order = {b"II": "<", b"MM": ">"}.get(block[:2])
+    out: dict[int, str] = {}
+    try:
+        if order:
+            at = struct.unpack_from(f"{order}I", block, 4)[0]
+            for k in range(struct.unpack_from(f"{order}H", block, at)[0]):
+                number, kind, count, value = struct.unpack_from(f"{order}HHII", block, at + 2 + 12 * k)
+                if kind == 2:
+                    lo = value if count > 4 else at + 2 + 12 * k + 8
+                    out[number] = block[lo : lo + count].split(b"\0")[0].decode("latin-1").strip()
+    except struct.error:
+        pass
+    return out
+
+
+#: EXIF tags of the camera's model and of the time.
+EXIF_MODEL, EXIF_TIME = 272, 306
+
+
 def read_images(spark: SparkSession, pattern: str) -> DataFrame:
-    """Image files by path parts, with size and time; EXIF (time taken, model) where Pillow is installed, else null."""
+    """Image files by path parts, with size, time of the file, and time taken and camera model from EXIF, null without it."""
     df = image_paths(spark.read.format("binaryFile").load(pattern))
 
     def exif(parts):
-        try:
-            from io import BytesIO
-
-            from PIL import Image
-        except ImportError:
-            Image = None
         for pdf in parts:
-            taken, model = [], []
-            for content in pdf["content"]:
-                tags = {}
-                if Image is not None:
-                    try:
-                        tags = Image.open(BytesIO(content)).getexif()
-                    except OSError:
-                        pass
-                taken.append(tags.get(306))
-                model.append(tags.get(272))
-            yield pdf.drop(columns=["content"]).assign(taken=taken, model=model)
+            tags = [exif_texts(bytes(c)) for c in pdf["content"]]
+            yield pdf.drop(columns=["content"]).assign(taken=[t.get(EXIF_TIME) for t in tags], model=[t.get(EXIF_MODEL) for t in tags])
 
     cols = [c for c in df.columns if c != "content"]
     types = dict(df.dtypes)

@@ -434,7 +434,7 @@ def test_kernels_of_few_rows():
 
 
 def test_forward_selection_on_moments_agrees_with_rows(spark):
-    from spoorlens.plans.pipelines import _forward_moments
+    from spoorlens.operators.kernels import forward_moments
 
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (60, 5))
@@ -443,7 +443,7 @@ def test_forward_selection_on_moments_agrees_with_rows(spark):
     x[:, 4] -= g
     x -= x.mean(axis=0)
     within = sum((x[g == k] - x[g == k].mean(axis=0)).T @ (x[g == k] - x[g == k].mean(axis=0)) for k in range(3))
-    a = [i for i, _ in _forward_moments(within, x.T @ x, 60, 3, 3)]
+    a = [i for i, _ in forward_moments(within, x.T @ x, 60, 3, 3)]
     b = [i for i, _ in P.forward_order(x, g, 3)]
     assert a == b
 
