@@ -33,8 +33,8 @@ from ..sources.stages import Stages
 MISSING = ("", "-", "--", "?", "na", "n/a", "nan", "null", "none", "-999", "-999.0")
 #: Share of a field's non-missing values that have its type, at least.
 MAJORITY = 0.8
-#: Least score of a rename.
-ACCEPT = 0.6
+#: Least score of a rename that shared records speak for, records that it takes, and least score of any other rename.
+ACCEPT, SHARED, ACCEPT_ALIKE = 0.6, 3, 0.4
 SKETCH = 24
 KEY = "print_no"
 
@@ -222,7 +222,7 @@ def rename_score(old_name: str, new_name: str, old: dict, new: dict, shared: int
         return 0.0
     name = difflib.SequenceMatcher(None, old_name, new_name).ratio()
     same = equal / shared if shared else 0.0
-    if shared >= 3:
+    if shared >= SHARED:
         return 0.95 * same + 0.05 * name
     alike = _alike(old, new)
     return 0.25 * shared * same + (1 - 0.25 * shared) * (0.8 * alike + 0.2 * name)
@@ -234,9 +234,9 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in pdf.itertuples():
         o = {"type": r.old_type, "q": r.old_q, "sketch": r.old_sketch}
         n = {"type": r.new_type, "q": r.new_q, "sketch": r.new_sketch}
-        score[old.index(r.old_name), new.index(r.new_name)] = rename_score(r.old_name, r.new_name, o, n, r.shared, r.equal)
-    # a pair that can't be a rename is worth nothing, so it can't draw a name away from its like
-    score[score < ACCEPT] = 0
+        belief = rename_score(r.old_name, r.new_name, o, n, r.shared, r.equal)
+        # a pair that can't be a rename is worth nothing, so it can't draw a name away from its like
+        score[old.index(r.old_name), new.index(r.new_name)] = belief if belief >= (ACCEPT if r.shared >= SHARED else ACCEPT_ALIKE) else 0
     out = [(pdf["file_id"].iloc[0], old[i], new[j], float(score[i, j])) for i, j in best_assignment(score) if score[i, j] > 0]
     return pd.DataFrame(out, columns=["file_id", "old_name", "new_name", "score"])
 
