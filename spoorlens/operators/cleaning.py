@@ -143,6 +143,30 @@ def running_id(df: DataFrame, order: Sequence[str | Column], name: str = "id", s
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") + (start - 1)).drop("_part", "_row", "_before")
 
 
+def with_codes(df: DataFrame, column: str, name: str, first_seen: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the number of its label from 0, in order of the labels or of where each is first seen.
+
+    Labels, not rows, are numbered; a null label has the code -1.
+    """
+    by = df.filter(F.col(column).isNotNull()).groupBy(column).agg(*([F.min(first_seen).alias("_p")] if first_seen else [F.count(F.lit(1)).alias("_p")]))
+    codes = running_id(by, ["_p", column] if first_seen else [column], name).select(column, name)
+    return df.join(codes, column, "left").fillna(-1, [name])
+
+
+def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """``df`` with ``<column>_<value>`` for each value: 1 where the column has it, else 0, null included."""
+    return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values})
+
+
+def base_frame(df: DataFrame, features: Sequence[str], key: str = "id") -> DataFrame:
+    """Key as text and features as numbers (a comma counting as point, other texts null), other columns as they are; an error for a null or repeated key."""
+    out = df.withColumns({key: F.col(key).cast("string")} | {c: decimal_comma(c) for c in features})
+    bad = out.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).collect()
+    if bad:
+        raise ValueError(f"{key} {bad[0][key]!r} is null or repeated")
+    return out
+
+
 def ranked_within(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rank: str = "_k", size: str = "_n") -> DataFrame:
     """``df`` with each row's place (from 1) among the rows of equal ``by``, and how many these are; ``by`` isn't null.
 

@@ -74,11 +74,22 @@ def roc_auc(df: DataFrame, true: str, score: str, keys: Sequence[str] = ()) -> D
     return won.groupBy(*keys).agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
-def average_rank(value: Column, partition: Sequence[str | Column], ascending: bool = True) -> Column:
-    """Rank with ties at their mean rank; nulls last."""
-    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2.0
+def with_mean_rank(df: DataFrame, value: str, keys: Sequence[str], name: str, ascending: bool = True) -> DataFrame:
+    """``df`` with ``name``: the rank of a numeric ``value`` among the rows of equal keys, ties at their mean rank, nulls last.
+
+    Rows are counted by value and the counts summed in two levels, so no key's rows are sorted in one task.
+    Rows with a null key have no rank.
+    """
+    keys = list(keys)
+    by = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    known = by.filter("_v is not null").withColumn("_o", F.col("_v").cast("double") * (1 if ascending else -1))
+    ranked = running_before(known, keys, "_o", "_c", "_b").select(*keys, "_v", (F.col("_b") + (F.col("_c") + 1) / 2.0).alias(name))
+    whole = known.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    last = by.filter("_v is null")
+    last = (last.join(whole, keys, "left") if keys else last.join(F.broadcast(whole))).select(*keys, "_v", (F.coalesce("_n", F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(name))
+    r = ranked.unionByName(last).withColumnsRenamed({c: f"_k{j}" for j, c in enumerate(keys)})
+    on = [df[c] == r[f"_k{j}"] for j, c in enumerate(keys)] + [df[value].eqNullSafe(r["_v"])]
+    return df.join(r, on, "left").select(*df.columns, name)
 
 
 def individual_accuracies(df: DataFrame, individual: str, true: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:

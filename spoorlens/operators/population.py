@@ -43,6 +43,8 @@ def complete_trails(square: DataFrame, keys: Sequence[str]) -> DataFrame:
 def dense(pdf: pd.DataFrame, fill: bool = True) -> tuple[list[str], np.ndarray]:
     """Sorted labels and the matrix of a long table; what is missing is the largest distance."""
     labels = sorted(set(pdf["i"]) | set(pdf["j"]))
+    if len(labels) > MOST_TRAILS:
+        raise ValueError(f"{len(labels)} trails in one group; its matrix may have {MOST_TRAILS}")
     at = {x: k for k, x in enumerate(labels)}
     m = np.full((len(labels), len(labels)), np.nan)
     m[pdf["i"].map(at), pdf["j"].map(at)] = pdf["d"]
@@ -163,6 +165,7 @@ def silhouette_count(d: np.ndarray) -> int:
 
 
 def _grouped(square: DataFrame, keys: Sequence[str], schema: str, make) -> DataFrame:
+    """``make`` of the labels and matrix of each group, a group a task; the matrix bounds its trails (``MOST_TRAILS``)."""
     keys = list(keys)
     types = dict(square.dtypes)
     d = square if keys else square.withColumn("_all", F.lit(0))
@@ -214,6 +217,30 @@ def silhouette_counts(square: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _grouped(square, keys, "n int, pred_count int", lambda labels, m: pd.DataFrame({"n": [len(labels)], "pred_count": pd.array([silhouette_count(m) if len(labels) >= 3 else None], dtype="Int32")}))
 
 
+def mds_points(square: DataFrame, keys: Sequence[str], k: int = 2) -> DataFrame:
+    """(keys, trail, x1, x2, ...): coordinates of each group's trails whose distances approach the given ones."""
+    from .reduction import classical_mds
+
+    def make(labels: list[str], m: np.ndarray) -> pd.DataFrame:
+        x = classical_mds(m, min(k, len(labels)))
+        x = np.hstack([x, np.zeros((len(labels), k - x.shape[1]))])
+        return pd.DataFrame({"trail": labels} | {f"x{j + 1}": x[:, j] for j in range(k)})
+
+    return _grouped(square, keys, "trail string, " + ", ".join(f"x{j + 1} double" for j in range(k)), make)
+
+
+def isomap_points(square: DataFrame, keys: Sequence[str], k: int = 2, neighbours: int = 5) -> DataFrame:
+    """``mds_points`` of path lengths over each trail's nearest neighbours."""
+    from .reduction import classical_mds, path_lengths
+
+    def make(labels: list[str], m: np.ndarray) -> pd.DataFrame:
+        x = classical_mds(path_lengths(m, neighbours), min(k, len(labels)))
+        x = np.hstack([x, np.zeros((len(labels), k - x.shape[1]))])
+        return pd.DataFrame({"trail": labels} | {f"x{j + 1}": x[:, j] for j in range(k)})
+
+    return _grouped(square, keys, "trail string, " + ", ".join(f"x{j + 1} double" for j in range(k)), make)
+
+
 def cutoff_sweep(labels: DataFrame, truth: DataFrame, keys: Sequence[str], alpha: float = 0.5) -> DataFrame:
     """(keys, cutoff, pred_count, true_count, erd, v, score): each cutoff against the true individuals of the trails.
 

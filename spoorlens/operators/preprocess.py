@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import long_features
 from .evaluation import anova
+from .quantiles import column_quantiles
 
 #: Named presets.
 CLIP_PRESETS = {"clip_98": (0.01, 0.99), "clip_90": (0.05, 0.95)}
@@ -27,8 +28,9 @@ def _params(df: DataFrame, features: Sequence[str], **how) -> DataFrame:
 
 
 def fit_clip(df: DataFrame, features: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """(feature, lo, hi): quantiles with linear interpolation."""
-    return _params(df, features, lo=lambda c: F.percentile(c, F.lit(lo)), hi=lambda c: F.percentile(c, F.lit(hi)))
+    """(feature, lo, hi): exact quantiles with linear interpolation."""
+    q = column_quantiles(df, features, [lo, hi])
+    return df.sparkSession.createDataFrame([(c, *q[c]) for c in features], "feature string, lo double, hi double")
 
 
 def fit_zscore(df: DataFrame, features: Sequence[str], z: float = Z_LIMIT) -> DataFrame:
@@ -64,8 +66,9 @@ def fit_standard(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fit_robust(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, centre, scale): median and distance of the quartiles, 0 counting as 1."""
-    span = lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
-    return _params(df, features, centre=lambda c: F.percentile(c, F.lit(0.5)), scale=lambda c: F.when(span(c) == 0, 1.0).otherwise(span(c)))
+    q = column_quantiles(df, features, [0.25, 0.5, 0.75])
+    rows = [(c, q[c][1], None if q[c][1] is None else (q[c][2] - q[c][0]) or 1.0) for c in features]
+    return df.sparkSession.createDataFrame(rows, "feature string, centre double, scale double")
 
 
 def apply_scale(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -80,7 +83,8 @@ def fit_mean(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_median(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return _params(df, features, fill=lambda c: F.percentile(c, F.lit(0.5)))
+    q = column_quantiles(df, features, [0.5])
+    return df.sparkSession.createDataFrame([(c, q[c][0]) for c in features], "feature string, fill double")
 
 
 def apply_fill(df: DataFrame, params: DataFrame) -> DataFrame:

@@ -162,15 +162,19 @@ def classical_mds(d: np.ndarray, k: int = 2) -> np.ndarray:
     return v * np.sqrt(np.maximum(w, 0))
 
 
-def isomap(x: np.ndarray, k: int = 2, neighbours: int = 5) -> np.ndarray:
-    """MDS of the path lengths over nearest neighbours; parts that aren't joined lie at the longest path."""
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=-1))
+def path_lengths(d: np.ndarray, neighbours: int = 5) -> np.ndarray:
+    """Lengths of the shortest paths over nearest neighbours; parts that aren't joined lie at the longest path."""
     g = np.full_like(d, np.inf)
     near = np.argsort(d, axis=1, kind="stable")[:, : neighbours + 1]
-    rows = np.arange(len(x))[:, None]
+    rows = np.arange(len(d))[:, None]
     g[rows, near] = d[rows, near]
     g = np.minimum(g, g.T)
-    for m in range(len(x)):
+    for m in range(len(d)):
         g = np.minimum(g, g[:, m, None] + g[None, m])
     g[~np.isfinite(g)] = g[np.isfinite(g)].max(initial=0)
-    return classical_mds(g, k)
+    return g
+
+
+def isomap(x: np.ndarray, k: int = 2, neighbours: int = 5) -> np.ndarray:
+    """MDS of the path lengths over nearest neighbours."""
+    return classical_mds(path_lengths(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=-1)), neighbours), k)

@@ -9,7 +9,7 @@ from ..functions.labels import UNKNOWN, label_form
 from ..functions.texts import short_label, standard_sex, subsample_size, trailing_number, truth_flag
 from ..operators import cleaning as C
 from ..operators import pairs as PR
-from ..operators.evaluation import average_rank
+from ..operators.evaluation import with_mean_rank
 from ..sources import sinks
 from ..sources.readers import flatten_results, load_trail_splits, merge_masters, read_csv
 from ..sources.stages import Stages
@@ -128,15 +128,13 @@ def pf18(spark, d):
 
 @query("pf19_one_hot", f"WITH {FP} SELECT id, (sex = 'f')::INT AS sex_f, (sex = 'm')::INT AS sex_m, (sex = 'unknown')::INT AS sex_unknown FROM fp")
 def pf19(spark, d):
-    return fp(spark, d).select("id", *[(F.col("sex") == s).cast("int").alias(f"sex_{s}") for s in ("f", "m", "unknown")])
+    return C.one_hot(fp(spark, d).select("id", "sex"), "sex", ("f", "m", "unknown")).drop("sex")
 
 
 @query("pf20_codes", f"WITH {FP}, s AS (SELECT species, dense_rank() OVER (ORDER BY species) - 1 AS code, dense_rank() OVER (ORDER BY p) - 1 AS seen FROM (SELECT species, min(id) AS p FROM fp GROUP BY species)) SELECT id, code, seen FROM fp JOIN s USING (species)")
 def pf20(spark, d):
-    f = fp(spark, d)
-    s = f.groupBy("species").agg(F.min("id").alias("p"))  # a row a species
-    s = s.select("species", (F.dense_rank().over(Window.orderBy("species")) - 1).alias("code"), (F.dense_rank().over(Window.orderBy("p")) - 1).alias("seen"))
-    return f.join(s, "species").select("id", "code", "seen")
+    f = C.with_codes(fp(spark, d).select("id", "species"), "species", "code")
+    return C.with_codes(f, "species", "seen", first_seen="id").select("id", "code", "seen")
 
 
 @query(
@@ -244,8 +242,9 @@ def jn16(spark, d):
 @query("wn03_mean_rank", f"SELECT record_id, (r1 + r2) / 2 AS mean_rank FROM (SELECT record_id, rank() OVER (PARTITION BY model_key ORDER BY a DESC) + (count(*) OVER (PARTITION BY model_key, a) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY model_key ORDER BY f DESC) + (count(*) OVER (PARTITION BY model_key, f) - 1) / 2.0 AS r2 FROM (SELECT record_id, {label_sql('model_key')} AS model_key, mean_cv_accuracy AS a, mean_cv_f1 AS f FROM best_models WHERE NOT isnan(mean_cv_accuracy) AND NOT isnan(mean_cv_f1)))")
 def wn03(spark, d):
     b = table(spark, d, "best_models").filter("not isnan(mean_cv_accuracy) and not isnan(mean_cv_f1)").select("record_id", label_form("model_key").alias("model_key"), F.col("mean_cv_accuracy").alias("a"), F.col("mean_cv_f1").alias("f"))
-    r = lambda c: average_rank(F.col(c), ["model_key"], ascending=False)
-    return b.select("record_id", ((r("a") + r("f")) / 2).alias("mean_rank"))
+    for c, r in (("a", "r1"), ("f", "r2")):
+        b = with_mean_rank(b, c, ["model_key"], r, ascending=False)
+    return b.select("record_id", ((F.col("r1") + F.col("r2")) / 2).alias("mean_rank"))
 
 
 @query("wn05_best_row", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")

@@ -520,6 +520,14 @@ def cl08(spark, d):
     return v.select(*[r6(F.col(c), c) for c in ("homogeneity", "completeness", "v")])
 
 
+@query("ml17_mds")
+def ml17_mds(spark, d):
+    """Trails in two coordinates, by distances and by paths over near trails."""
+    s = PO.square_distances(emb_pairs(spark, d), [], "trail_a_id", "trail_b_id", "dist_euclidean")
+    parts = [x.select(F.lit(n).alias("method"), "trail", r6(F.col("x1"), "x1"), r6(F.col("x2"), "x2")) for n, x in (("mds", PO.mds_points(s, [])), ("isomap", PO.isomap_points(s, [])))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("cl07_fixed_cutoff")
 def cl07(spark, d):
     """Counts of each individual's neighbours' trails at one given cutoff."""

@@ -12,6 +12,7 @@ from spoorlens.operators import evaluation as E
 from spoorlens.operators import pairs as PR
 from spoorlens.operators import preprocess as P
 from spoorlens.operators import splits as S
+from spoorlens.operators.quantiles import column_quantiles
 from spoorlens.plans import pipelines as PL
 from spoorlens.sources import sinks
 from spoorlens.sources.readers import exif_texts, read_excel, read_images
@@ -199,6 +200,48 @@ def test_nearest_values_and_pairs_in_blocks(spark):
     assert "CartesianProduct" not in few._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quantiles_in_passes(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=3001), np.round(rng.normal(size=3001) * 3), np.full(3001, 7.0), rng.exponential(size=3001) ** 6])
+    x[::9, 0] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and k % 2 else float(v) for v in r) + (None,) for k, r in enumerate(x)], "a double, b double, c double, d double, e double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    for few, bins in ((10**6, 16), (0, 16), (0, 1024)):
+        got = column_quantiles(df, list("abcde"), probs, few, bins)
+        for k, c in enumerate("abcd"):
+            np.testing.assert_allclose(got[c], np.nanquantile(x[:, k], probs), rtol=1e-12)
+        assert got["e"] == [None] * 6
+    assert column_quantiles(df.limit(0), ["a"], [0.5], 0) == {"a": [None]}
+
+
+def test_mean_ranks_codes_and_base_frame(spark):
+    df = spark.createDataFrame([(1, "x", 3.0), (2, "x", 3.0), (3, "x", 1.0), (4, "x", None), (5, "y", None), (6, "y", 2.0), (7, None, 1.0)], "id int, g string, v double")
+    up = {r["id"]: r["r"] for r in E.with_mean_rank(df, "v", ["g"], "r").collect()}
+    down = {r["id"]: r["r"] for r in E.with_mean_rank(df, "v", ["g"], "r", ascending=False).collect()}
+    assert up == {1: 2.5, 2: 2.5, 3: 1.0, 4: 4.0, 5: 2.0, 6: 1.0, 7: None} and down == {1: 1.5, 2: 1.5, 3: 3.0, 4: 4.0, 5: 2.0, 6: 1.0, 7: None}
+    assert {r["id"]: r["r"] for r in E.with_mean_rank(df.filter("g = 'x'"), "v", [], "r").collect()} == {1: 2.5, 2: 2.5, 3: 1.0, 4: 4.0}
+    seen = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None)], "id int, s string")
+    out = C.with_codes(C.with_codes(seen, "s", "code"), "s", "seen", "id").collect()
+    assert {r["id"]: (r["code"], r["seen"]) for r in out} == {1: (1, 0), 2: (0, 1), 3: (1, 0), 4: (-1, -1)}
+    hot = C.one_hot(seen, "s", ("a", "b")).orderBy("id").collect()
+    assert [(r["s_a"], r["s_b"]) for r in hot] == [(0, 1), (1, 0), (0, 1), (0, 0)]
+    base = C.base_frame(spark.createDataFrame([(1, "1,5", "k"), (2, "x", "k")], "id int, v1 string, o string"), ["v1"])
+    assert dict(base.dtypes) == {"id": "string", "v1": "double", "o": "string"} and [r["v1"] for r in base.orderBy("id").collect()] == [1.5, None]
+    with pytest.raises(ValueError):
+        C.base_frame(spark.createDataFrame([(1, "1"), (1, "2")], "id int, v1 string"), ["v1"])
+
+
+def test_coordinates_from_distances(spark):
+    from spoorlens.operators import population as PO
+
+    at = {f"t{k}": (float(k % 3), 2.0 * (k // 3)) for k in range(9)}
+    rows = [(a, b, float(np.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1]))) for a in at for b in at if a < b]
+    s = PO.square_distances(spark.createDataFrame(rows, "a string, b string, d double"), [], "a", "b", "d")
+    got = {r["trail"]: (r["x1"], r["x2"]) for r in PO.mds_points(s, []).collect()}
+    assert all(np.hypot(got[a][0] - got[b][0], got[a][1] - got[b][1]) == pytest.approx(d) for a, b, d in rows)
+    assert PO.isomap_points(s, [], neighbours=4).count() == 9
+
+
 def test_stages_are_removed(spark):
     import os
 
