@@ -23,9 +23,10 @@ def label_form(c: str | Column, fill: str | None = UNKNOWN) -> Column:
     r"""Label form: missing becomes ``fill``, trimmed, lower case, each run of ``\W`` one ``_``.
 
     ``(?U)`` makes Java's ``\W`` follow Unicode, so letters with accents stay letters.
-    An empty text stays empty.
+    An empty text stays empty.  Most texts are in that form already, which is seen at a glance.
     """
-    out = F.regexp_replace(F.lower(trimmed(c)), r"(?U)\W+", "_")
+    c = _col(c)
+    out = F.when(c.rlike(r"\A[a-z0-9_]+\z"), c).otherwise(F.regexp_replace(F.lower(trimmed(c)), r"(?U)\W+", "_"))
     return out if fill is None else F.coalesce(out, F.lit(fill))
 
 
