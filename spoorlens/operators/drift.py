@@ -18,11 +18,13 @@ from __future__ import annotations
 import csv
 import difflib
 import json
+import re
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,31 +49,43 @@ def _line(text: str, delimiter: str) -> list[str]:
     return text.split(delimiter) if text else []
 
 
-def _cells(pdf: pd.DataFrame) -> list[list[tuple[str, str | None]]]:
+def _row(kind: str, delimiter: str | None, header: str | None, line: str, heads: dict) -> list[tuple[str, str | None]]:
+    """(name, text) of the cells of a line; none if it can't be parsed."""
+    try:
+        if kind == "jsonl":
+            o = json.loads(line)
+            return [(k, None if v is None else json.dumps(v) if isinstance(v, (bool, dict, list)) else str(v)) for k, v in o.items()] if isinstance(o, dict) else []
+        d = delimiter or ","
+        names = heads.get((header, d))
+        if names is None:
+            names = heads[header, d] = _line(header or "", d)
+        values = _line(line, d)
+        return list(zip(names, values + [None] * (len(names) - len(values))))
+    except (ValueError, TypeError, csv.Error, StopIteration):
+        return []
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (feed_id, file_id, row_no, file_format, delimiter, header, raw_line) to cells (feed_id, file_id, row_no, name, text)."""
     csv.field_size_limit(sys.maxsize)  # cells may be of any length
-    out, heads = [], {}
-    for kind, delimiter, header, line in zip(pdf["file_format"], pdf["delimiter"], pdf["header"], pdf["raw_line"]):
-        try:
-            if kind == "jsonl":
-                o = json.loads(line)
-                row = [(k, None if v is None else json.dumps(v) if isinstance(v, (bool, dict, list)) else str(v)) for k, v in o.items()] if isinstance(o, dict) else []
-            else:
-                d = delimiter or ","
-                names = heads.get((header, d))
-                if names is None:
-                    names = heads[header, d] = _line(header or "", d)
-                values = _line(line, d)
-                row = list(zip(names, values + [None] * (len(names) - len(values))))
-        except (ValueError, TypeError, csv.Error, StopIteration):
-            row = []
-        out.append(row)
-    return out
-
-
-def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        rows = _cells(pdf)
-        yield pd.DataFrame({"feed_id": pdf["feed_id"], "file_id": pdf["file_id"], "row_no": pdf["row_no"], "names": [[k for k, _ in r] for r in rows], "texts": [[v for _, v in r] for r in rows]})
+    plain = re.compile(r"[^a-z0-9_]+")
+    heads: dict = {}
+    labels: dict[str, str] = {}
+    for b in batches:
+        counts, names, texts = [], [], []
+        for row_no, kind, delimiter, header, line in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
+            row = _row(kind, delimiter, header, line, heads)
+            counts.append(len(row))
+            for name, text in row:
+                label = labels.get(name)
+                if label is None:
+                    # names of ASCII letters are put in label form here, once; others by the expression that follows
+                    label = labels[name] = plain.sub("_", name.strip(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f").lower()) if name.isascii() else name
+                names.append(label)
+                # a header's cells repeat the names
+                texts.append(None if row_no == 0 and text == name else text)
+        at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(3)], pa.array(names, pa.string()), pa.array(texts, pa.string())], ["feed_id", "file_id", "row_no", "name", "text"])
 
 
 def parsed_cells(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -85,10 +99,8 @@ def parsed_cells(files: DataFrame, lines: DataFrame) -> DataFrame:
     head = rows.filter("row_no = 0").groupBy("file_id").agg(F.min("raw_line").alias("header"))
     full = rows.join(meta, "file_id").join(head, "file_id", "left").filter("file_format = 'jsonl' or header is not null")
     full = full.select("feed_id", "file_id", "row_no", "file_format", "delimiter", "header", "raw_line").filter("file_format = 'jsonl' or row_no = 0 or raw_line <> header")
-    parsed = full.mapInPandas(_parse, "feed_id long, file_id long, row_no int, names array<string>, texts array<string>")
-    delimited_head = (F.col("row_no") == 0) & (F.col("cell.texts") == F.col("cell.names"))
-    cells = parsed.select("feed_id", "file_id", "row_no", F.explode(F.arrays_zip("names", "texts")).alias("cell"))
-    return cells.select("feed_id", "file_id", "row_no", label_form("cell.names").alias("name"), F.when(~delimited_head, F.col("cell.texts")).alias("text")).filter("name <> ''")
+    cells = full.mapInArrow(_parse, "feed_id long, file_id long, row_no int, name string, text string")
+    return cells.withColumn("name", label_form("name")).filter("name <> ''")
 
 
 # ------------------------------------------------------------------ types and profiles
