@@ -50,6 +50,7 @@ _BREAK = re.compile(r"</?(?:p|br|div|li|ul|ol|tr|td|h[1-6]|table)\b[^<>]*>", re.
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]*_]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CELLS = re.compile(r"\s*[|;\t•·]\s*|\s+/\s+")
+_SEPARATOR = re.compile(r"[|;\t•·/]")
 _CODE = re.compile(r"[A-Z]{2,}[-_ ]?\d{3,}")
 
 
@@ -68,25 +69,31 @@ class _Piece:
         self.bound = 1 - len(self.words) / len(every) if every else 0.0
 
 
+def _urls(text: str) -> list[str]:
+    return _URL.findall(text) if "://" in text or "www." in text.lower() else []
+
+
 def _piece(text: str, links: int, link_size: int, prose: frozenset) -> _Piece:
     """The shape of a line, cell list or sentence: (kind, words, capital, end)."""
     size = len(text.strip())
     plain = _URL.sub(" ", text) if links else text
-    tokens = plain.split()
     words = _WORD.findall(plain)
     if links and (link_size * 2 >= size or len(words) <= 6 * links):
         return _Piece(size, ("links", _bucket(links)))
-    tags = sum(t[0] == "#" and len(t) > 1 for t in tokens)
-    if tags >= 3 and tags * 2 >= len(tokens):
-        return _Piece(size, ("tags", _bucket(tags)))
-    cells = [c for c in _CELLS.split(plain.strip()) if c]
-    if len(cells) >= 3 and len(words) <= 6 * len(cells):
-        figures = sum(any(ch.isdigit() for ch in c) for c in cells)
-        if _CODE.search(cells[0]) and figures * 2 <= len(cells) + 1 and len(cells) >= 4:
-            return _Piece(size, ("product", _bucket(len(cells))), words, prose)
-        if figures * 2 >= len(cells):
-            return _Piece(size, ("figures", _bucket(len(cells))))
-        return _Piece(size, ("cells", _bucket(len(cells))), words, prose)
+    if "#" in plain:
+        tokens = plain.split()
+        tags = sum(t[0] == "#" and len(t) > 1 for t in tokens)
+        if tags >= 3 and tags * 2 >= len(tokens):
+            return _Piece(size, ("tags", _bucket(tags)))
+    if _SEPARATOR.search(plain):
+        cells = [c for c in _CELLS.split(plain.strip()) if c]
+        if len(cells) >= 3 and len(words) <= 6 * len(cells):
+            figures = sum(any(ch.isdigit() for ch in c) for c in cells)
+            if _CODE.search(cells[0]) and figures * 2 <= len(cells) + 1 and len(cells) >= 4:
+                return _Piece(size, ("product", _bucket(len(cells))), words, prose)
+            if figures * 2 >= len(cells):
+                return _Piece(size, ("figures", _bucket(len(cells))))
+            return _Piece(size, ("cells", _bucket(len(cells))), words, prose)
     first = text.lstrip()[:1]
     commas = plain.count(",")
     kind = "list" if commas >= 4 and len(words) <= 5 * (commas + 1) else "words"
@@ -114,7 +121,7 @@ def pieces(text: str, prose: frozenset = frozenset()) -> list[_Piece]:
         links = [m for m in _ANCHOR.finditer(line)] if "<" in line or "](" in line else []
         n, size = len(links), sum(len(m[0]) for m in links)
         rest = _ANCHOR.sub(" ", line) if links else line
-        urls = _URL.findall(rest)
+        urls = _urls(rest)
         n, size = n + len(urls), size + sum(map(len, urls))
         if n and size * 2 >= len(line.strip()):
             out.append(_Piece(len(line.strip()), ("links", _bucket(n))))
@@ -122,7 +129,7 @@ def pieces(text: str, prose: frozenset = frozenset()) -> list[_Piece]:
         line = _TAG.sub(" ", line) if "<" in line else line
         for s in _SENTENCE.split(line):
             if s.strip():
-                urls = _URL.findall(s)
+                urls = _urls(s)
                 out.append(_piece(s, len(urls), sum(map(len, urls)), prose))
     return out
 
@@ -151,23 +158,33 @@ def spam_share(text: str | None, prose: frozenset = frozenset()) -> tuple[float,
     total = sum(p.size for p in parts)
     if not total:
         return 0.0, 0, ""
-    page = Counter(w for p in parts for w in p.words)
+    page = Counter()
+    for p in parts:
+        page.update(p.words)
     often = {w for w, c in page.items() if c >= REPEATS}
     groups: dict[tuple, int] = defaultdict(int)
-    for window in _windows(parts):
-        count = Counter(w for p in window for w in p.words)
+    windows = _windows(parts)
+    for window in windows:
+        count = page
+        if len(windows) > 1:
+            count = Counter()
+            for p in window:
+                count.update(p.words)
         n = sum(count.values())
-        hot = {w for w, c in count.items() if c >= max(3, 0.015 * n)}
-        warm = {w for w, c in count.items() if c >= max(2, 0.01 * n)}
+        hot_from, warm_from = max(3, 0.015 * n), max(2, 0.01 * n)
+        hot = {w for w, c in count.items() if c >= hot_from}
+        warm = {w for w, c in count.items() if c >= warm_from}
         for p in window:
             kind = p.shape[0]
             if kind in ("links", "tags", "product"):
                 groups[p.shape] += p.size
             elif kind != "figures" and p.words:
                 sentence = kind in ("words", "list") and p.shape[2] and p.shape[3] and len(p.words) / (1 - p.bound) > SHORT
+                if p.bound >= (BOUND if sentence else LOOSE_BOUND):
+                    continue
                 few = hot if len(p.words) > SHORT else warm
                 repeated = sum(w in few or (p.bound < BARE and w in often) for w in p.words)
-                if p.bound < (BOUND if sentence else LOOSE_BOUND) and repeated >= 0.7 * len(p.words):
+                if repeated >= 0.7 * len(p.words):
                     groups["repeated", *p.shape[1:]] += p.size
     if not groups:
         return 0.0, 0, ""
