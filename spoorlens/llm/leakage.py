@@ -143,8 +143,11 @@ def seeded_texts(docs: DataFrame, filter_words: np.ndarray) -> DataFrame:
 
 # ------------------------------------------------------------------ verification
 def may_hold(item: list[str], item_word: list[int], tokens: set[str], least: int = LEAST) -> bool:
-    """Whether some stretch of ``least`` item words lacks no more of them in the text than it may have errors."""
-    n = item_word[-1] + 1 if item_word else 0
+    """Whether some stretch of at least ``least`` item words lacks no more of them in the text than it may have errors."""
+    # the words that such a stretch must have in the text are tokens, too
+    if sum(map(tokens.__contains__, item)) < least - least // PER_ERROR:
+        return False
+    n = item_word[-1] + 1
     missing = [1] * n
     for t, w in zip(item, item_word):
         if t in tokens:
@@ -232,20 +235,21 @@ def _verify(least: int):
         row, tokens, word, held = None, [], [], set()
         for b in batches:
             found = []
-            for r, doc, text, item, item_id, passage in zip(*(b.column(k) for k in range(6))):
-                if r.as_py() != row:
-                    row = r.as_py()
-                    tokens, word = words(text.as_py())
+            rows, docs, numbers, ids = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+            texts, passages = b.column(2), b.column(5)
+            for k, (r, item) in enumerate(zip(rows, numbers)):
+                if r != row:
+                    row = r
+                    tokens, word = words(texts[k].as_py())
                     held = set(tokens)
-                k = item.as_py()
-                if k not in items:
+                if item not in items:
                     if len(items) >= 20_000:
                         items.clear()
-                    items[k] = words(passage.as_py())
-                a, w = items[k]
+                    items[item] = words(passages[k].as_py())
+                a, w = items[item]
                 n = longest_passage(a, w, tokens, word) if may_hold(a, w, held, least) else 0
                 if n >= least:
-                    found.append((doc.as_py(), item_id.as_py(), n))
+                    found.append((docs[k], ids[k], n))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in found], pa.int64()), "item_id": pa.array([x[1] for x in found], pa.int64()), "n_words": pa.array([x[2] for x in found], pa.int32())})
 
     return run
