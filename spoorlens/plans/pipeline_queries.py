@@ -388,7 +388,16 @@ def pl07(spark, d):
     return out.select("k_features", "selection", "reducer", "fold", "tp", "fn", "fp", "tn", r6(F.col("bcr"), "bcr"))
 
 
-@query("pl16_feature_shape")
+@query(
+    "pl16_feature_shape",
+    f"""WITH {FP}, known AS (SELECT * FROM fp WHERE sex IN ('f', 'm') AND individual_id NOT IN ('unknown', '')),
+    own AS (SELECT individual_id, min_by(sex, id) AS own_sex FROM known GROUP BY individual_id),
+    l AS (UNPIVOT (SELECT individual_id, own_sex, {', '.join(MEASURES)} FROM known JOIN own USING (individual_id)) ON {', '.join(MEASURES)} INTO NAME feature VALUE x),
+    g AS (SELECT feature, own_sex, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY ALL),
+    s AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS ssw FROM g GROUP BY feature),
+    best AS (SELECT feature FROM g JOIN s USING (feature) GROUP BY feature ORDER BY sum(g.n * (g.m - s.mean) ** 2) / (any_value(s.k) - 1) / (any_value(s.ssw) / (any_value(s.n) - any_value(s.k))) DESC LIMIT 1)
+    SELECT feature, individual_id, own_sex AS sex, round(avg(x), 6) AS mean FROM l JOIN best USING (feature) GROUP BY ALL""",
+)
 def pl16(spark, d):
     out = PL.feature_shape(known_sex(spark, d), MEASURES)
     return out.select("feature", "individual_id", "sex", r6(F.col("mean"), "mean"))
