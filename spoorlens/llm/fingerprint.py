@@ -73,17 +73,14 @@ def _named(rows: DataFrame) -> DataFrame:
 def representatives(records: DataFrame) -> DataFrame:
     """One row for each distinct (role, names, measurements): exact copies are compared once.
 
-    ``h`` and ``g`` name it; ``code`` has the codes of the measurements, ``lo`` and ``hi`` those
-    of the ends of the tolerance; ``print`` is the fingerprint; ``held`` the bit set of held
-    measurements; ``miss`` how many are missing.
+    ``h`` and ``g`` name it; ``m`` has the measurements; ``print`` is the fingerprint; ``held`` the bit set
+    of held measurements; ``miss`` how many are missing.
     """
     one = _named(records.select("role", "ind", "trail", *_VALUES).distinct())
     # a row costs time, not bytes, so small tables are spread, too
     one = one.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     one = one.select("role", "h", "g", "ind", "trail", F.array(*_VALUES).alias("m"))
-    shift = {"code": 0.0, "lo": -_REACH * 1.0000001, "hi": _REACH * 1.0000001}
-    logs = F.transform("m", lambda v: F.log(v))
-    one = one.withColumns({c: F.transform(logs, _shifted(s)) for c, s in shift.items()} | {"fine": F.transform(logs, _shifted(0.0, _FINE))})
+    one = one.withColumn("fine", F.transform(F.transform("m", lambda v: F.log(v)), _shifted(0.0, _FINE)))
     low = [F.coalesce(F.col("fine")[i], F.lit(0)).bitwiseAND(F.lit((1 << PRINT) - 1)) for i in range(len(MEASURES))]
     held = [F.when(F.col("m")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(MEASURES))]
     join_bits = lambda x, y: x.bitwiseOR(y)
@@ -91,6 +88,16 @@ def representatives(records: DataFrame) -> DataFrame:
     return one.withColumns({"print": prints, "held": reduce(join_bits, held)}).drop("fine").withColumn("miss", len(MEASURES) - F.bit_count("held"))
 
 
+def coded(reps: DataFrame) -> DataFrame:
+    """``reps`` with ``code``, the codes of the measurements, and ``lo`` and ``hi``, those of the ends of the tolerance.
+
+    They are cheaper to work out where they are used than to keep.
+    """
+    shift = {"code": 0.0, "lo": -_REACH * 1.0000001, "hi": _REACH * 1.0000001}
+    logs = F.transform("m", lambda v: F.log(v))
+    return reps.withColumns({c: F.transform(logs, _shifted(s)) for c, s in shift.items()})
+
+
 _KEEP = ("h", "g", "held", "print")
 
 
@@ -105,7 +112,7 @@ def _whole_blocks(rows: DataFrame, probe: bool) -> DataFrame:
             words = [f"(shiftleft({w}, {BITS}) | {e})" if w else e for w in words for e in ends]
         out += [f"named_struct('block', {k}, 'word', {w})" for w in words]
     keys = F.expr(f"array_distinct(filter(array({', '.join(out)}), s -> s.word is not null))")
-    return rows.select(*_KEEP, F.explode(keys).alias("key")).select(*_KEEP, "key.block", "key.word")
+    return coded(rows).select(*_KEEP, F.explode(keys).alias("key")).select(*_KEEP, "key.block", "key.word")
 
 
 def _within(a: str, b: str) -> Column:
@@ -152,7 +159,7 @@ def sparse_candidates(sparse: DataFrame, others: DataFrame, sparse_sets: Sequenc
 
     def keys(rows: DataFrame, probe: bool) -> DataFrame:
         sets = spark.createDataFrame(sorted((h, b, r, [i for i in range(len(MEASURES)) if b >> i & 1]) for h, b, r in blocks[probe]), "held int, block int, reach int, at array<int>")
-        rows = rows.select(*_KEEP, "code", "lo", "hi").join(sets, "held")
+        rows = coded(rows).select(*_KEEP, "code", "lo", "hi").join(sets, "held")
         word = "aggregate(at, 0L, (w, i) -> shiftleft(w, {bits}) | {end})"
         if not probe:
             return rows.select(*_KEEP, "block", F.expr(word.format(bits=BITS, end="code[i]")).alias("word"))
